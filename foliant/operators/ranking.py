@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.plans.workspace import small, store
 
@@ -37,7 +38,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], weight: str | None
     by = [*keys, *order]
     out = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_r_mid", F.monotonically_increasing_id())
     if weight:
-        schema = out.schema.add("_r_cum", "bigint")
+        schema = T.StructType([*out.schema.fields, T.StructField("_r_cum", T.LongType())])
         at = out.columns.index(weight)
 
         def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
