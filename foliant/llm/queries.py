@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.keys import hamming, md5_key, name_key, split_key
-from foliant.llm import components, grouping, overlap, sampling
+from foliant.llm import components, grouping, leakage, mixing, overlap, sampling
+from foliant.llm.words import token_count
 from foliant.plans.tables import table
 
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -119,8 +120,49 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_units(spark, folder).filter("torn AND cluster IS NOT NULL AND new_split IS NOT NULL").select("dataset", "cluster")
 
 
+# 6. Evaluation texts leaking into training text
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an item, exactly or at a similarity of 0.8 or more."""
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that leaked: in how many documents exactly, in how many at all."""
+    per = p6_leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("exact").alias("n_exact"), F.max("similarity").alias("similarity"))
+    return table(spark, folder, "eval_items").select("item_id", "suite").join(per, "item_id").select("item_id", "suite", "n_documents", "n_exact", F.round("similarity", 6).alias("similarity"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).filter("exact").select("doc_id", "item_id")
+
+
+# 7. Mixing sources to target weights
+
+
+def _p7(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents").select("doc_id", F.array(name_key("source")).alias("sources"), token_count("text").alias("tokens"))
+    return mixing.mix(docs, table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents chosen and how often each is used."""
+    return _p7(spark, folder)[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Quota, tokens chosen and share reached of every source."""
+    return _p7(spark, folder)[1].withColumn("share", F.round("share", 6))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources whose quota the flow could not fill."""
+    return p7_report(spark, folder).filter("is_short").select("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_report, p5_units, p5_assignment, p5_shares, p5_found)
+    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_report, p5_units, p5_assignment, p5_shares, p5_found, p6_leaks, p6_items, p6_found, p7_mix, p7_report, p7_found)
 }
 
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -152,4 +194,8 @@ SELECT DISTINCT least(a, b) AS id_lo, greatest(a, b) AS id_hi FROM p""",
     "p5_found": f"""
 SELECT {_KEY.format("dataset")} AS dataset, cluster::BIGINT AS cluster FROM split_csv
 WHERE cluster IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT {_SPLIT}) > 1""",
+    "p7_found": f"""
+WITH d AS (SELECT {_KEY.format("source")} AS source, coalesce(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+')), 0) AS n FROM documents)
+SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(n) AS n FROM d GROUP BY 1) s USING (source)
+WHERE m.max_repeats * coalesce(s.n, 0) * 10000 < m.target_bp * (SELECT sum(n) FROM d)""",
 }
