@@ -1,7 +1,7 @@
 """Subject areas of documents: distributed latent Dirichlet allocation.
 
-A topic model is fitted to all documents: one topic for each subject, started from the words that
-its hand-labelled documents prefer, and some background topics. Each pass works out the topic
+A topic model is fitted to all documents: a topic for each subject and language, started from the words that
+its hand-labelled documents prefer, and some background topics for each language. Each pass works out the topic
 proportions of every document (in the tasks, by the zero-order collapsed update) and adds up the
 topic-word counts; only those, a table of vocabulary x topics, come together. Hand labels raise the
 prior of their subjects in their documents and no more, so wrong ones are outvoted. The fitted topics are mapped to
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.words import plain
@@ -32,19 +32,32 @@ from foliant.plans.workspace import store
 class Settings:
     """Parameters of the model; shares are of all documents, so that they mean the same at any size."""
 
-    background: int = 6
+    background: int = 2  #: topics for each language besides those of the subjects
+    language_share: float = 0.01  #: a language has topics of its own if at least this share of the documents is marked with it
     passes: int = 10
-    inner: int = 12
+    inner: int = 8
     alpha: float = 0.15
     beta: float = 0.02
     label_prior: float = 2.0
     rarest: float = 5e-4  #: a word in fewer documents than this share is left out; so the vocabulary is bounded by words per document / rarest
     commonest: float = 0.4
     top_terms: int = 40
+    preference: float = 0.7  #: a word speaks fully for a subject if it is exp(0.7) times as frequent in its documents as in others
     mass: float = 1.3  #: words of a sentence that must fall to a subject
     seed: int = 42
 
 
+#: Names of languages by their three-letter codes.
+LANGUAGES = {"eng": "en", "spa": "es", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl"}
+
+
+def language_key(x: Column | str) -> Column:
+    """The two-letter code of a language however it is written (en, EN, en-GB, eng); null for null or blanks."""
+    code = F.regexp_extract(F.lower(F.col(x) if isinstance(x, str) else x), "^[^a-z]*([a-z]*)", 1)
+    short = F.create_map(*(F.lit(v) for kv in LANGUAGES.items() for v in kv))
+    return F.nullif(F.coalesce(F.try_element_at(short, code), F.substring(code, 1, 2)), F.lit(""))
+
+
 def sentence_words(text: str | None) -> list[list[str]]:
     """The words of two letters or more of each sentence, without markup, case, accents and numbers."""
     if not text:
@@ -60,10 +73,10 @@ def _sentences(documents: DataFrame) -> DataFrame:
             s = [sentence_words(t.as_py()) for t in b.column(1)]
             flat = [[w for x in d for w in x] for d in s]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(flat, pa.list_(pa.string())), pa.array([[len(x) for x in d] for d in s], pa.list_(pa.int32()))], names=["doc_id", "ws", "lens"]
+                [b.column(0), b.column(2), pa.array(flat, pa.list_(pa.string())), pa.array([[len(x) for x in d] for d in s], pa.list_(pa.int32()))], names=["doc_id", "lang", "ws", "lens"]
             )
 
-    return documents.mapInArrow(cut, "doc_id bigint, ws array<string>, lens array<int>")
+    return documents.select("doc_id", "text", "lang").mapInArrow(cut, "doc_id bigint, lang string, ws array<string>, lens array<int>")
 
 
 def _encode(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -73,9 +86,9 @@ def _encode(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
         ids = known.value
         for b in batches:
             flat = [[ids.get(w, -1) for w in ws] for ws in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.list_(pa.int32())), b.column(2), b.column(3)], names=["doc_id", "ids", "lens", "labels"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.list_(pa.int32())), b.column(2), b.column(3), b.column(4)], names=["doc_id", "ids", "lens", "labels", "lang"])
 
-    return docs.mapInArrow(encode, "doc_id bigint, ids array<int>, lens array<int>, labels array<int>")
+    return docs.mapInArrow(encode, "doc_id bigint, ids array<int>, lens array<int>, labels array<int>, lang int")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +122,12 @@ def _bag(word: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return both % size, both // size, count.astype(np.float64)
 
 
-def _label_prior(b: pa.RecordBatch, topics: int, s: Settings) -> np.ndarray:
+def _label_prior(b: pa.RecordBatch, topics: int, n_subjects: int, n_languages: int, s: Settings) -> np.ndarray:
+    """Prior of the topics; the labelled subjects' topics, which come first, by language, are raised."""
     prior = np.full((b.num_rows, topics), s.alpha)
     lab, doc = _flat(b.column(3))
-    prior[doc, lab] += s.label_prior
+    for l in range(n_languages):
+        prior[doc, l * n_subjects + lab] += s.label_prior
     return prior
 
 
@@ -139,7 +154,7 @@ class Model:
     subjects: list[str]
     beta: np.ndarray  #: words x topics
     subject_of: list[int]  #: of each topic; -1 for background
-    prefer: np.ndarray  #: words x subjects, how strongly labelled documents with the word prefer the subject
+    clear: np.ndarray  #: words x subjects, 0 to 1, how far the word may speak for the subject
 
 
 def preferences(with_word: np.ndarray, labelled: np.ndarray, per_subject: np.ndarray, n: float) -> np.ndarray:
@@ -149,46 +164,55 @@ def preferences(with_word: np.ndarray, labelled: np.ndarray, per_subject: np.nda
     return np.maximum(0.0, np.log(inside / outside)) * (with_word >= 2)
 
 
-def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], s: Settings) -> Model:
-    """The model of encoded docs (doc_id, ids, lens, labels)."""
-    size, n_s = len(vocabulary), len(subjects)
-    topics = n_s + s.background
+def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages: int, s: Settings) -> Model:
+    """The model of encoded docs (doc_id, ids, lens, labels, lang)."""
+    size, n_s, n_l = len(vocabulary), len(subjects), max(1, languages)
+    topics = (n_s + s.background) * n_l
     spark = docs.sparkSession
 
     def start(b: pa.RecordBatch, total: np.ndarray) -> None:
         word, doc, _ = _bag(*_flat(b.column(1)), size)
         lab, of = _flat(b.column(3))
-        has = np.zeros((b.num_rows, n_s + 2))
+        lang = b.column(4).to_numpy(zero_copy_only=False)
+        has = np.zeros((b.num_rows, n_s + 2 + n_l))
         has[of, lab] = 1
         has[:, n_s] = has[:, :n_s].any(1)
         has[:, n_s + 1] = 1
-        for c in range(n_s + 2):
+        has[np.flatnonzero(lang >= 0), n_s + 2 + lang[lang >= 0]] = 1
+        for c in range(has.shape[1]):
             total[:size, c] += np.bincount(word, has[doc, c], size)
         total[size] += has.sum(0)
 
-    first = _sum_by_word(docs, start, n_s + 2, size + 1)
-    per_subject, n = first[size, :n_s], first[size, n_s]
-    prefer = preferences(first[:size, :n_s], first[:size, n_s], per_subject, n)
+    first = _sum_by_word(docs, start, n_s + 2 + n_l, size + 1)
+    prefer = preferences(first[:size, :n_s], first[:size, n_s], first[size, :n_s], first[size, n_s])
     rng = np.random.default_rng(s.seed)
     everywhere = first[:size, n_s + 1]
-    counts = np.zeros((size, topics))
-    share = everywhere / max(everywhere.sum(), 1)
-    counts[:, :n_s] = share[:, None] * prefer**2 * 20
-    counts[:, n_s:] = share[:, None] * rng.gamma(5.0, 0.2, (size, s.background)) * np.exp(-prefer.max(1))[:, None]
-    counts *= everywhere.sum()
+    # how much a word is of a language: its share of the language's documents against its share of all
+    spoken = (first[:size, n_s + 2 :] + 0.1) / (first[size, n_s + 2 :] + 1.0)
+    spoken = spoken / spoken.sum(1, keepdims=True)
+    counts, tongue = np.zeros((size, topics)), np.zeros((size, topics))
+    for l in range(n_l):
+        mine = everywhere * spoken[:, l]
+        counts[:, l * n_s : (l + 1) * n_s] = mine[:, None] * prefer**2 * 20
+        at = n_l * n_s + l * s.background
+        tongue[:, l * n_s : (l + 1) * n_s] = tongue[:, at : at + s.background] = spoken[:, [l]]
+        counts[:, at : at + s.background] = mine[:, None] * rng.gamma(5.0, 0.2, (size, s.background)) * np.exp(-prefer.max(1, initial=0))[:, None]
     for _ in range(s.passes if size else 0):
         beta = spark.sparkContext.broadcast((counts + s.beta) / (counts + s.beta).sum(0))
 
         def step(b: pa.RecordBatch, total: np.ndarray) -> None:
             word, doc, count = _bag(*_flat(b.column(1)), size)
             if len(word):
-                r, _ = infer(word, doc, count, b.num_rows, beta.value, _label_prior(b, topics, s), s.inner)
+                r, _ = infer(word, doc, count, b.num_rows, beta.value, _label_prior(b, topics, n_s, n_l, s), s.inner)
                 for k in range(topics):
                     total[:, k] += np.bincount(word, r[:, k] * count, size)
 
-        counts = _sum_by_word(docs, step, topics, size)
+        # a topic keeps to its language: else one with few documents is taken over by passages in another
+        counts = _sum_by_word(docs, step, topics, size) * tongue
         beta.unpersist()
-    return Model(vocabulary, subjects, (counts + s.beta) / (counts + s.beta).sum(0), map_topics(counts, prefer, s), prefer)
+    # words that five labelled documents or more have speak for the subjects that those prefer; rarer ones for that of their topic
+    clear = np.where(first[:size, [n_s]] >= 5, np.clip(prefer / s.preference, 0, 1), 1.0)
+    return Model(vocabulary, subjects, (counts + s.beta) / (counts + s.beta).sum(0), map_topics(counts, prefer, s), clear)
 
 
 def map_topics(counts: np.ndarray, prefer: np.ndarray, s: Settings) -> list[int]:
@@ -204,18 +228,23 @@ def map_topics(counts: np.ndarray, prefer: np.ndarray, s: Settings) -> list[int]
     return out
 
 
-def prepare(documents: DataFrame, subjects: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, list[str], list[str]]:
-    """(encoded docs, vocabulary, subjects) of documents (doc_id, text), subjects (subject), labels (doc_id, subject)."""
+def prepare(documents: DataFrame, subjects: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, list[str], list[str], int]:
+    """(encoded docs, vocabulary, subjects, number of languages) of documents (doc_id, text, lang), subjects (subject), labels (doc_id, subject)."""
+    spark = documents.sparkSession
     names = [r.subject for r in subjects.select("subject").filter("subject IS NOT NULL").distinct().orderBy("subject").collect()]
-    numbered = documents.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "subject string, i int")
+    numbered = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "subject string, i int")
     given = labels.join(F.broadcast(numbered), "subject").groupBy("doc_id").agg(F.collect_set("i").alias("labels"))
-    cut = store(_sentences(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")).filter(F.size("ws") > 0), "sentences")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", language_key("lang").alias("lang")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    cut = store(_sentences(texts), "sentences").filter(F.size("ws") > 0)
     n = cut.count()
+    # at most 1 / language_share languages are frequent enough
+    tongues = cut.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= s.language_share * n).orderBy("lang").select("lang").collect()
+    spoken = spark.createDataFrame([(r.lang, i) for i, r in enumerate(tongues)], "lang string, l int")
     seen = cut.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     kept = seen.filter((F.col("n") >= max(3, s.rarest * n)) & (F.col("n") <= max(3, s.commonest * n)))
     vocabulary = sorted(r.w for r in kept.select("w").collect())
-    docs = store(_encode(cut.join(given, "doc_id", "left").select("doc_id", "ws", "lens", "labels"), vocabulary), "encoded")
-    return docs, vocabulary, names
+    full = cut.join(F.broadcast(spoken), "lang", "left").join(given, "doc_id", "left").select("doc_id", "ws", "lens", "labels", F.coalesce("l", F.lit(-1)).alias("lang"))
+    return store(_encode(full, vocabulary), "encoded"), vocabulary, names, len(tongues)
 
 
 def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFrame:
@@ -225,11 +254,11 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
     for k, i in enumerate(model.subject_of):
         if i >= 0:
             own[k, i] = 1
-    known = docs.sparkSession.sparkContext.broadcast((model.beta, own, model.subjects))
+    known = docs.sparkSession.sparkContext.broadcast((model.beta, own, model.subjects, model.clear))
     schema = "doc_id bigint, subject string, n_sentences bigint, share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beta, own, names = known.value
+        beta, own, names, clear = known.value
         for b in _pieces(batches):
             word, doc = _flat(b.column(1))
             lens, of = _flat(b.column(2))
@@ -240,8 +269,9 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
             _, total = infer(w, d, c, b.num_rows, beta, np.full((b.num_rows, topics), s.alpha), s.inner)
             prior = (total + s.alpha) / (total + s.alpha).sum(1, keepdims=True)
             w, e, c = _bag(word, sent, size)
-            _, inside = infer(w, e, c, len(lens), beta, prior[of] + 0.05, 4)
-            about = (inside @ own) >= s.mass
+            r, _ = infer(w, e, c, len(lens), beta, prior[of] + 0.05, 4)
+            words = (r @ own) * clear[w] * c[:, None]
+            about = np.stack([np.bincount(e, words[:, i], len(lens)) for i in range(len(names))], 1) >= s.mass
             n = np.zeros((b.num_rows, len(names)), np.int64)
             np.add.at(n, of, about)
             share = (total @ own) / np.maximum(total.sum(1, keepdims=True), 1e-9)
@@ -253,11 +283,11 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
 
 
 def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, settings: Settings = Settings(), least: int = 2) -> tuple[DataFrame, Model]:
-    """(doc_id, subject, n_sentences, share; model) for documents (doc_id, text).
+    """(doc_id, subject, n_sentences, share; model) for documents (doc_id, text, lang).
 
     Null and empty texts have no subject; null doc_ids are left aside. Labels of unknown subjects or documents have no
     effect. Without labels no topic can be mapped, and the result is empty. doc_id must be unique.
     """
-    docs, vocabulary, names = prepare(documents, subjects, labels, settings)
-    model = fit(docs, vocabulary, names, settings)
+    docs, vocabulary, names, languages = prepare(documents, subjects, labels, settings)
+    model = fit(docs, vocabulary, names, languages, settings)
     return assign(docs, model, settings, least), model
