@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.keys import hamming, md5_key, name_key, split_key
-from foliant.llm import components, grouping, leakage, mixing, overlap, sampling
+from foliant.llm import components, grouping, leakage, mixing, overlap, sampling, subjects
 from foliant.llm.words import token_count
 from foliant.plans.tables import table
 
@@ -161,8 +161,37 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_report(spark, folder).filter("is_short").select("source")
 
 
+# 8. Subject area of each document
+
+
+def _p8(spark: SparkSession, folder: str) -> tuple[DataFrame, subjects.Model]:
+    labels = table(spark, folder, "subject_labels").select("doc_id", name_key("subject").alias("subject"))
+    return subjects.subjects_of(table(spark, folder, "documents").select("doc_id", "text", "lang"), table(spark, folder, "subjects"), labels)
+
+
+def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of every document, the sentences about them and their share of its words."""
+    return _p8(spark, folder)[0].withColumn("share", F.round("share", 6))
+
+
+def p8_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The top terms of the fitted topics, for inspection."""
+    return subjects.topic_terms(_p8(spark, folder)[1], spark)
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and sentences of each subject by source."""
+    found = _p8(spark, folder)[0]
+    source = table(spark, folder, "documents").select("doc_id", name_key("source").alias("source"))
+    return found.join(source, "doc_id").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _p8(spark, folder)[0].select("doc_id", "subject")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_report, p5_units, p5_assignment, p5_shares, p5_found, p6_leaks, p6_items, p6_found, p7_mix, p7_report, p7_found)
+    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_report, p5_units, p5_assignment, p5_shares, p5_found, p6_leaks, p6_items, p6_found, p7_mix, p7_report, p7_found, p8_subjects, p8_topics, p8_composition, p8_found)
 }
 
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"

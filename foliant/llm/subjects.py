@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.words import plain
@@ -43,7 +43,7 @@ class Settings:
     commonest: float = 0.4
     top_terms: int = 40
     preference: float = 0.7  #: a word speaks fully for a subject if it is exp(0.7) times as frequent in its documents as in others
-    mass: float = 1.3  #: words of a sentence that must fall to a subject
+    mass: float = 2.5  #: words of a sentence that must fall to a subject
     seed: int = 42
 
 
@@ -291,3 +291,12 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, se
     docs, vocabulary, names, languages = prepare(documents, subjects, labels, settings)
     model = fit(docs, vocabulary, names, languages, settings)
     return assign(docs, model, settings, least), model
+
+
+def topic_terms(model: Model, spark: SparkSession, n: int = 15) -> DataFrame:
+    """topic, subject (null for background), rank, term, weight: the top terms by which topics are mapped and can be inspected."""
+    rows = []
+    for k, i in enumerate(model.subject_of):
+        for r, w in enumerate(np.argsort(-model.beta[:, k], kind="stable")[:n]):
+            rows.append((k, model.subjects[i] if i >= 0 else None, r + 1, model.vocabulary[w], float(model.beta[w, k])))
+    return spark.createDataFrame(rows, "topic int, subject string, rank int, term string, weight double")
