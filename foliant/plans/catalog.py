@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.keys import name_key
 from foliant.operators import skew
+from foliant.plans import etl, monitoring, scores
 from foliant.plans.tables import table
 
 # 4. A few keys holding most records
@@ -42,11 +43,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_profile(spark, folder).filter("is_hot").select("label")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_profile, p4_largest, p4_median, p4_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**etl.QUERIES, **{f.__name__: f for f in (p4_profile, p4_largest, p4_median, p4_found)}}
+assert monitoring and scores  # they register their queries in etl.QUERIES
 
 _LABEL = "trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_')"
 
 SQL: dict[str, str] = {
+    **etl.SQL,
     "p4_profile": f"""
 SELECT {_LABEL} AS label, count(*) AS n_rows, count(size_bytes) AS n_sized, sum(size_bytes)::BIGINT AS total_bytes, min(size_bytes) AS min_bytes, max(size_bytes) AS max_bytes,
   round(count(*) / (SELECT count(*) FROM split_csv)::DOUBLE, 6) AS share, {_LABEL} IS NOT NULL AND count(*) * 20 >= (SELECT count(*) FROM split_csv) AS is_hot
