@@ -32,10 +32,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], weight: str | None
 
     Rows of a group (null is a group) stand in the order of the columns `order`; ties stand in
     any, but fixed, order. `before` sums the weights (bigint; null counts 0) of the rows ahead.
-    No group is ever brought into one task. An empty table gives an empty table. df must not
-    have columns that start with `_r_`.
+    No group is ever brought into one task. An empty table gives an empty table. Columns of df that
+    are named like a result and are neither key, order nor weight are replaced; none may start with `_r_`.
     """
     by = [*keys, *order]
+    df = df.drop(*({"rank", "group_rows", *(("before", "group_weight") if weight else ())} - {*by, weight}))
     out = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_r_mid", F.monotonically_increasing_id())
     if weight:
         schema = T.StructType([*out.schema.fields, T.StructField("_r_cum", T.LongType())])
