@@ -34,7 +34,7 @@ class Settings:
 
     background: int = 2  #: topics for each language besides those of the subjects
     language_share: float = 0.01  #: a language has topics of its own if at least this share of the documents is marked with it
-    passes: int = 10
+    passes: int = 6
     inner: int = 8
     alpha: float = 0.15
     beta: float = 0.02
@@ -104,19 +104,32 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
 
 
 def infer(word: np.ndarray, group: np.ndarray, count: np.ndarray, n_groups: int, beta: np.ndarray, prior: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """(responsibilities of each entry, words of each group by topic), with rows of prior for the groups."""
-    theta = prior / prior.sum(1, keepdims=True)
-    like = beta[word]
-    total = np.zeros_like(prior)
+    """(words of each entry by topic, words of each group by topic), with rows of prior for the groups.
+
+    Entries must be sorted by group. A round needs the likelihood of each entry under its group's proportions only, and
+    sums over the entries of a group, which lie together.
+    """
+    has, starts = np.unique(group, return_index=True)
+    like, theta, total = beta[word], prior.astype(beta.dtype), np.zeros(prior.shape, beta.dtype)
+    at, count = np.searchsorted(has, group), count.astype(beta.dtype)
+    t = theta[has]
     for _ in range(inner):
-        r = like * theta[group]
-        r /= r.sum(1, keepdims=True) + 1e-30
-        for k in range(prior.shape[1]):
-            total[:, k] = np.bincount(group, r[:, k] * count, n_groups)
-        theta = total + prior
+        share = count / (np.einsum("ij,ij->i", like, t[at]) + beta.dtype.type(1e-30))
+        inside = t * np.add.reduceat(like * share[:, None], starts, axis=0)
+        t = inside + theta[has]
+    share = count / (np.einsum("ij,ij->i", like, t[at]) + beta.dtype.type(1e-30))
+    r = like * t[at] * share[:, None]
+    total[has] = np.add.reduceat(r, starts, axis=0)
     return r, total
 
 
+def _add_by(index: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
+    """total[index] += rows, with repeats."""
+    order = np.argsort(index, kind="stable")
+    has, starts = np.unique(index[order], return_index=True)
+    total[has] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 def _bag(word: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both, count = np.unique(doc[word >= 0] * size + word[word >= 0], return_counts=True)
     return both % size, both // size, count.astype(np.float64)
@@ -198,14 +211,13 @@ def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages:
         tongue[:, l * n_s : (l + 1) * n_s] = tongue[:, at : at + s.background] = spoken[:, [l]]
         counts[:, at : at + s.background] = mine[:, None] * rng.gamma(5.0, 0.2, (size, s.background)) * np.exp(-prefer.max(1, initial=0))[:, None]
     for _ in range(s.passes if size else 0):
-        beta = spark.sparkContext.broadcast((counts + s.beta) / (counts + s.beta).sum(0))
+        beta = spark.sparkContext.broadcast(((counts + s.beta) / (counts + s.beta).sum(0)).astype(np.float32))
 
         def step(b: pa.RecordBatch, total: np.ndarray) -> None:
             word, doc, count = _bag(*_flat(b.column(1)), size)
             if len(word):
                 r, _ = infer(word, doc, count, b.num_rows, beta.value, _label_prior(b, topics, n_s, n_l, s), s.inner)
-                for k in range(topics):
-                    total[:, k] += np.bincount(word, r[:, k] * count, size)
+                _add_by(word, r, total)
 
         # a topic keeps to its language: else one with few documents is taken over by passages in another
         counts = _sum_by_word(docs, step, topics, size) * tongue
@@ -254,7 +266,7 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
     for k, i in enumerate(model.subject_of):
         if i >= 0:
             own[k, i] = 1
-    known = docs.sparkSession.sparkContext.broadcast((model.beta, own, model.subjects, model.clear))
+    known = docs.sparkSession.sparkContext.broadcast((model.beta.astype(np.float32), own, model.subjects, model.clear))
     schema = "doc_id bigint, subject string, n_sentences bigint, share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +282,9 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
             prior = (total + s.alpha) / (total + s.alpha).sum(1, keepdims=True)
             w, e, c = _bag(word, sent, size)
             r, _ = infer(w, e, c, len(lens), beta, prior[of] + 0.05, 4)
-            words = (r @ own) * clear[w] * c[:, None]
-            about = np.stack([np.bincount(e, words[:, i], len(lens)) for i in range(len(names))], 1) >= s.mass
+            words = np.zeros((len(lens), len(names)))
+            _add_by(e, (r @ own) * clear[w], words)
+            about = words >= s.mass
             n = np.zeros((b.num_rows, len(names)), np.int64)
             np.add.at(n, of, about)
             share = (total @ own) / np.maximum(total.sum(1, keepdims=True), 1e-9)
