@@ -92,7 +92,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataF
     """
     spark = documents.sparkSession
     key = F.concat_ws("\x1f", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("sources", F.array())))))
-    docs = documents.select("doc_id", key.alias("pattern"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+    docs = store(documents.select("doc_id", key.alias("pattern"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")), "counted")  # texts are counted once
     sums = store(docs.groupBy("pattern").agg(F.sum("tokens").alias("tokens")), "patterns")
     if sums.count() > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
