@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators.ranking import ranked
-from foliant.plans.workspace import small
+from foliant.plans.workspace import small, store
 
 
 def _start(seed: int) -> float:
@@ -65,7 +65,7 @@ def draw(rows: DataFrame, targets: DataFrame, fraction: tuple[int, int] = (1, 5)
     with exactly that many rows, so a sample grows by the rows that its floors need.
     """
     u = _start(seed)
-    kept = rows.select("row_id", "stratum", "category").filter("stratum IS NOT NULL")
+    kept = store(rows.select("row_id", "stratum", "category").filter("stratum IS NOT NULL"), "rows")  # names are made canonical once
     plan = small(allocation(kept, targets, fraction), "allocation")
     keyed = kept.filter("category IS NOT NULL").withColumn("shuffled", F.xxhash64(F.lit(seed), "row_id"))
     wanted = keyed.join(plan.select("stratum", "category"), ["stratum", "category"], "left_semi")
