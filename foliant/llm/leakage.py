@@ -30,7 +30,9 @@ from foliant.plans.workspace import store
 
 _BITS = 64
 #: Words worked on at once in a task; 64 running sums for each make up most of the memory.
-PIECE = 60_000
+PIECE = 16_000
+#: Candidates compared at once.
+CANDIDATES = 1_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -91,7 +93,9 @@ def passage_index(length: int, items: np.ndarray, hashes: np.ndarray, weights: n
     for lo, hi in zip(edges, edges[1:]):
         key = _cut(prints, lo, hi)
         order = np.argsort(key, kind="stable")
-        blocks.append((lo, hi, key[order], order))
+        # where each value of a block of up to 20 bits begins among the sorted ones
+        table = np.searchsorted(key[order], np.arange((1 << (hi - lo)) + 1, dtype=np.uint64)) if hi - lo <= 20 else None
+        blocks.append((lo, hi, key[order], order, table))
     return {
         "length": length, "items": items, "hashes": hashes, "n": n, "per": length - n + 1, "radius": radius,
         "sh": np.array([h for h, _ in each]), "sw": np.array([w for _, w in each], dtype=np.int64), "prints": prints, "blocks": blocks,
@@ -101,18 +105,24 @@ def passage_index(length: int, items: np.ndarray, hashes: np.ndarray, weights: n
 def search(index: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, passage) of all pairs within the radius."""
     found = []
-    for lo, hi, key, order in index["blocks"]:
+    for lo, hi, key, order, table in index["blocks"]:
         k = _cut(prints, lo, hi)
-        a, b = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
+        if table is None:
+            a, b = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
+        else:
+            a, b = table[k.astype(np.int64)], table[k.astype(np.int64) + 1]
         n = b - a
-        at = np.flatnonzero(n)
-        if not len(at):
-            continue
-        win = np.repeat(at, n[at])
-        off = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-        pas = order[np.repeat(a[at], n[at]) + off]
-        near = np.bitwise_count(prints[win] ^ index["prints"][pas]) <= index["radius"]
-        found.append(np.stack([win[near], pas[near]]))
+        hit = np.flatnonzero(n)
+        upto = np.cumsum(n[hit])
+        # a common value may have many candidates: they are compared CANDIDATES at a time
+        for at in np.split(hit, np.searchsorted(upto, np.arange(CANDIDATES, upto[-1] if len(upto) else 0, CANDIDATES))):
+            if not len(at):
+                continue
+            win = np.repeat(at, n[at])
+            off = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+            pas = order[np.repeat(a[at], n[at]) + off]
+            near = np.bitwise_count(prints[win] ^ index["prints"][pas]) <= index["radius"]
+            found.append(np.stack([win[near], pas[near]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     w, p = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -156,6 +166,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     outs = []
     for p in range(passes):
         rows = cut.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(passes)) == p).toPandas()
+        if rows.empty:
+            continue
         by_length = []
         for length, g in rows.groupby(rows["ws"].map(len)):
             hs = np.array([[_hash(w) for w in ws] for ws in g["ws"]], dtype=np.uint64)
