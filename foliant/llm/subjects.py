@@ -97,10 +97,24 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), sizes)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+#: Words worked on at once; a single longer document or sentence is one piece.
+WORDS = 60_000
+
+
+def _cuts(sizes: np.ndarray, most: int = WORDS) -> list[tuple[int, int]]:
+    """Ranges of consecutive entries with about `most` in sum, at least one entry each."""
+    if not len(sizes):
+        return []
+    group = (np.cumsum(sizes) - sizes) // most
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
+    return list(zip(starts, starts[1:]))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with a bounded number of words in column 1."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        for lo, hi in _cuts(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)):
+            yield b.slice(lo, hi - lo)
 
 
 def infer(word: np.ndarray, group: np.ndarray, count: np.ndarray, n_groups: int, beta: np.ndarray, prior: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,11 +294,15 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
                 continue
             _, total = infer(w, d, c, b.num_rows, beta, np.full((b.num_rows, topics), s.alpha), s.inner)
             prior = (total + s.alpha) / (total + s.alpha).sum(1, keepdims=True)
-            w, e, c = _bag(word, sent, size)
-            r, _ = infer(w, e, c, len(lens), beta, prior[of] + 0.05, 4)
-            words = np.zeros((len(lens), len(names)))
-            _add_by(e, (r @ own) * clear[w], words)
-            about = words >= s.mass
+            about = np.zeros((len(lens), len(names)), bool)
+            for lo, hi in _cuts(lens):
+                at, to = np.searchsorted(sent, [lo, hi])
+                w, e, c = _bag(word[at:to], sent[at:to] - lo, size)
+                if len(w):
+                    r, _ = infer(w, e, c, hi - lo, beta, prior[of[lo:hi]] + np.float32(0.05), 4)
+                    words = np.zeros((hi - lo, len(names)))
+                    _add_by(e, (r @ own) * clear[w], words)
+                    about[lo:hi] = words >= s.mass
             n = np.zeros((b.num_rows, len(names)), np.int64)
             np.add.at(n, of, about)
             share = (total @ own) / np.maximum(total.sum(1, keepdims=True), 1e-9)
