@@ -6,9 +6,10 @@ of equal weight, whole bins then go to the splits by target proportion. Largest
 the two with the widest spread, the heaviest bin of one with the lightest of the other.
 
 A stratum may have billions of units, so its units are first counted by weight. Of m units of
-one weight, as many as fill all bins equally change no spread and are dealt out directly; fewer
-than `bins` units of each weight remain. There are at most sqrt(2 * rows) different weights, so
-differencing runs on a few items whatever the size of the stratum, and gives what it would give on all.
+one weight, as many as fill all bins equally change no spread and are dealt out directly, but for
+the last few rounds, which are kept so that light units can even out the heavy ones; less than
+(KEPT + 1) * bins units of each weight remain. There are at most sqrt(2 * rows) different weights,
+so differencing runs on a few items whatever the size of the stratum.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from foliant.operators.ranking import ranked
 from foliant.plans.workspace import small
 
 
+#: Rounds of each weight that are left to differencing.
+KEPT = 4
+
+
 def differencing(weights: list[int], bins: int) -> list[int]:
     """The bin of each weight by largest differencing; ties by position, so the result is fixed."""
     if not weights:
@@ -53,12 +58,25 @@ def differencing(weights: list[int], bins: int) -> list[int]:
 
 
 def allocate(sums: list[int], shares: dict[str, float]) -> list[str]:
-    """A split for each bin: the heaviest bin first, to the split that lacks most of its share."""
+    """A split for each bin: the heaviest bin first, to the split that lacks most of its share; then bins are swapped while that brings the splits closer to their shares."""
     total, names, have = sum(sums) or 1, list(shares), dict.fromkeys(shares, 0)
     out = [names[0]] * len(sums)
     for i in sorted(range(len(sums)), key=lambda i: (-sums[i], i)):
         out[i] = max(names, key=lambda n: (shares[n] * total - have[n], -names.index(n)))
         have[out[i]] += sums[i]
+    over = {n: have[n] - shares[n] * total for n in names}
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(sums)):
+            for j in range(i):
+                a, b, d = out[i], out[j], sums[i] - sums[j]
+                # moving d from a to b; each swap lowers the squared deviation, so this ends
+                if a != b and 2 * d * (over[b] - over[a] + d) < -1e-9 * total:
+                    out[i], out[j] = b, a
+                    over[a] -= d
+                    over[b] += d
+                    moved = True
     return out
 
 
@@ -70,27 +88,26 @@ def balance(units: DataFrame, shares: dict[str, float], bins: int = 20, seed: in
     """
     placed = ranked(units, ["stratum", "weight"], ["order_key"])
     hist = units.groupBy("stratum", "weight").agg(F.count(F.lit(1)).alias("m"))
-    names = list(shares)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("weight", ascending=False)
-        left = [(int(w), j) for w, m in zip(pdf["weight"], pdf["m"]) for j in range(int(m) % bins)]
+        dealt = [max(0, int(m) // bins - KEPT) for m in pdf["m"]]
+        left = [(int(w), j) for w, m, d in zip(pdf["weight"], pdf["m"], dealt) for j in range(int(m) - d * bins)]
         put = differencing([w for w, _ in left], bins)
-        sums = [sum(int(w) * (int(m) // bins) for w, m in zip(pdf["weight"], pdf["m"]))] * bins
+        sums = [sum(int(w) * d for w, d in zip(pdf["weight"], dealt))] * bins
         for (w, _), b in zip(left, put):
             sums[b] += w
         split = allocate(sums, shares)
         rows = [(w, bins + j, split[b]) for (w, j), b in zip(left, put)]
-        rows += [(int(w), b, split[b]) for w, m in zip(pdf["weight"], pdf["m"]) if m >= bins for b in range(bins)]
+        rows += [(int(w), b, split[b]) for w, d in zip(pdf["weight"], dealt) if d for b in range(bins)]
         out = pd.DataFrame(rows, columns=["p_weight", "slot", "new_split"])
         out.insert(0, "p_stratum", pdf["stratum"].iloc[0])
         return out
 
     slots = small(hist.groupBy("stratum").applyInPandas(plan, "p_stratum string, p_weight bigint, slot bigint, new_split string"), "slots")
-    r, full = F.col("rank") - 1, F.floor(F.col("group_rows") / bins) * bins
+    r, full = F.col("rank") - 1, F.greatest(F.lit(0), F.floor(F.col("group_rows") / bins) - KEPT) * bins
     placed = placed.withColumn("slot_of", F.when(r < full, r % bins).otherwise(bins + r - full))
     on = placed["stratum"].eqNullSafe(slots["p_stratum"]) & (placed["weight"] == slots["p_weight"]) & (placed["slot_of"] == slots["slot"])
-    assert names
     return placed.join(slots, on).drop("p_stratum", "p_weight", "slot", "slot_of", "rank", "group_rows")
 
 

@@ -242,12 +242,13 @@ def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages:
 
 
 def map_topics(counts: np.ndarray, prefer: np.ndarray, s: Settings) -> list[int]:
-    """The subject that the top terms of each topic prefer, -1 where they prefer none clearly."""
+    """The subject that the top terms of each topic, by their weight in it, prefer; -1 where they prefer none clearly."""
     out = []
     lift = counts / (counts.sum(0) + 1e-9) / (counts.sum(1, keepdims=True) / max(counts.sum(), 1e-9) + 1e-9)
     for k in range(counts.shape[1]):
         top = np.argsort(-counts[:, k] * np.log1p(lift[:, k]), kind="stable")[: s.top_terms]
-        score = prefer[top].mean(0) if len(top) else np.zeros(prefer.shape[1])
+        weight = counts[top, k] / max(counts[top, k].sum(), 1e-9)
+        score = weight @ prefer[top] if len(top) else np.zeros(prefer.shape[1])
         best = int(np.argmax(score)) if len(score) else -1
         rest = np.delete(score, best).max() if len(score) > 1 else 0.0
         out.append(best if best >= 0 and score[best] > 0.5 and score[best] > 1.5 * rest else -1)
