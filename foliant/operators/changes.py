@@ -15,8 +15,8 @@ def next_ids(new: DataFrame, history: DataFrame, code: str, order: list[str], pr
     """
     n = F.regexp_extract(F.col(code), f"^{prefix}([0-9]+)$", 1)
     top = history.agg(F.coalesce(F.max(F.when(n != "", n.cast("bigint"))), F.lit(0)).alias("_top"))
-    out = ranked(new, [], order).join(F.broadcast(top)).withColumn("number", F.col("_top") + F.col("rank"))  # one row
-    return out.withColumn(code, F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), digits, "0"))).drop("_top", "rank", "group_rows")
+    out = ranked(new, [], order).withColumn("number", top.scalar() + F.col("rank"))
+    return out.withColumn(code, F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), digits, "0"))).drop("rank", "group_rows")
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -54,10 +54,10 @@ def append_observations(observations: DataFrame, images: DataFrame, new: DataFra
     """
     rank = ranked(new, [], ["created_at", "plant_id", "file_name"]).drop("group_rows").withColumnRenamed("rank", "_n")
     rank = ranked(rank, ["plant_id"], ["_n"]).drop("group_rows").withColumnRenamed("rank", "_p")
-    top = lambda df, name: df.agg(F.coalesce(F.max("id"), F.lit(0)).alias(name))
+    top = lambda df: df.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     had = observations.groupBy(F.col("plant_id").alias("_e")).agg(F.count(F.lit(1)).alias("_had"))
-    x = rank.join(F.broadcast(top(observations, "_o"))).join(F.broadcast(top(images, "_i"))).join(had, F.col("plant_id") == F.col("_e"), "left")  # one row each
-    x = x.withColumns({"id": F.col("_o") + F.col("_n"), "image_id": F.col("_i") + F.col("_n"), "_at": F.col("_p") + F.coalesce("_had", F.lit(0))})
+    x = rank.join(had, F.col("plant_id") == F.col("_e"), "left")
+    x = x.withColumns({"id": top(observations) + F.col("_n"), "image_id": top(images) + F.col("_n"), "_at": F.col("_p") + F.coalesce("_had", F.lit(0))})
     code = F.concat(F.lit("PG-"), F.lpad(F.col("plant_id").cast("string"), 6, "0"))
     name = F.concat(F.lit("observation_"), F.lpad(F.col("_at").cast("string"), 3, "0"), F.lit(".jpg"))
     pictures = x.select(F.col("image_id").alias("id"), "plant_id", F.concat_ws("/", F.lit("data/plants"), code, name).alias("file_path"), name.alias("file_name"), F.col("created_at").alias("upload_date"))

@@ -28,7 +28,7 @@ def key_profile(df: DataFrame, key: str, size: str, hot_share: tuple[int, int] =
     )
     total = df.agg(F.count(F.lit(1)).alias("all_rows"))
     return (
-        per.join(F.broadcast(total))  # one row
+        per.withColumn("all_rows", total.scalar())
         .withColumn("share", F.col("n_rows") / F.col("all_rows"))
         .withColumn("is_hot", F.col("key").isNotNull() & (F.col("n_rows") * den >= F.col("all_rows") * num))
         .drop("all_rows")

@@ -39,8 +39,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     Null labels are left aside.
     """
     per = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    sums = per.agg(F.sum(1 / F.greatest("n", F.lit(1))).alias("s"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"))
-    x = per.join(F.broadcast(sums))  # one row
+    x = per.withColumn("t", per.agg(F.struct(F.sum(1 / F.greatest("n", F.lit(1))).alias("s"), F.count(F.lit(1)).alias("k"))).scalar()).select("*", "t.*")
     inv = 1 / F.greatest("n", F.lit(1))
     return x.select(label, "n", (inv * F.col("k") / F.col("s")).alias("weight_inverse"), (inv / F.col("s")).alias("weight_balanced"))
 
@@ -49,5 +48,5 @@ def label_weights(df: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """label, n, weight of a given list of labels; a label without rows weighs as if it had one."""
     per = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     out = labels.join(per, F.col(label) == F.col("_l"), "left").select(label, F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)).alias("n"))
-    sums = out.agg(F.sum(1 / F.col("n")).alias("s"), F.count(F.lit(1)).alias("k"))
-    return out.join(F.broadcast(sums)).select(label, "n", (F.col("k") / F.col("n") / F.col("s")).alias("weight"))
+    sums = out.agg(F.struct(F.sum(1 / F.col("n")).alias("s"), F.count(F.lit(1)).alias("k")))
+    return out.withColumn("t", sums.scalar()).select("*", "t.*").select(label, "n", (F.col("k") / F.col("n") / F.col("s")).alias("weight"))
