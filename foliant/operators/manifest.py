@@ -65,3 +65,16 @@ def fraction_per_label(df: DataFrame, label: str, order: list[str], fraction: fl
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
     return ranked(df, [label], order).filter(F.col("rank") <= F.greatest(F.lit(1), F.rint(F.col("group_rows") * F.lit(fraction)))).drop("rank", "group_rows")
+
+
+def hash_sample_per(df: DataFrame, group: str, row_id: str, n: int, seed: int) -> DataFrame:
+    """Exactly min(n, rows) rows of each group by the hash of seed and row_id; cut to n in each task before the shuffle."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"))), row_id)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def smoke_subset(df: DataFrame, order: list[str], n: int = 64) -> DataFrame:
+    """The first n rows by `order`, for a trial run."""
+    return df.orderBy(*order).limit(n)

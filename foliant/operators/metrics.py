@@ -95,3 +95,17 @@ def patience(df: DataFrame, phase: str, epoch: str, score: str, patience: int =
 def best_of(df: DataFrame, score: str) -> DataFrame:
     """One row: best, 0 without rows."""
     return df.agg(F.coalesce(F.max(score), F.lit(0.0)).alias("best"))
+
+
+def evaluation(df: DataFrame, y: str, pred: str, confidence: str, threshold: float = 0.55, bins: int = 10, n_worst: int = 8) -> DataFrame:
+    """One row with all figures of an evaluation: those of `coverage`, macro_f1, classes, ece, threshold, per_class (label -> struct) and worst_classes ([label, recall])."""
+    per = per_class(df, y, pred)
+    low = F.slice(F.array_sort(F.collect_list(F.when(F.col("support") > 0, F.struct("recall", "label")))), 1, n_worst)
+    figures = per.agg(
+        F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("classes"), F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("string"), F.struct("precision", "recall", "f1", "support")))).alias("per_class"),
+        F.transform(low, lambda x: F.struct(x["label"].alias("label"), x["recall"].alias("recall"))).alias("worst_classes"),
+    )
+    one = coverage(df, y, pred, confidence, threshold).withColumn("at", F.lit(1))
+    for part in (figures, ece(df, y, pred, confidence, bins)):  # one row each
+        one = one.join(part.withColumn("on", F.lit(1)), F.col("at") == F.col("on")).drop("on")
+    return one.withColumn("threshold", F.lit(threshold)).drop("at")

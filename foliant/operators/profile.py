@@ -99,3 +99,24 @@ def tasks_supported(df: DataFrame, group: str, label: str, identify: tuple[str,
         group, "classes", "healthy_classes", within(identify).alias("plant_identification"), ((F.col("healthy_classes") > 0) & diseased).alias("health_classification"),
         diseased.alias("disease_classification"), within(deficiency).alias("deficiency_classification"), F.lit(False).alias("severity_estimation"),
     )
+
+
+def report(df: DataFrame, group: str, label: str, suffix: str, ok: str, md5: str, size: str, width: str, height: str) -> DataFrame:
+    """One nested document for each group: files{n, valid, corrupt, unsupported}, classes (label -> n, of valid files), formats (suffix -> n),
+    sizes{total_mb, mean_kb, min, median, max}, dimensions{min, median, max as [width, height]}, duplicates{groups, files, wasted_bytes}.
+
+    Null labels and suffixes are named `unknown` in the maps. Every part is an aggregate of its own, joined on the group.
+    """
+    good = df.filter(F.coalesce(F.col(ok), F.lit(False)))
+    counted = lambda d, c, name: d.groupBy(F.col(group).alias("g"), F.coalesce(F.col(c), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(name))
+    s, i, t = size_profile(df, group, size, width, height), integrity(df, group, ok), totals(df, group, ok, md5, size).filter("NOT is_total")
+    parts = [
+        counted(good, label, "classes"), counted(df, suffix, "formats"),
+        s.select(F.col(group).alias("g"), F.struct("total_mb", "mean_kb", F.col("min_size").alias("min"), F.col("median_size").alias("median"), F.col("max_size").alias("max")).alias("sizes"),
+                 F.struct(F.array("min_width", "min_height").alias("min"), F.array("median_width", "median_height").alias("median"), F.array("max_width", "max_height").alias("max")).alias("dimensions")),
+        t.select(F.col(group).alias("g"), F.struct(F.col("dup_groups").alias("groups"), F.col("dup_files").alias("files"), "wasted_bytes").alias("duplicates")),
+    ]
+    out = i.select(F.col(group), F.struct(F.col("n_files").alias("n"), F.col("n_valid").alias("valid"), F.col("n_corrupt").alias("corrupt"), F.col("n_unsupported").alias("unsupported")).alias("files"))
+    for p in parts:
+        out = out.join(p, F.col(group).eqNullSafe(F.col("g")), "left").drop("g")
+    return out

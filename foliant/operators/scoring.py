@@ -113,3 +113,27 @@ def attention_share(heat: Column | str, above: float = 0.4) -> Column:
     """Share of the values above a limit, to four digits; null for an empty array."""
     h = _c(heat)
     return F.when(F.size(h) > 0, F.round(F.size(F.filter(h, lambda x: x > above)) / F.size(h), 4))
+
+
+def payload(df: DataFrame, row_id: str, logits: str, classes: list[str], kb: DataFrame, plans: DataFrame, threshold: float = THRESHOLD, k: int = TOP_K, model_version: str = "0.1.0") -> DataFrame:
+    """row_id and the nested prediction document: accepted, reason, diagnosis{}, matches[], confidence_threshold{}, disease_health_status,
+    treatment_recommendations[], care_plan{}, severity, deficiency, quality_warnings[], model_version.
+
+    kb: class, common_name, description, treatment. plans: class, actions, products, nutrition, prevention. Recommendations are given for a class that is not
+    healthy even if it is not accepted; the care plan only if it is accepted.
+    """
+    from foliant.functions.text import common_name
+    from foliant.operators.reference import PLAN, dimension
+
+    p = predictions(df, row_id, logits, classes, threshold, k)
+    p = p.join(dimension(kb.select(F.col("class").alias("_k"), F.col("common_name").alias("_n"), "description", "treatment")), F.col("cls") == F.col("_k"), "left")
+    p = p.join(dimension(plans.select(F.col("class").alias("_p"), F.struct(*PLAN).alias("_plan"))), F.col("cls") == F.col("_p"), "left")
+    advice = F.struct(F.coalesce("_n", common_name("cls")).alias("disease"), "description", F.col("treatment").alias("guidance"))
+    sick = F.col("cls").isNotNull() & ~is_healthy("cls")
+    warnings = F.col("quality_warnings") if "quality_warnings" in p.columns else F.array().cast("array<string>")
+    return p.select(
+        row_id, "accepted", "reason", F.struct(F.col("cls").alias("disease"), display_name("cls").alias("name"), "confidence", F.col("status").alias("health_status")).alias("diagnosis"), "matches",
+        F.struct(F.lit(threshold).alias("value"), F.col("accepted").alias("met")).alias("confidence_threshold"), F.col("status").alias("disease_health_status"),
+        F.when(sick, F.array(advice)).otherwise(F.array().cast("array<struct<disease:string,description:string,guidance:string>>")).alias("treatment_recommendations"),
+        F.when(F.col("accepted"), F.col("_plan")).alias("care_plan"), "severity", "deficiency", warnings.alias("quality_warnings"), F.lit(model_version).alias("model_version"),
+    )

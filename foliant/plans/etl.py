@@ -231,3 +231,20 @@ k AS (SELECT label, array_to_string(bs, '')::BIT AS bits, min(vec_id) AS id FROM
 def vector_neardups(spark, folder):
     """Pairs of embeddings of one label whose 64-bit average hashes differ in at most 20 bits."""
     return neardup.vector_pairs(table(spark, folder, "embeddings"), "vec_id", "label", "embedding", 20, 21)
+
+
+@query(f"""WITH {FILES}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('2026|' || record_id), record_id) AS rn FROM f) WHERE rn <= 200),
+c AS (SELECT dataset, ahash, count(*) AS c FROM s GROUP BY ALL) SELECT dataset, sum(CASE WHEN ahash IS NULL THEN 0 ELSE c - 1 END)::BIGINT AS near_duplicates FROM c GROUP BY 1""")
+def near_dup_sampled(spark, folder):
+    """The estimate on 200 sampled files of each dataset."""
+    f = files(spark, folder).select("dataset", "record_id", "ahash")
+    return profile.near_estimate(manifest.hash_sample_per(f, "dataset", "record_id", 200, 2026), "ahash", "dataset")
+
+
+@query(f"""WITH {FILES}, c AS (SELECT dataset, label, count(*) AS n FROM f WHERE ok GROUP BY ALL), r AS (SELECT dataset, coalesce(label, 'unknown') AS label, sum(n) AS n FROM c GROUP BY ALL)
+SELECT dataset, string_agg(label || '=' || n, ';' ORDER BY label) AS classes, (SELECT count(*) FROM f g WHERE g.dataset = r.dataset) AS n_files FROM r GROUP BY dataset""")
+def dataset_report(spark, folder):
+    """Two parts of the nested report of every dataset, as text; the whole document is written by the report sink."""
+    r = profile.report(files(spark, folder), "dataset", "label", "suffix", "ok", "md5", "size_bytes", "width", "height")
+    entries = F.transform(F.array_sort(F.map_entries("classes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return r.select("dataset", F.array_join(entries, ";").alias("classes"), F.col("files.n").alias("n_files"))

@@ -21,7 +21,7 @@ def _obs(spark, folder):
 FROM plants p LEFT JOIN (SELECT plant_id, count(*) AS n, arg_max(coalesce(health_status, '~'), id) AS s0, nullif(arg_max(coalesce(health_status, '~'), id), '~') AS s FROM observations WHERE plant_id IS NOT NULL GROUP BY 1) o ON o.plant_id = p.id""")
 def plants_overview(spark, folder):
     p = table(spark, folder, "plants").select("id", "plant_id", "crop", "species", "common_name", "date_created")
-    return monitor.overview(p, _obs(spark, folder), "id", "plant_id", "id", "health_status").withColumn("date_created", iso("date_created"))
+    return monitor.overview(p, _obs(spark, folder), "id", "plant_id", "id", "health_status").orderBy(F.desc("date_created")).withColumn("date_created", iso("date_created"))
 
 
 @query("SELECT p.plant_id, o.id AS observation_id, o.predicted_disease, o.health_status, o.confidence FROM plants p JOIN observations o ON o.plant_id = p.id")

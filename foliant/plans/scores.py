@@ -117,3 +117,10 @@ def validate_upload(spark, folder):
     return table(spark, folder, "split_csv").select("record_id", scoring.upload_problem("path", "size_bytes", 300_000).alias("problem"))
 
 
+@query(f"""WITH {_REPORT}, a AS (SELECT count(*) AS n, avg((y = pred)::INT) AS accuracy FROM s), w AS (SELECT label FROM m WHERE support > 0 ORDER BY recall, label LIMIT 8)
+SELECT a.n, round(a.accuracy, 6) AS accuracy, (SELECT round(avg(f1), 6) FROM m) AS macro_f1, (SELECT string_agg(label, ',' ORDER BY label) FROM w) AS worst FROM a""")
+def evaluation(spark, folder):
+    """Some fields of the one-row evaluation document."""
+    e = metrics.evaluation(scores(spark, folder), "y", "pred", "conf")
+    worst = F.array_join(F.array_sort(F.transform("worst_classes", lambda x: x["label"])), ",")
+    return e.select("n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), worst.alias("worst"))

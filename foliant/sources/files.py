@@ -166,3 +166,23 @@ def missing_datasets(found: DataFrame, dataset: str, known: list[str]) -> DataFr
     names = found.sparkSession.createDataFrame([(k,) for k in known], "dataset string")
     have = found.select(F.col(dataset).alias("_d")).distinct()
     return names.join(have, F.col("dataset") == F.col("_d"), "left_anti").withColumn("note", F.lit("not present"))
+
+
+def scan_summary(scanned: DataFrame) -> DataFrame:
+    """dataset (first folder), n_files, n_images, n_skipped of a scan_files result."""
+    d = F.split_part("rel", F.lit("/"), F.lit(1)).alias("dataset")
+    return scanned.groupBy(d).agg(F.count(F.lit(1)).alias("n_files"), F.count_if("is_image").alias("n_images"), F.count_if(~F.col("is_image")).alias("n_skipped"))
+
+
+def with_content(manifest: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """manifest with the bytes of its files, null for files that are gone; `path` is relative to root. Only the named files' rows are shuffled."""
+    spark = manifest.sparkSession
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    f = f.select(relative(F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/*", "/"), F.lit(root.rstrip("/"))).alias("_rel"), "content")
+    return manifest.join(f, F.col(path) == F.col("_rel"), "left").drop("_rel")
+
+
+def plan_archives(spark: SparkSession, plan: list[tuple[str, str, str]], only: list[str] | None = None) -> DataFrame:
+    """archive, prefix, target, status (found or missing) of the archives to extract, all or those whose base name is in `only`."""
+    rows = [(a, p, t, "found" if exists(spark, a) else "missing") for a, p, t in plan if only is None or a.rsplit("/", 1)[-1] in only]
+    return spark.createDataFrame(rows, "archive string, prefix string, target string, status string")

@@ -26,3 +26,8 @@ def write_report(df: DataFrame, path: str, stamp: str | None = None) -> None:
     doc = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
     for name in ["latest", *([stamp] if stamp else [])]:
         doc.write.mode("overwrite").text(f"{path.rstrip('/')}/{name}")
+
+
+def write_entries(entries: DataFrame, path: str) -> None:
+    """Extracted archive entries as rows of target and content; damaged archives are left out."""
+    entries.filter("error IS NULL").select("target", "content").write.mode("overwrite").parquet(path)

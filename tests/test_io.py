@@ -8,6 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.__main__ import main
+from foliant.plans import pipeline
 from foliant.sources import files, sinks
 from foliant.sources.config import Config
 from foliant.streaming import running
@@ -42,6 +44,37 @@ def test_scans(spark, tree, rows):
     assert rows(files.missing_datasets(got, "dataset", ["plants", "gone"])) == [("gone", "not present")]
 
 
+def test_contents_and_summary(spark, tree, rows):
+    assert rows(files.scan_summary(files.scan_files(spark, str(tree)))) == [("other", 1, 1, 0), ("plants", 4, 3, 1)]
+    m = spark.createDataFrame([("plants/notes.txt",), ("gone.png",)], "path string")
+    assert rows(files.with_content(m, str(tree)), "path", F.col("content").cast("string")) == [("gone.png", None), ("plants/notes.txt", "x")]
+    plan = [(str(tree / "plants/notes.txt"), "p/", "t"), (str(tree / "no.zip"), "p/", "t")]
+    assert rows(files.plan_archives(spark, plan), "status") == [("found",), ("missing",)] and files.plan_archives(spark, plan, ["no.zip"]).count() == 1
+
+
+def test_pipeline(spark, tmp_path, rows):
+    for i in range(12):
+        p = tmp_path / f"in/{'Fig' if i < 9 else 'Hop'}/{i:02}.png"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(png(3, 2 + i % 10) if i != 5 else b"no image")
+    base = bytes(range(32))
+
+    def hashes(df):  # the two largest of Fig look alike
+        return df.withColumn("ahash", F.when(F.col("path").isin("Fig/07.png", "Fig/08.png"), F.lit(base)).otherwise(F.unhex(F.sha2("path", 256))))
+
+    split, moved = pipeline.preprocess(spark, str(tmp_path / "in"), "d", hashes=hashes)
+    assert rows(moved) == [("Fig/05.png", "corrupt"), ("Hop/10.png", "duplicate"), ("Hop/11.png", "duplicate")]
+    got = {r.path: r for r in split.collect()}
+    assert len(got) == 9 and got["Fig/07.png"].cluster == got["Fig/08.png"].cluster and got["Fig/07.png"].split == "test" and got["Fig/00.png"].cluster == 0
+    assert len({r.cluster for r in got.values()}) == 8
+    alone, _ = pipeline.preprocess(spark, str(tmp_path / "in"), "d", cluster=False)
+    assert alone.select("cluster").distinct().count() == 9
+    assert main(["preprocess", str(tmp_path / "in"), "d", str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out/split")).count() == 9
+    assert main(["scan", str(tmp_path), str(tmp_path / "rep")]) == 0
+    doc = spark.read.json(str(tmp_path / "rep/latest")).filter("dataset = 'in'").first()
+    assert (doc.files.n, doc.files.corrupt, doc.classes.Fig, doc.duplicates.files) == (12, 1, 8, 2)
+
+
 def test_archives(spark, tmp_path, rows):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
@@ -52,6 +85,8 @@ def test_archives(spark, tmp_path, rows):
     got = files.archive_entries(spark, str(tmp_path / "*.zip"), "p/color/")
     assert rows(got.filter("error IS NULL"), "entry", "target", F.col("content").cast("string")) == [("p/color/A/x.jpg", "A/x.jpg", "p/color/A/x.jpg")]
     assert got.filter("error IS NOT NULL").first().error.startswith("BadZipFile")
+    sinks.write_entries(got, str(tmp_path / "e"))
+    assert rows(spark.read.parquet(str(tmp_path / "e")), "target") == [("A/x.jpg",)]
 
 
 def test_csv_and_reports(spark, tmp_path, rows):

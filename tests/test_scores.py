@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import metrics, scoring
+from foliant.operators import inference, metrics, scoring
 
 
 def test_softmax_and_top_k(spark):
@@ -68,3 +68,27 @@ def test_training_figures(spark, rows):
     h = spark.createDataFrame([("p", i, s) for i, s in enumerate([0.5, 0.4, 0.45, 0.9])], "ph string, e int, s double")
     assert rows(metrics.patience(h, "ph", "e", "s"), "e", "improved", "stopped") == [(0, True, False), (1, False, False), (2, False, False), (3, True, True)]
     assert metrics.best_of(h, "s").first().best == 0.9 and metrics.best_of(h.limit(0), "s").first().best == 0
+
+
+def test_payload(spark):
+    df = spark.createDataFrame([(1, [0.0, 9.0]), (2, [0.1, 0.0]), (3, [0.0, 0.1]), (4, None)], "id int, l array<double>")
+    kb = spark.createDataFrame([("B___rot", "B - rot", "soft", "cut")], "class string, common_name string, description string, treatment string")
+    plans = spark.createDataFrame([("B___rot", ["a"], [], ["n"], ["p"])], "class string, actions array<string>, products array<string>, nutrition array<string>, prevention array<string>")
+    a, b, c, d = scoring.payload(df, "id", "l", ["A___healthy", "B___rot"], kb, plans, threshold=0.9).orderBy("id").collect()
+    assert a.accepted and a.diagnosis.name == "B - rot" and a.care_plan.actions == ["a"] and a.treatment_recommendations[0].guidance == "cut"
+    assert not b.accepted and b.disease_health_status == "healthy" and b.treatment_recommendations == [] and b.care_plan is None
+    assert c.disease_health_status == "unknown" and len(c.treatment_recommendations) == 1 and c.care_plan is None
+    assert d.matches is None and d.treatment_recommendations == [] and d.confidence_threshold.met is False
+
+
+def test_evaluation(spark):
+    e = metrics.evaluation(spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.6), (1, 1, 0.5)], S), "y", "pred", "conf").first()
+    assert e.per_class["0"].recall == 0.5 and [w.label for w in e.worst_classes] == [0, 1] and e.n == 3 and e.classes == 2 and e.ece is not None
+
+
+def test_inference(spark):
+    def load():
+        return lambda x: x[:, :2] * 2
+
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None)], "id int, x array<float>")
+    assert [r.logits for r in inference.score(df, "x", load, 3).orderBy("id").collect()] == [[2.0, 4.0], None]
