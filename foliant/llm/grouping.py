@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.components import components
 from foliant.operators.ranking import ranked
-from foliant.plans.workspace import small
+from foliant.plans.workspace import small, store
 
 
 #: Rounds of each weight that are left to differencing.
@@ -80,35 +80,39 @@ def allocate(sums: list[int], shares: dict[str, float]) -> list[str]:
     return out
 
 
-def balance(units: DataFrame, shares: dict[str, float], bins: int = 20, seed: int = 42) -> DataFrame:
+def balance(units: DataFrame, shares: dict[str, float], bins: int = 20) -> DataFrame:
     """units (unit columns, stratum, weight) with new_split.
 
-    stratum may be null (a stratum of its own); weight is a positive bigint. `order_key` must be a bigint column
-    that orders units of equal weight, fixed for a unit. An empty table stays empty.
+    stratum may be null (a stratum of its own); weight is a positive bigint. `order_key` must be a bigint column that orders
+    units of equal weight, fixed for a unit. Units of one stratum and weight are alike, so differencing gives how many of them go
+    to each split, and the units follow in that order. An empty table stays empty.
     """
+    units = store(units, "units")
     placed = ranked(units, ["stratum", "weight"], ["order_key"])
     hist = units.groupBy("stratum", "weight").agg(F.count(F.lit(1)).alias("m"))
+    names = list(shares)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("weight", ascending=False)
-        dealt = [max(0, int(m) // bins - KEPT) for m in pdf["m"]]
-        left = [(int(w), j) for w, m, d in zip(pdf["weight"], pdf["m"], dealt) for j in range(int(m) - d * bins)]
-        put = differencing([w for w, _ in left], bins)
-        sums = [sum(int(w) * d for w, d in zip(pdf["weight"], dealt))] * bins
-        for (w, _), b in zip(left, put):
+        weights, counts = [int(w) for w in pdf["weight"]], [int(m) for m in pdf["m"]]
+        dealt = [max(0, m // bins - KEPT) for m in counts]
+        left = [(i, w) for i, (w, m, d) in enumerate(zip(weights, counts, dealt)) for _ in range(m - d * bins)]
+        put = differencing([w for _, w in left], bins)
+        sums = [sum(w * d for w, d in zip(weights, dealt))] * bins
+        for (_, w), b in zip(left, put):
             sums[b] += w
-        split = allocate(sums, shares)
-        rows = [(w, bins + j, split[b]) for (w, j), b in zip(left, put)]
-        rows += [(int(w), b, split[b]) for w, d in zip(pdf["weight"], dealt) if d for b in range(bins)]
-        out = pd.DataFrame(rows, columns=["p_weight", "slot", "new_split"])
-        out.insert(0, "p_stratum", pdf["stratum"].iloc[0])
-        return out
-
-    slots = small(hist.groupBy("stratum").applyInPandas(plan, "p_stratum string, p_weight bigint, slot bigint, new_split string"), "slots")
-    r, full = F.col("rank") - 1, F.greatest(F.lit(0), F.floor(F.col("group_rows") / bins) - KEPT) * bins
-    placed = placed.withColumn("slot_of", F.when(r < full, r % bins).otherwise(bins + r - full))
-    on = placed["stratum"].eqNullSafe(slots["p_stratum"]) & (placed["weight"] == slots["p_weight"]) & (placed["slot_of"] == slots["slot"])
-    return placed.join(slots, on).drop("p_stratum", "p_weight", "slot", "slot_of", "rank", "group_rows")
+        split = [names.index(n) for n in allocate(sums, shares)]
+        per = np.array([[d * split.count(k) for k in range(len(names))] for d in dealt], dtype=np.int64)
+        for (i, _), b in zip(left, put):
+            per[i, split[b]] += 1
+        return pd.DataFrame({"p_stratum": pdf["stratum"].iloc[0], "p_weight": weights, "upto": list(per.cumsum(1))})
+
+    plans = small(hist.groupBy("stratum").applyInPandas(plan, "p_stratum string, p_weight bigint, upto array<bigint>"), "plans")
+    placed = placed.join(plans, placed["stratum"].eqNullSafe(plans["p_stratum"]) & (placed["weight"] == plans["p_weight"]))
+    split = F.lit(names[-1])
+    for k in reversed(range(len(names) - 1)):
+        split = F.when(F.col("rank") <= F.get("upto", F.lit(k)), names[k]).otherwise(split)
+    return placed.withColumn("new_split", split).drop("p_stratum", "p_weight", "upto", "rank", "group_rows")
 
 
 def units_of(rows: DataFrame, by: list[str]) -> DataFrame:
