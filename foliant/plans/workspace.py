@@ -26,13 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if at:
-        return f"{at.rstrip('/')}/foliant-{app}"
+        folder = f"{at.rstrip('/')}/foliant-{app}"
+        if app not in _own:
+            _own[app] = folder
+            atexit.register(_remove, spark, folder)
+        return folder
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="foliant-")
         atexit.register(shutil.rmtree, _own[app], True)
     return _own[app]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Remove the application's folder when its driver ends."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have been stopped before
+        pass
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back; `discard` removes it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
