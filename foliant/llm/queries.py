@@ -228,3 +228,7 @@ WITH d AS (SELECT {_KEY.format("source")} AS source, coalesce(len(regexp_extract
 SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(n) AS n FROM d GROUP BY 1) s USING (source)
 WHERE m.max_repeats * coalesce(s.n, 0) * 10000 < m.target_bp * (SELECT sum(n) FROM d)""",
 }
+SQL["p3_report"] = f"""
+WITH f AS ({SQL["p3_found"]}), h AS (SELECT id_lo AS id FROM f UNION SELECT id_hi FROM f)
+SELECT split, dataset, count(*) AS n_rows, count(h.id) AS n_overlapping, round(count(h.id) / count(*)::DOUBLE, 6) AS share
+FROM (SELECT record_id, {_SPLIT} AS split, {_KEY.format("dataset")} AS dataset FROM split_csv) r LEFT JOIN h ON h.id = r.record_id WHERE split IN ('val', 'test') GROUP BY 1, 2"""

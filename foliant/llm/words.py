@@ -15,9 +15,10 @@ TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
 def plain(text: str) -> str:
-    """Text without case, accents, invisible characters and compatibility forms."""
+    """Text without case, accents, invisible characters and compatibility forms of letters and digits; a symbol such as a trade mark sign is no letter and becomes a blank."""
     if text.isascii():
         return text.lower()
+    text = "".join(" " if c > "\x7f" and unicodedata.category(c)[0] == "S" else c for c in text)
     out = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
     return "".join(c for c in out if unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cf"))
 

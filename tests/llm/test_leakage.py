@@ -99,7 +99,7 @@ def test_similarity_is_the_weighted_jaccard():
 
 
 def test_words():
-    assert words("Cáfé_ＡＢ ﬁeld²​x STRAẞE, İ") == ["cafe", "ab", "field2x", "strasse", "i"] and plain("ABC") == "abc" and words(None) == []
+    assert words("Cáfé_ＡＢ ﬁeld²​x STRAẞE, İ") == ["cafe", "ab", "field2x", "strasse", "i"] and plain("ABC") == "abc" and words(None) == [] and words("leaf™ x") == ["leaf", "x"]
 
 
 def test_empty(spark):
