@@ -58,7 +58,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], weight: str | None
     prior = ahead.rowsBetween(W.unboundedPreceding, -1)
     runs = t.groupBy(*(F.col(k).alias(f"_r_k{i}") for i, k in enumerate(keys)), F.col("_r_pid").alias("_r_p")).agg(
         F.count(F.lit(1)).alias("_r_c"), F.min("_r_at").alias("_r_i"),
-        *([F.sum(F.coalesce(F.col(weight), F.lit(0)).cast("bigint")).alias("_r_w"), F.min(F.col("_r_cum") - F.coalesce(F.col(weight), F.lit(0)).cast("bigint")).alias("_r_s")] if weight else []),
+        *([F.sum(F.coalesce(F.col(weight), F.lit(0)).cast("bigint")).alias("_r_w"), F.min_by(F.col("_r_cum") - F.coalesce(F.col(weight), F.lit(0)).cast("bigint"), "_r_at").alias("_r_s")] if weight else []),
     )
     runs = runs.withColumns({"_r_b": F.coalesce(F.sum("_r_c").over(prior), F.lit(0)), "group_rows": F.sum("_r_c").over(whole)})
     if weight:
