@@ -72,3 +72,11 @@ def test_several_keys_join_through_components(spark):
     rows = spark.createDataFrame([(1, "x", None), (2, "x", "s"), (3, "y", "s"), (4, None, None), (5, "z", "t"), (6, None, "t")], "id bigint, author string, source string")
     got = {r.row_id: r.unit for r in grouping.linked_units(rows, "id", [["author"], ["source"]]).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
+def test_repeats_and_clashing_columns(spark):
+    data = [(1, "p", 1, "a", "train", 9, 9, 9)] * 3 + [(2, "p", None, "a", "val", 9, 9, 9)] * 2
+    rows = spark.createDataFrame(data, ROWS + ", n int, mask int, rank int")
+    units = grouping.units_of(rows, ["source", "cluster"]).withColumn("order_key", F.lit(0).cast("bigint")).withColumn("upto", F.lit("x")).drop("upto")
+    got = {(r.cluster, r.single_id): r.weight for r in grouping.balance(units, SHARES).collect()}
+    assert got == {(1, None): 3, (None, 2): 2}

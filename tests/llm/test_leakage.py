@@ -106,3 +106,11 @@ def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     assert leakage.leaks(d, i).count() == 0 and leakage.leaks(d, some).count() == 0
+
+
+def test_repeats_ties_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    d = spark.createDataFrame([(1, text, 5, "x", 0.1), (1, text, 6, "y", 0.2), (2, f"{text} and {text}", 7, "z", 0.3)], "doc_id bigint, text string, item_id bigint, ws string, similarity double")
+    i = spark.createDataFrame([(4, text, 1), (4, text, 2), (5, text, 3)], "item_id bigint, text string, doc_id bigint")
+    got = {(r.doc_id, r.item_id): (r.exact, r.similarity) for r in leakage.leaks(d, i).collect()}
+    assert got == {(a, b): (True, 1.0) for a in (1, 2) for b in (4, 5)}

@@ -82,3 +82,12 @@ def test_public_tokenizers(spark, name):
     pytest.importorskip("os").path.exists(path) or pytest.skip("no tokenizer files")
     n = [r.n for r in with_token_count(spark.createDataFrame(TEXTS, "t string"), "t", "n", path).collect()]
     assert n[0] >= 5 and n[1] == n[2] == 0 and n[3] >= 3
+
+
+def test_repeats_and_long_texts(spark):
+    # repeated rows are rows of their own; together they fill the quota of one
+    df = spark.createDataFrame([(7, ["a"], 10, "x")] * 6 + [(7, ["b"], 10, "x")] * 4, DOCS)
+    chosen, report = mixing.mix(df, spark.createDataFrame([("a", 6000, 1), ("b", 4000, 1)], TARGETS))
+    assert {r.source: (r.chosen, r.is_short) for r in report.collect()} == {"a": (60, False), "b": (40, False)} and chosen.count() == 10
+    long = spark.createDataFrame([("ab, " * 300_000,)], "t string")
+    assert with_token_count(long, "t", "n").first().n == 600_000
