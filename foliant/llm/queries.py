@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,3 +233,17 @@ SQL["p3_report"] = f"""
 WITH f AS ({SQL["p3_found"]}), h AS (SELECT id_lo AS id FROM f UNION SELECT id_hi FROM f)
 SELECT split, dataset, count(*) AS n_rows, count(h.id) AS n_overlapping, round(count(h.id) / count(*)::DOUBLE, 6) AS share
 FROM (SELECT record_id, {_SPLIT} AS split, {_KEY.format("dataset")} AS dataset FROM split_csv) r LEFT JOIN h ON h.id = r.record_id WHERE split IN ('val', 'test') GROUP BY 1, 2"""
+
+#: Full-width letters and digits and what they stand for, by rule.
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_PLAIN = f"translate(text, '{_WIDE}', '{''.join(chr(ord(c) - 0xFEE0) for c in _WIDE)}')"
+for _c in [*map(chr, range(0xFB00, 0xFB07)), "ß"]:  # the Latin ligatures
+    _PLAIN = f"replace({_PLAIN}, '{_c}', '{unicodedata.normalize('NFKD', _c).replace('ß', 'ss')}')"
+_WORDS = f"regexp_extract_all(lower(strip_accents(regexp_replace({_PLAIN}, '[\\p{{M}}\\p{{Cf}}]', '', 'g'))), '[\\p{{L}}\\p{{N}}]+')"
+SQL["p6_found"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL),
+p AS (SELECT item_id, ws, len(ws) AS n, least(12, len(ws)) AS k FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') AS w FROM (SELECT item_id, k, ws, unnest(range(1, n - k + 2)) AS j FROM p)),
+dk AS (SELECT doc_id, ws, k FROM d, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k),
+dw AS (SELECT DISTINCT doc_id, array_to_string(ws[j:j + k - 1], ' ') AS w FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM dk))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)"""
