@@ -20,7 +20,8 @@ def name_key(x: Column | str) -> Column:
 def split_key(x: Column | str) -> Column:
     """train, val or test whatever the case and outer blanks, `validation` meaning val; anything else is null."""
     s = F.lower(F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", ""))
-    return F.when(s == "validation", "val").when(s.isin(*SPLITS), s)
+    # most values are canonical already and skip the pattern
+    return F.when(_c(x).isin(*SPLITS), _c(x)).when(s == "validation", "val").when(s.isin(*SPLITS), s)
 
 
 def md5_key(x: Column | str) -> Column:
