@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
+#: Symbols (not those of ASCII, which separate anyway) and what makes no difference: marks and format characters.
+_SYMBOLS, _IGNORED = regex.compile(r"[\p{S}--[\x00-\x7f]]", regex.V1), regex.compile(r"[\p{M}\p{Cf}]+")
+
+
 def plain(text: str) -> str:
     """Text without case, accents, invisible characters and compatibility forms of letters and digits; a symbol such as a trade mark sign is no letter and becomes a blank."""
     if text.isascii():
         return text.lower()
-    text = "".join(" " if c > "\x7f" and unicodedata.category(c)[0] == "S" else c for c in text)
-    out = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
-    return "".join(c for c in out if unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cf"))
+    text = unicodedata.normalize("NFKD", _SYMBOLS.sub(" ", text)).casefold()
+    return _IGNORED.sub("", text if text.isascii() else unicodedata.normalize("NFKD", text))
 
 
 def words(text: str | None) -> list[str]:
