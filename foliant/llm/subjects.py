@@ -21,11 +21,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.words import plain
-from foliant.plans.workspace import store
+from foliant.plans.workspace import small, store
 
 
 @dataclass(frozen=True)
@@ -68,33 +69,78 @@ def sentence_words(text: str | None) -> list[list[str]]:
 
 
 def _sentences(documents: DataFrame) -> DataFrame:
+    """doc_id, hs, lens, lang, new_h, new_w: the hashed words of each document, the words of each of its sentences, and the words that its task had not met before."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
         for b in batches:
-            s = [sentence_words(t.as_py()) for t in b.column(1)]
-            flat = [[w for x in d for w in x] for d in s]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(flat, pa.list_(pa.string())), pa.array([[len(x) for x in d] for d in s], pa.list_(pa.int32()))], names=["doc_id", "lang", "ws", "lens"]
-            )
+            hs, lens, new_h, new_w = [], [], [], []
+            for t in b.column(1):
+                sentences = sentence_words(t.as_py())
+                row, fresh = [], []
+                for ws in sentences:
+                    for w in ws:
+                        if (h := seen.get(w)) is None:
+                            if len(seen) > 1_000_000:
+                                seen.clear()
+                            h = xxhash.xxh3_64_intdigest(w)
+                            seen[w] = h = h - (1 << 64) if h >> 63 else h
+                            fresh.append((h, w))
+                        row.append(h)
+                hs.append(row)
+                lens.append([len(ws) for ws in sentences])
+                new_h.append([h for h, _ in fresh])
+                new_w.append([w for _, w in fresh])
+            lists = [pa.array(hs, pa.list_(pa.int64())), pa.array(lens, pa.list_(pa.int32())), b.column(2), pa.array(new_h, pa.list_(pa.int64())), pa.array(new_w, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "hs", "lens", "lang", "new_h", "new_w"])
+
+    return documents.select("doc_id", "text", "lang").mapInArrow(cut, "doc_id bigint, hs array<bigint>, lens array<int>, lang string, new_h array<bigint>, new_w array<string>")
+
+
+def _frequencies(cut: DataFrame) -> DataFrame:
+    """h, n: the number of documents that hold a word; each task adds up its own first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in _pieces(batches):
+            word, doc = _flat(b.column(1))
+            has, at = np.unique(word, return_inverse=True)
+            in_docs = np.bincount(np.unique(doc * max(len(has), 1) + at) % max(len(has), 1), minlength=len(has))
+            both, at = np.unique(np.concatenate([some, has]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([total, in_docs]), len(both)).astype(np.int64)
+            some = both
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total, pa.int64())], names=["h", "n"])
 
-    return documents.select("doc_id", "text", "lang").mapInArrow(cut, "doc_id bigint, lang string, ws array<string>, lens array<int>")
+    return cut.select("doc_id", "hs").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _encode(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+def _encode(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """doc_id, ids, lens, labels, lang: the words by their place in the vocabulary, -1 for others. hashes are those of the vocabulary in its order."""
+    order = np.argsort(hashes, kind="stable")
+    known = docs.sparkSession.sparkContext.broadcast((hashes[order], order.astype(np.int32)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = known.value
+        key, place = known.value
         for b in batches:
-            flat = [[ids.get(w, -1) for w in ws] for ws in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.list_(pa.int32())), b.column(2), b.column(3), b.column(4)], names=["doc_id", "ids", "lens", "labels", "lang"])
+            x = b.column(1).flatten().to_numpy()
+            ids = np.full(len(x), -1, np.int32)
+            if len(key):
+                at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+                ids = np.where(key[at] == x, place[at], ids)
+            ends = np.concatenate([[0], np.cumsum(_sizes(b.column(1)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), *(b.column(i) for i in (2, 3, 4))], names=["doc_id", "ids", "lens", "labels", "lang"])
 
     return docs.mapInArrow(encode, "doc_id bigint, ids array<int>, lens array<int>, labels array<int>, lang int")
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Lengths of a list column; null lists are empty."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and row numbers of a list column; null lists are empty."""
-    sizes = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()], dtype=np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), sizes)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), _sizes(column))
 
 
 #: Words worked on at once; a single longer document or sentence is one piece.
@@ -113,7 +159,7 @@ def _cuts(sizes: np.ndarray, most: int = WORDS) -> list[tuple[int, int]]:
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with a bounded number of words in column 1."""
     for b in batches:
-        for lo, hi in _cuts(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)):
+        for lo, hi in _cuts(_sizes(b.column(1))):
             yield b.slice(lo, hi - lo)
 
 
@@ -262,16 +308,16 @@ def prepare(documents: DataFrame, subjects: DataFrame, labels: DataFrame, s: Set
     numbered = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "subject string, i int")
     given = labels.join(F.broadcast(numbered), "subject").groupBy("doc_id").agg(F.collect_set("i").alias("labels"))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", language_key("lang").alias("lang")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    cut = store(_sentences(texts), "sentences").filter(F.size("ws") > 0)
+    cut = store(_sentences(texts), "sentences").filter(F.size("hs") > 0)
     n = cut.count()
     # at most 1 / language_share languages are frequent enough
     tongues = cut.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= s.language_share * n).orderBy("lang").select("lang").collect()
     spoken = spark.createDataFrame([(r.lang, i) for i, r in enumerate(tongues)], "lang string, l int")
-    seen = cut.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    kept = seen.filter((F.col("n") >= max(3, s.rarest * n)) & (F.col("n") <= max(3, s.commonest * n)))
-    vocabulary = sorted(r.w for r in kept.select("w").collect())
-    full = cut.join(F.broadcast(spoken), "lang", "left").join(given, "doc_id", "left").select("doc_id", "ws", "lens", "labels", F.coalesce("l", F.lit(-1)).alias("lang"))
-    return store(_encode(full, vocabulary), "encoded"), vocabulary, names, len(tongues)
+    kept = small(_frequencies(cut).filter((F.col("n") >= max(3, s.rarest * n)) & (F.col("n") <= max(3, s.commonest * n))).select("h"), "vocabulary")
+    named = cut.filter(F.size("new_h") > 0).select(F.explode(F.arrays_zip("new_h", "new_w")).alias("x")).select(F.col("x.new_h").alias("h"), F.col("x.new_w").alias("w"))
+    rows = named.join(kept, "h", "left_semi").groupBy("h").agg(F.min("w").alias("w")).orderBy("w").collect()
+    full = cut.join(F.broadcast(spoken), "lang", "left").join(given, "doc_id", "left").select("doc_id", "hs", "lens", "labels", F.coalesce("l", F.lit(-1)).alias("lang"))
+    return store(_encode(full, np.array([r.h for r in rows], np.int64)), "encoded"), [r.w for r in rows], names, len(tongues)
 
 
 def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFrame:
