@@ -2,8 +2,8 @@
 
 A topic model is fitted to all documents: a topic for each subject and language, started from the words that
 its hand-labelled documents prefer, and some background topics for each language. Each pass works out the topic
-proportions of every document (in the tasks, by the zero-order collapsed update) and adds up the
-topic-word counts; only those, a table of vocabulary x topics, come together. Hand labels raise the
+proportions of every document (in the tasks, by the zero-order collapsed update, and with the topics of its
+language only, unless it mixes languages) and adds up the topic-word counts; only those, a table of vocabulary x topics, come together. Hand labels raise the
 prior of their subjects in their documents and no more, so wrong ones are outvoted. The fitted topics are mapped to
 subjects by their top terms: a topic stands for the subject that its terms prefer, or for none.
 
@@ -183,11 +183,42 @@ def infer(word: np.ndarray, group: np.ndarray, count: np.ndarray, n_groups: int,
     return r, total
 
 
-def _add_by(index: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
-    """total[index] += rows, with repeats."""
+def _tongues(beta: np.ndarray, spoken: np.ndarray, n_subjects: int, background: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(words x languages, [(topics, words x topics) of each language, then of all]), in single precision."""
+    n_l, parts = spoken.shape[1], []
+    for l in range(n_l):
+        at = n_l * n_subjects + l * background
+        topics = np.r_[l * n_subjects : (l + 1) * n_subjects, at : at + background]
+        parts.append((topics, np.ascontiguousarray(beta[:, topics], np.float32)))
+    return spoken.astype(np.float32), [*parts, (np.arange(beta.shape[1]), beta.astype(np.float32))]
+
+
+def infer_by_language(word: np.ndarray, group: np.ndarray, count: np.ndarray, n_groups: int, tongues: tuple, prior: np.ndarray, inner: int, pure: float = 0.9) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(entries, topics, words of each entry by topic, words of each group by topic) of the groups of each language.
+
+    A group of whose words `pure` or more are of one language is explained by the topics of that language, a mixed group by all. Prior
+    has a column for every topic.
+    """
+    spoken, parts = tongues
+    has, starts = np.unique(group, return_index=True)
+    of = np.add.reduceat(spoken[word] * count[:, None], starts, axis=0)
+    lang = np.full(n_groups, len(parts) - 1)
+    lang[has] = np.where(of.max(1) >= pure * of.sum(1), of.argmax(1), len(parts) - 1)
+    for l, (topics, beta) in enumerate(parts):
+        at = np.flatnonzero(lang[group] == l)
+        if len(at):
+            yield at, topics, *infer(word[at], group[at], count[at], n_groups, beta, prior[:, topics], inner)
+
+
+def _add_by(index: np.ndarray, rows: np.ndarray, total: np.ndarray, columns: np.ndarray | None = None) -> None:
+    """total[index] += rows, with repeats, in some columns only if they are given."""
     order = np.argsort(index, kind="stable")
     has, starts = np.unique(index[order], return_index=True)
-    total[has] += np.add.reduceat(rows[order], starts, axis=0)
+    sums = np.add.reduceat(rows[order], starts, axis=0)
+    if columns is None:
+        total[has] += sums
+    else:
+        total[has[:, None], columns] += sums
 
 
 def _bag(word: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,6 +259,7 @@ class Model:
     beta: np.ndarray  #: words x topics
     subject_of: list[int]  #: of each topic; -1 for background
     clear: np.ndarray  #: words x subjects, 0 to 1, how far the word may speak for the subject
+    spoken: np.ndarray  #: words x languages, how much the word is of the language; rows sum to 1
 
 
 def preferences(with_word: np.ndarray, labelled: np.ndarray, per_subject: np.ndarray, n: float) -> np.ndarray:
@@ -252,8 +284,8 @@ def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages:
         has[:, n_s] = has[:, :n_s].any(1)
         has[:, n_s + 1] = 1
         has[np.flatnonzero(lang >= 0), n_s + 2 + lang[lang >= 0]] = 1
-        for c in range(has.shape[1]):
-            total[:size, c] += np.bincount(word, has[doc, c], size)
+        if len(word):
+            _add_by(word, has[doc], total)
         total[size] += has.sum(0)
 
     first = _sum_by_word(docs, start, n_s + 2 + n_l, size + 1)
@@ -271,20 +303,20 @@ def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages:
         tongue[:, l * n_s : (l + 1) * n_s] = tongue[:, at : at + s.background] = spoken[:, [l]]
         counts[:, at : at + s.background] = mine[:, None] * rng.gamma(5.0, 0.2, (size, s.background)) * np.exp(-prefer.max(1, initial=0))[:, None]
     for _ in range(s.passes if size else 0):
-        beta = spark.sparkContext.broadcast(((counts + s.beta) / (counts + s.beta).sum(0)).astype(np.float32))
+        tongues = spark.sparkContext.broadcast(_tongues((counts + s.beta) / (counts + s.beta).sum(0), spoken, n_s, s.background))
 
         def step(b: pa.RecordBatch, total: np.ndarray) -> None:
             word, doc, count = _bag(*_flat(b.column(1)), size)
             if len(word):
-                r, _ = infer(word, doc, count, b.num_rows, beta.value, _label_prior(b, topics, n_s, n_l, s), s.inner)
-                _add_by(word, r, total)
+                for at, cols, r, _ in infer_by_language(word, doc, count, b.num_rows, tongues.value, _label_prior(b, topics, n_s, n_l, s), s.inner):
+                    _add_by(word[at], r, total, cols)
 
         # a topic keeps to its language: else one with few documents is taken over by passages in another
         counts = _sum_by_word(docs, step, topics, size) * tongue
-        beta.unpersist()
+        tongues.unpersist()
     # words that five labelled documents or more have speak for the subjects that those prefer; rarer ones for that of their topic
     clear = np.where(first[:size, [n_s]] >= 5, np.clip(prefer / s.preference, 0, 1), 1.0)
-    return Model(vocabulary, subjects, (counts + s.beta) / (counts + s.beta).sum(0), map_topics(counts, prefer, s), clear)
+    return Model(vocabulary, subjects, (counts + s.beta) / (counts + s.beta).sum(0), map_topics(counts, prefer, s), clear, spoken)
 
 
 def map_topics(counts: np.ndarray, prefer: np.ndarray, s: Settings) -> list[int]:
@@ -327,11 +359,11 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
     for k, i in enumerate(model.subject_of):
         if i >= 0:
             own[k, i] = 1
-    known = docs.sparkSession.sparkContext.broadcast((model.beta.astype(np.float32), own, model.subjects, model.clear))
+    known = docs.sparkSession.sparkContext.broadcast((_tongues(model.beta, model.spoken, n_s, s.background), own, model.subjects, model.clear))
     schema = "doc_id bigint, subject string, n_sentences bigint, share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        beta, own, names, clear = known.value
+        tongues, own, names, clear = known.value
         for b in _pieces(batches):
             word, doc = _flat(b.column(1))
             lens, of = _flat(b.column(2))
@@ -339,16 +371,18 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
             w, d, c = _bag(word, doc, size)
             if not len(w):
                 continue
-            _, total = infer(w, d, c, b.num_rows, beta, np.full((b.num_rows, topics), s.alpha), s.inner)
+            total = np.zeros((b.num_rows, topics), np.float32)
+            for _, cols, _, part in infer_by_language(w, d, c, b.num_rows, tongues, np.full((b.num_rows, topics), s.alpha), s.inner):
+                total[:, cols] += part
             prior = (total + s.alpha) / (total + s.alpha).sum(1, keepdims=True)
             about = np.zeros((len(lens), len(names)), bool)
             for lo, hi in _cuts(lens):
                 at, to = np.searchsorted(sent, [lo, hi])
                 w, e, c = _bag(word[at:to], sent[at:to] - lo, size)
                 if len(w):
-                    r, _ = infer(w, e, c, hi - lo, beta, prior[of[lo:hi]] + np.float32(0.05), 4)
                     words = np.zeros((hi - lo, len(names)))
-                    _add_by(e, (r @ own) * clear[w], words)
+                    for x, cols, r, _ in infer_by_language(w, e, c, hi - lo, tongues, prior[of[lo:hi]] + np.float32(0.05), 4):
+                        _add_by(e[x], (r @ own[cols]) * clear[w[x]], words)
                     about[lo:hi] = words >= s.mass
             n = np.zeros((b.num_rows, len(names)), np.int64)
             np.add.at(n, of, about)
