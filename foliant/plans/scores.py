@@ -100,13 +100,13 @@ def calibration_error(spark, folder):
     return e.select(F.round("ece", 6).alias("ece"), F.round("ece_ref", 6).alias("ece_ref"))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE + 0.5)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_sum(v) / 64 AS m FROM v),
-d AS (SELECT vec_id, m, sqrt(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / 64) AS s, vec_id % 7 * 40 AS w, vec_id % 5 * 30 AS h FROM m)
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: (x::DOUBLE + 0.5)) AS v FROM embeddings), m AS (SELECT vec_id, label, v, list_sum(v) / 64 AS m FROM v),
+d AS (SELECT vec_id, m, sqrt(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / 64) AS s, label * 40 AS w, (9 - label) * 30 AS h FROM m)
 SELECT vec_id, array_to_string(list_filter([CASE WHEN w = 0 OR h = 0 OR w / greatest(h, 1)::DOUBLE > 4 OR h / greatest(w, 1)::DOUBLE > 4 THEN 'aspect' END, CASE WHEN m < 0.05 THEN 'black' WHEN m > 0.95 THEN 'white' END,
   CASE WHEN s < 0.03 THEN 'uniform' END], lambda x: x IS NOT NULL), ',') AS warnings, least(w, h) < 32 AS too_small FROM d""")
 def quality_flags(spark, folder):
-    """Warnings by size and pixel values; the embeddings, moved by a half, stand for pixels and the id for sizes."""
-    v = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 0.5).alias("v"), (F.col("vec_id") % 7 * 40).alias("w"), (F.col("vec_id") % 5 * 30).alias("h"))
+    """Warnings by size and pixel values; the embeddings, moved by a half, stand for pixels and the label for sizes."""
+    v = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 0.5).alias("v"), (F.col("label") * 40).alias("w"), ((9 - F.col("label")) * 30).alias("h"))
     return v.select("vec_id", F.array_join(scoring.quality_warnings("w", "h", "v"), ",").alias("warnings"), scoring.too_small("w", "h").alias("too_small"))
 
 

@@ -23,7 +23,7 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if at:
         folder = f"{at.rstrip('/')}/foliant-{app}"
