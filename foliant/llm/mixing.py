@@ -119,6 +119,6 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataF
     rows = [(s, int(q // all_tokens) if all_tokens else 0, r, have[s], q / UNIT, routed[s] / UNIT, routed[s] < q) for s, (q, r) in sorted(wanted.items())]
     report = spark.createDataFrame(rows, "source string, target_bp bigint, max_repeats bigint, tokens bigint, quota double, routed double, is_short boolean")
     per = chosen.groupBy("source").agg(F.sum("tokens").alias("chosen"), F.count(F.lit(1)).alias("n_documents"), F.max("n_uses").alias("most_uses"))
-    total = per.agg(F.sum("chosen").alias("all_chosen"))
-    report = report.join(per, "source", "left").join(F.broadcast(total)).fillna(0, ["chosen", "n_documents", "most_uses"])
-    return chosen, report.withColumn("share", F.col("chosen") / F.greatest("all_chosen", F.lit(1))).drop("all_chosen")
+    report = report.join(per, "source", "left").fillna(0, ["chosen", "n_documents", "most_uses"])
+    total = per.agg(F.coalesce(F.sum("chosen"), F.lit(0))).scalar()
+    return chosen, report.withColumn("share", F.col("chosen") / F.greatest(total, F.lit(1)))
