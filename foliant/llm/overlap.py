@@ -48,7 +48,11 @@ def eval_segments(value: Column, k: int) -> Column:
 
 
 def train_segments(value: Column, k: int) -> Column:
-    """array of hashed (length, i, substring) of a training string, for every evaluation length within k and every position within k."""
+    """array of hashed (length, i, substring) of a training string, for every evaluation length within k and every allowed position.
+
+    Of two strings within k edits some segment i is common such that what lies left of it takes at most i edits and what lies
+    right of it at most k - i; so it has moved by at most i, and by at most k - i from the end.
+    """
     out = []
     for d in range(-k, k + 1):
         size = F.length(value) + d
@@ -56,7 +60,7 @@ def train_segments(value: Column, k: int) -> Column:
         for i in range(k + 1):
             start = base * i + F.greatest(F.lit(0), F.lit(i) - long_from) + 1
             n = base + F.when(F.lit(i) >= long_from, 1).otherwise(0)
-            for s in range(-k, k + 1):
+            for s in range(max(-i, -d - (k - i)), min(i, -d + (k - i)) + 1):
                 ok = (size >= 0) & (start + s >= 1) & (start + s + n - 1 <= F.length(value))
                 out.append(F.when(ok, F.xxhash64(F.lit(i), size.cast("int"), F.substring(value, (start + s).cast("int"), n.cast("int")))))
     return F.array_compact(F.array_distinct(F.array(*out)))

@@ -27,12 +27,12 @@ def mutate(rnd, s, k, indels=True):
     return "".join(s)
 
 
-@pytest.mark.parametrize("k", [0, 1, 2])
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
 def test_edit_join_loses_nothing(spark, k):
     rnd = random.Random(k)
     base = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 14))) for _ in range(25)] + [""]
-    left = [(i, mutate(rnd, rnd.choice(base), rnd.randrange(3))) for i in range(40)] + [(40, None)]
-    right = [(100 + i, mutate(rnd, rnd.choice(base), rnd.randrange(3))) for i in range(40)]
+    left = [(i, mutate(rnd, rnd.choice(base), rnd.randrange(k + 2))) for i in range(60)] + [(60, None)]
+    right = [(100 + i, mutate(rnd, rnd.choice(base), rnd.randrange(k + 2))) for i in range(60)]
     got = {(r.a, r.b): r.edits for r in overlap.edit_join(spark.createDataFrame(left, "cid bigint, value string"), spark.createDataFrame(right, "cid bigint, value string"), k).collect()}
     want = {(a, b): levenshtein(x, y) for a, x in left for b, y in right if x is not None and levenshtein(x, y) <= k}
     assert got == want
