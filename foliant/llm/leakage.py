@@ -5,8 +5,12 @@ document gives a window of the same number of words at each of its words. Window
 get a 64-bit SimHash of their word shingles, weighted by letters; shingle sums along a document are
 running sums, so a window costs one subtraction. Fingerprints are cut into radius+1 blocks, and two
 within `radius` bits agree in one block at least; so looking up every block of a window finds
-all passages within the radius. Those candidates are verified by the exact weighted Jaccard
-similarity of their shingles, and marked exact if their words are the same in the same order.
+all passages within the radius. Similar windows of few shingles can differ in many more bits, so a
+second path looks for them exactly: of each passage the rarest shingles are kept, until the rest weighs
+less than `least` of the whole. A window that shares none of them shares less than that and cannot be
+similar enough, so the windows around each of them in a text are all that come into question. The
+candidates of both are verified by the exact weighted Jaccard similarity of their shingles, and marked
+exact if their words are the same in the same order.
 
 The passages are the query set. They are counted first and searched in blocks of bounded size,
 one pass over the corpus for each block, so what is broadcast is bounded by `block` however
@@ -17,6 +21,7 @@ text, and a long text is worked through in overlapping pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +38,8 @@ _BITS = 64
 PIECE = 16_000
 #: Candidates compared at once.
 CANDIDATES = 1_000_000
+#: Pairs of shingles compared at once when candidates are verified.
+SHINGLE_PAIRS = 8_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -83,8 +90,25 @@ def _cut(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return (x >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
 
 
-def passage_index(length: int, items: np.ndarray, hashes: np.ndarray, weights: np.ndarray, shingle: int, radius: int) -> dict:
-    """Passages of one length with their fingerprints, sorted by each block; plain data, to be broadcast."""
+def prefixes(sh: np.ndarray, sw: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, passage): the passages whose rarest shingles include key[i] are passage[start[i]:start[i + 1]].
+
+    A window that has none of a passage's keys is less than `least` similar to it, for a `least` above 0.
+    """
+    if not len(sh):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    _, of, n = np.unique(sh, return_inverse=True, return_counts=True)
+    order = np.lexsort((sh, n[of.reshape(sh.shape)]), axis=1)
+    h, w = np.take_along_axis(sh, order, 1), np.take_along_axis(sw, order, 1)
+    rest = w[:, ::-1].cumsum(1)[:, ::-1]  # weight of a shingle and those after it
+    row, col = np.nonzero(rest >= least * rest[:, :1] - 1e-6)
+    pairs = np.unique(np.rec.fromarrays([h[row, col], row], names="key,passage"))
+    key, start = np.unique(pairs["key"], return_index=True)
+    return key, np.append(start, len(pairs)), pairs["passage"].astype(np.int64)
+
+
+def passage_index(length: int, items: np.ndarray, hashes: np.ndarray, weights: np.ndarray, shingle: int, radius: int, least: float = 0.8) -> dict:
+    """Passages of one length with their fingerprints, sorted by each block, and their rarest shingles; plain data, to be broadcast."""
     n = min(shingle, length)
     each = [shingles(h, w, n) for h, w in zip(hashes, weights)]
     prints = np.concatenate([fingerprints(h, w, length - n + 1) for h, w in each])
@@ -96,12 +120,23 @@ def passage_index(length: int, items: np.ndarray, hashes: np.ndarray, weights: n
         # where each value of a block of up to 20 bits begins among the sorted ones
         table = np.searchsorted(key[order], np.arange((1 << (hi - lo)) + 1, dtype=np.uint64)) if hi - lo <= 20 else None
         blocks.append((lo, hi, key[order], order, table))
+    sh, sw = np.array([h for h, _ in each]), np.array([w for _, w in each], dtype=np.int64)
     return {
-        "length": length, "items": items, "hashes": hashes, "n": n, "per": length - n + 1, "radius": radius,
-        "sh": np.array([h for h, _ in each]), "sw": np.array([w for _, w in each], dtype=np.int64), "prints": prints, "blocks": blocks,
+        "length": length, "items": items, "hashes": hashes, "n": n, "per": length - n + 1, "radius": radius, "least": least,
+        "sh": sh, "sw": sw, "prints": prints, "blocks": blocks, "prefixes": prefixes(sh, sw, least),
     }
 
 
+def _runs(a: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, place) of the n[i] places from a[i] on. Many places may belong to a common value: they are given about CANDIDATES at a time."""
+    hit = np.flatnonzero(n)
+    upto = np.cumsum(n[hit])
+    for at in np.split(hit, np.searchsorted(upto, np.arange(CANDIDATES, upto[-1] if len(upto) else 0, CANDIDATES))):
+        if len(at):
+            off = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+            yield np.repeat(at, n[at]), np.repeat(a[at], n[at]) + off
+
+
 def search(index: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, passage) of all pairs within the radius."""
     found = []
@@ -111,16 +146,8 @@ def search(index: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a, b = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
         else:
             a, b = table[k.astype(np.int64)], table[k.astype(np.int64) + 1]
-        n = b - a
-        hit = np.flatnonzero(n)
-        upto = np.cumsum(n[hit])
-        # a common value may have many candidates: they are compared CANDIDATES at a time
-        for at in np.split(hit, np.searchsorted(upto, np.arange(CANDIDATES, upto[-1] if len(upto) else 0, CANDIDATES))):
-            if not len(at):
-                continue
-            win = np.repeat(at, n[at])
-            off = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-            pas = order[np.repeat(a[at], n[at]) + off]
+        for win, place in _runs(a, b - a):
+            pas = order[place]
             near = np.bitwise_count(prints[win] ^ index["prints"][pas]) <= index["radius"]
             found.append(np.stack([win[near], pas[near]]))
     if not found:
@@ -129,6 +156,38 @@ def search(index: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, p
 
 
+def sharing(index: dict, sh: np.ndarray, sw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, passage) of the pairs that share one of the passage's rarest shingles and whose weights allow `least`; starts tells where windows begin."""
+    key, start, pas = index["prefixes"]
+    if not len(key):
+        return
+    k = np.minimum(np.searchsorted(key, sh), len(key) - 1)
+    hit = np.flatnonzero(key[k] == sh)
+    win = (hit[:, None] - np.arange(index["per"])).ravel()
+    k = np.repeat(k[hit], index["per"])
+    ok = (win >= 0) & (win < len(starts))
+    ok[ok] = starts[win[ok]]
+    win, k = np.divmod(np.unique(win[ok] * len(key) + k[ok]), len(key))
+    total = np.concatenate([[0], np.cumsum(sw, dtype=np.int64)])
+    weight, own = total[win + index["per"]] - total[win], index["sw"].sum(1)
+    for i, place in _runs(start[k], start[k + 1] - start[k]):
+        p = pas[place]
+        near = np.minimum(weight[i], own[p]) >= index["least"] * np.maximum(weight[i], own[p]) - 1e-6
+        yield win[i[near]], p[near]
+
+
+def verified(index: dict, sh: np.ndarray, sw: np.ndarray, win: np.ndarray, pas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, passage, similarity) of the pairs that are at least `least` similar, each once."""
+    win, pas = np.divmod(np.unique(win * len(index["sh"]) + pas), len(index["sh"]))
+    sim, per = np.zeros(len(win)), index["per"]
+    step = max(1, SHINGLE_PAIRS // per**2)
+    for a in range(0, len(win), step):
+        cols, p = win[a : a + step, None] + np.arange(per), pas[a : a + step]
+        sim[a : a + step] = similarity(sh[cols], sw[cols].astype(np.int64), index["sh"][p], index["sw"][p])
+    ok = sim >= index["least"]
+    return win[ok], pas[ok], sim[ok]
+
+
 def passages(items: DataFrame, item_id: str, text: str, passage: int) -> DataFrame:
     """item_id, part, ws: every run of `passage` words of an item, or all words of a shorter one; none for an item without words."""
 
@@ -150,9 +209,9 @@ def _hash(word: str) -> int:
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = 12, shingle: int = 5, radius: int = 3, least: float = 0.8, block: int = 50_000) -> DataFrame:
     """doc_id, item_id, n_windows, similarity, exact: documents that hold a passage of an item.
 
-    A pair is given if some window of the document is within `radius` bits of a passage's SimHash and at least `least`
-    similar to it; similarity is the largest, exact tells whether some window has the same words in the same
-    order, n_windows counts the windows. Null or empty texts hold nothing; null ids are left aside; a repeated doc_id gives
+    A pair is given if some window of the document is at least `least` (above 0) similar to a passage, however many bits
+    their SimHashes differ in; similarity is the largest, exact tells whether some window has the same words in the same
+    order, n_windows counts the pairs of such a window and a passage. Null or empty texts hold nothing; null ids are left aside; a repeated doc_id gives
     one row. Words of letters and digits count without case, accents, invisible and compatibility characters.
     """
     cut = store(passages(items, item_id, text, passage), "passages")
@@ -172,15 +231,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         for length, g in rows.groupby(rows["ws"].map(len)):
             hs = np.array([[_hash(w) for w in ws] for ws in g["ws"]], dtype=np.uint64)
             wt = np.array([[len(w) for w in ws] for ws in g["ws"]], dtype=np.int32)
-            by_length.append(passage_index(int(length), g["item_id"].to_numpy(), hs, wt, shingle, radius))
-        outs.append(docs.mapInArrow(_searcher(spark.sparkContext.broadcast(by_length), least), schema))
+            by_length.append(passage_index(int(length), g["item_id"].to_numpy(), hs, wt, shingle, radius, least))
+        outs.append(docs.mapInArrow(_searcher(spark.sparkContext.broadcast(by_length)), schema))
     out = outs[0]
     for x in outs[1:]:
         out = out.unionByName(x)
     return out.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.max("similarity").alias("similarity"), F.bool_or("exact").alias("exact"))
 
 
-def _searcher(index, least: float):
+def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[int, int]] = {}
         longest = max(x["length"] for x in index.value)
@@ -194,15 +253,15 @@ def _searcher(index, least: float):
                     continue
                 sh, sw = shingles(h, w, x["n"])
                 prints = fingerprints(sh, sw, per)
-                inside = np.flatnonzero(doc[:m] == doc[length - 1 :])
+                starts = doc[:m] == doc[length - 1 :]
+                inside = np.flatnonzero(starts)
                 win, pas = search(x, prints[inside])
-                if not len(win):
+                found = [verified(x, sh, sw, *c) for c in chain([(inside[win], pas)], sharing(x, sh, sw, starts))]
+                at, pas, sim = (np.concatenate(c) for c in zip(*found))
+                _, one = np.unique(at * len(x["sh"]) + pas, return_index=True)
+                at, pas, sim = at[one], pas[one], sim[one]
+                if not len(at):
                     continue
-                at = inside[win]
-                cols = at[:, None] + np.arange(per)
-                sim = similarity(sh[cols], sw[cols].astype(np.int64), x["sh"][pas], x["sw"][pas])
-                ok = sim >= least
-                at, pas, sim = at[ok], pas[ok], sim[ok]
                 same = (h[at[:, None] + np.arange(length)] == x["hashes"][pas]).all(1)
                 rows.append(pd.DataFrame({"doc_id": ids[doc[at]], "item_id": x["items"][pas], "n_windows": 1, "similarity": sim, "exact": same}))
             if not rows:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,6 +73,43 @@ def test_near_passages_are_found_with_their_similarity(spark):
     assert [(r.doc_id, r.exact) for r in got] == [(1, False)] and 0.8 <= got[0].similarity < 1
 
 
+def test_near_passages_are_all_found_with_the_production_parameters(spark):
+    rnd = random.Random(11)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([1, 2, 5, 9, 12]))) for _ in range(300)]
+    say = lambda k: [rnd.choice(vocab) for _ in range(k)]
+    items = [(i, say(rnd.choice([7, 12, 20]))) for i in range(40)] + [(40, ["x", "y"] * 8)]
+    docs = []
+    for d in range(250):
+        w = list(rnd.choice(items)[1])
+        at = rnd.randrange(max(1, len(w) - 11))
+        w = w[at : at + 12]
+        w[rnd.choice([0, 0, -1, -1, -2])] = rnd.choice("qrstuv")
+        docs.append((d, say(rnd.randrange(20)) + w + say(rnd.randrange(20))))
+
+    def bag(w):
+        n = min(5, len(w))
+        out = Counter()
+        for j in range(len(w) - n + 1):
+            out[tuple(w[j : j + n])] += sum(map(len, w[j : j + n]))
+        return out
+
+    want = {}
+    for i, w in items:
+        size = min(12, len(w))
+        for a in (bag(w[j : j + size]) for j in range(len(w) - size + 1)):
+            for d, v in docs:
+                for j in range(len(v) - size + 1):
+                    b = bag(v[j : j + size])
+                    if shared := (a & b).total():
+                        if (s := shared / (a | b).total()) >= 0.8:
+                            n, most = want.get((d, i), (0, 0))
+                            want[d, i] = n + 1, max(most, s)
+    join = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.similarity) for r in leakage.leaks(join(docs, "doc_id"), join(items, "item_id")).collect()}
+    assert got.keys() == want.keys() and sum(s < 1 for _, s in want.values()) > 20
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_blocks_find_all_prints_within_the_radius():
     rng = np.random.default_rng(0)
     for radius in (0, 2, 3, 5):
