@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.paths import infer_split, is_image, label_inspect, relative, suffix
+from foliant.sources.pixels import hash_of
 
 SPLIT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("dataset", T.StringType()), ("label", T.StringType()), ("path", T.StringType()), ("md5", T.StringType()), ("size_bytes", T.LongType()),
@@ -26,11 +27,12 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("rel", relative(rel, F.lit(root.rstrip("/")))).withColumn("is_image", is_image("path"))
 
 
-def scan_images(spark: SparkSession, root: str, probe: Callable[[bytes], dict] | None = None) -> DataFrame:
+def scan_images(spark: SparkSession, root: str, probe: Callable[[bytes], dict] | None = None, hashed: bool = False) -> DataFrame:
     """path, rel, dataset (first folder), label, split, suffix, size_bytes, md5, format, width, height, status, error of every image under root.
 
     status is ok or corrupt, with the decoder's message in error; a corrupt file keeps its row, size and md5. probe takes the bytes and gives
     format, width and height or raises; the default reads PNG and JPEG in full structure and needs no imaging library.
+    hashed adds ahash, the average hash of 256 bits, null for files that the worker cannot decode (see pixels.with_hashes).
     """
     probe = probe or probe_image
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(is_image("path"))
@@ -41,14 +43,15 @@ def scan_images(spark: SparkSession, root: str, probe: Callable[[bytes], dict] |
             for content in pdf["content"]:
                 try:
                     x = probe(bytes(content))
-                    rows.append((x["format"], x["width"], x["height"], "ok", None))
+                    rows.append((x["format"], x["width"], x["height"], "ok", None, hash_of(bytes(content)) if hashed else None))
                 except Exception as e:  # any failure is a data point
-                    rows.append((None, 0, 0, "corrupt", f"{type(e).__name__}: {e}"))
+                    rows.append((None, 0, 0, "corrupt", f"{type(e).__name__}: {e}", None))
             out = pdf.drop(columns=["content"]).reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(rows, columns=["format", "width", "height", "status", "error"])], axis=1)
+            yield pd.concat([out, pd.DataFrame(rows, columns=["format", "width", "height", "status", "error", "ahash"])], axis=1)
 
     x = files.select("path", F.col("length").alias("size_bytes"), F.md5("content").alias("md5"), "content")
-    x = x.mapInPandas(run, "path string, size_bytes bigint, md5 string, format string, width int, height int, status string, error string")
+    x = x.mapInPandas(run, "path string, size_bytes bigint, md5 string, format string, width int, height int, status string, error string, ahash binary")
+    x = x if hashed else x.drop("ahash")
     x = x.withColumn("rel", relative(F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/*", "/"), F.lit(root.rstrip("/"))))
     x = x.withColumns({"dataset": F.split_part("rel", F.lit("/"), F.lit(1)), "inner": F.regexp_replace("rel", "^[^/]*/", "")})
     return x.withColumns({"label": label_inspect("inner"), "split": infer_split("inner"), "suffix": suffix("path")}).drop("inner")

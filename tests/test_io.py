@@ -1,16 +1,18 @@
 """Sources, sinks, settings and streams."""
 
 import io
+import random
 import struct
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.__main__ import main
 from foliant.plans import pipeline
-from foliant.sources import files, sinks
+from foliant.sources import files, pixels, sinks
 from foliant.sources.config import Config
 from foliant.streaming import running
 
@@ -75,6 +77,73 @@ def test_pipeline(spark, tmp_path, rows):
     assert (doc.files.n, doc.files.corrupt, doc.classes.Fig, doc.duplicates.files) == (12, 1, 8, 2)
 
 
+def drawn(spark, path, grid, kind="png", scale=8):
+    """A grey picture of grid, each value a square, written by the JVM."""
+    jvm = spark._jvm
+    im = jvm.java.awt.image.BufferedImage(len(grid[0]) * scale, len(grid) * scale, 5)
+    paint = im.createGraphics()
+    for y, line in enumerate(grid):
+        for x, v in enumerate(line):
+            paint.setColor(jvm.java.awt.Color(v, v, v))
+            paint.fillRect(x * scale, y * scale, scale, scale)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    assert jvm.javax.imageio.ImageIO.write(im, kind, jvm.java.io.File(str(path)))
+
+
+def test_pipeline_clusters_pictures_by_their_own_hashes(spark, tmp_path):
+    rnd = random.Random(3)
+    grid = lambda: [[rnd.choice((20, 230)) for _ in range(16)] for _ in range(16)]
+    for k in range(3):
+        g = grid()
+        drawn(spark, tmp_path / f"in/Fig/a{k} +1.png", g)
+        g[0][0] += 3  # other bytes, the same picture
+        drawn(spark, tmp_path / f"in/Fig/b{k}.png", g)
+    g = grid()
+    drawn(spark, tmp_path / "in/Hop/j +1.jpg", g, "jpg")
+    g[3][3] += 4
+    drawn(spark, tmp_path / "in/Hop/j2.jpg", g, "jpg")
+    split, _ = pipeline.preprocess(spark, str(tmp_path / "in"), "d")
+    got = {r.path: r for r in split.collect()}
+    assert len(got) == 8 and all(len(r.ahash) == 32 for r in got.values())
+    for a, b in [*((f"Fig/a{k} +1.png", f"Fig/b{k}.png") for k in range(3)), ("Hop/j +1.jpg", "Hop/j2.jpg")]:
+        assert got[a].cluster == got[b].cluster and got[a].split == got[b].split
+    assert len({r.cluster for r in got.values()}) == 4
+    assert got["Hop/j +1.jpg"].ahash == np.packbits(np.array(g).ravel() > 100).tobytes()
+    (tmp_path / "in/Hop/stub.jpg").write_bytes(JPEG)
+    with pytest.raises(ValueError, match="stub.jpg"):
+        pipeline.preprocess(spark, str(tmp_path / "in"), "d")
+
+
+@pytest.mark.parametrize("colour,depth", [(0, 1), (0, 2), (0, 4), (0, 8), (0, 16), (2, 8), (2, 16), (3, 2), (3, 8), (4, 8), (6, 8), (6, 16)])
+def test_pngs_of_all_kinds_and_filters(colour, depth):
+    rng = np.random.default_rng(depth + 20 * colour)
+    w, h, n = 19, 23, {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    step, line = max(1, n * depth // 8), -(-w * n * depth // 8)
+    data = rng.integers(0, 256, (h, line), dtype=np.uint8)
+    raw, above = b"", bytes(line)
+    for y in range(h):
+        cur, kind = bytes(data[y]), y % 5
+        raw += bytes([kind])
+        for i in range(line):
+            a, b, c = cur[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+            p = a + b - c
+            near = min((a, b, c), key=lambda v: abs(p - v))
+            raw += bytes([(cur[i] - (0, a, b, (a + b) // 2, near)[kind]) & 255])
+        above = cur
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    palette = rng.integers(0, 256, (256, 3), dtype=np.uint8)
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)) + (chunk(b"PLTE", palette.tobytes()) if colour == 3 else b"")
+    got = pixels.png_grey(b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    luma = lambda r, g, b: (int(r) * 19595 + int(g) * 38470 + int(b) * 7471 + 32768) >> 16
+    for y in range(h):
+        bits = "".join(f"{v:08b}" for v in data[y])
+        v = [int(bits[i * depth : (i + 1) * depth], 2) for i in range(w * n)]
+        for x in range(w):
+            px = v[x * n : x * n + n]
+            px = px if colour == 3 else [q >> 8 if depth == 16 else q * 255 // (2**depth - 1) for q in px]
+            assert got[y, x] == (luma(*palette[px[0]]) if colour == 3 else luma(*px[:3]) if n > 2 else px[0])
+
+
 def test_archives(spark, tmp_path, rows):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
