@@ -33,8 +33,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("foliant").config(map=SETTINGS).getOrCreate()
     if args.job == "scan":
-        found = files.scan_images(spark, args.root).withColumn("ok", files.F.col("status") == "ok")
-        sinks.write_report(profile.report(found, "dataset", "label", "suffix", "ok", "md5", "size_bytes", "width", "height"), args.out)
+        found = files.scan_images(spark, args.root).withColumns({"ok": files.F.col("status") == "ok", "other": files.F.col("status") == "unsupported"})
+        sinks.write_report(profile.report(found, "dataset", "label", "suffix", "ok", "md5", "size_bytes", "width", "height", "other"), args.out)
     elif args.job == "preprocess":
         split, moved = pipeline.preprocess(spark, args.root, args.dataset, args.mode, not args.no_cluster)
         sinks.write_split(split, f"{args.out}/split")

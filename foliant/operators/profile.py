@@ -27,11 +27,12 @@ def imbalance(df: DataFrame, group: str, label: str) -> DataFrame:
     )
 
 
-def integrity(df: DataFrame, group: str, ok: str) -> DataFrame:
-    """group, n_files, n_valid, n_corrupt by the boolean column ok (null is corrupt); n_unsupported is always 0, as no other suffix is scanned."""
+def integrity(df: DataFrame, group: str, ok: str, unsupported: str | None = None) -> DataFrame:
+    """group, n_files, n_valid, n_corrupt by the boolean column ok (null is corrupt), n_unsupported by another one (0 without it), whose rows are not corrupt."""
+    other = F.coalesce(F.col(unsupported), F.lit(False)) if unsupported else F.lit(False)
     return df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_files"), F.count_if(F.coalesce(F.col(ok), F.lit(False))).alias("n_valid"),
-        F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("n_corrupt"), F.lit(0).cast("bigint").alias("n_unsupported"),
+        F.count_if(~F.coalesce(F.col(ok), F.lit(False)) & ~other).alias("n_corrupt"), F.count_if(other).alias("n_unsupported"),
     )
 
 
@@ -101,7 +102,7 @@ def tasks_supported(df: DataFrame, group: str, label: str, identify: tuple[str,
     )
 
 
-def report(df: DataFrame, group: str, label: str, suffix: str, ok: str, md5: str, size: str, width: str, height: str) -> DataFrame:
+def report(df: DataFrame, group: str, label: str, suffix: str, ok: str, md5: str, size: str, width: str, height: str, unsupported: str | None = None) -> DataFrame:
     """One nested document for each group: files{n, valid, corrupt, unsupported}, classes (label -> n, of valid files), formats (suffix -> n),
     sizes{total_mb, mean_kb, min, median, max}, dimensions{min, median, max as [width, height]}, duplicates{groups, files, wasted_bytes}.
 
@@ -109,7 +110,7 @@ def report(df: DataFrame, group: str, label: str, suffix: str, ok: str, md5: str
     """
     good = df.filter(F.coalesce(F.col(ok), F.lit(False)))
     counted = lambda d, c, name: d.groupBy(F.col(group).alias("g"), F.coalesce(F.col(c), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(name))
-    s, i, t = size_profile(df, group, size, width, height), integrity(df, group, ok), totals(df, group, ok, md5, size).filter("NOT is_total")
+    s, i, t = size_profile(df, group, size, width, height), integrity(df, group, ok, unsupported), totals(df, group, ok, md5, size).filter("NOT is_total")
     parts = [
         counted(good, label, "classes"), counted(df, suffix, "formats"),
         s.select(F.col(group).alias("g"), F.struct("total_mb", "mean_kb", F.col("min_size").alias("min"), F.col("median_size").alias("median"), F.col("max_size").alias("max")).alias("sizes"),

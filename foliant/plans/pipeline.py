@@ -17,14 +17,17 @@ from foliant.sources.pixels import with_hashes
 def preprocess(spark: SparkSession, root: str, dataset: str, mode: str = "flat", cluster: bool = True, probe: Callable[[bytes], dict] | None = None, hashes: Callable[[DataFrame], DataFrame] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(split, quarantine) of the images under root.
 
-    split: dataset, label, path, md5, size_bytes, ahash, width, height, cluster, split of one file for each checksum. quarantine: path, reason.
+    split: dataset, label, path, md5, size_bytes, ahash, width, height, cluster, split of one file for each checksum. quarantine: path, reason
+    (corrupt, unsupported or duplicate).
     hashes adds the column ahash (256 bits) to rows with a path, and is where another image library is plugged in; without it the average hash
     is computed from the pictures, and a kept file that cannot be decoded for it is an error. cluster=False makes every file a cluster of its own.
     """
     own = cluster and hashes is None
     files = scan_images(spark, root, probe or probe_image, hashed=own).withColumn("label", label_manifest("rel", mode))
-    files = store(files.select(F.lit(dataset).alias("dataset"), "label", F.col("rel").alias("path"), "md5", "size_bytes", "width", "height", (F.col("status") == "ok").alias("ok"), *(["ahash"] if own else [])), "files")
+    files = store(files.select(F.lit(dataset).alias("dataset"), "label", F.col("rel").alias("path"), "md5", "size_bytes", "width", "height", "status", (F.col("status") == "ok").alias("ok"), *(["ahash"] if own else [])), "files")
     moved = manifest.quarantine(files, "path", "label", "ok", "md5", ["label", "path"]).select("path", "reason")
+    other = files.filter("status = 'unsupported'").select(F.col("path").alias("p"), "status")
+    moved = moved.join(other, F.col("path") == F.col("p"), "left").select("path", F.coalesce("status", "reason").alias("reason"))
     kept = manifest.keep_first(files.filter("ok"), "md5", ["label", "path"])
     if own:
         if not kept.filter("ahash IS NULL").isEmpty():

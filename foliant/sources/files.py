@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,8 +31,8 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 def scan_images(spark: SparkSession, root: str, probe: Callable[[bytes], dict] | None = None, hashed: bool = False) -> DataFrame:
     """path, rel, dataset (first folder), label, split, suffix, size_bytes, md5, format, width, height, status, error of every image under root.
 
-    status is ok or corrupt, with the decoder's message in error; a corrupt file keeps its row, size and md5. probe takes the bytes and gives
-    format, width and height or raises; the default reads PNG and JPEG in full structure and needs no imaging library.
+    status is ok, unsupported (another picture format; the probe raised Unsupported) or corrupt, with the decoder's message in error; such a file keeps its
+    row, size and md5. probe takes the bytes and gives format, width and height or raises; the default reads PNG, JPEG and WebP in structure and needs no imaging library.
     hashed adds ahash, the average hash of 256 bits, null for files that the worker cannot decode (see pixels.with_hashes).
     """
     probe = probe or probe_image
@@ -45,7 +46,7 @@ def scan_images(spark: SparkSession, root: str, probe: Callable[[bytes], dict] |
                     x = probe(bytes(content))
                     rows.append((x["format"], x["width"], x["height"], "ok", None, hash_of(bytes(content)) if hashed else None))
                 except Exception as e:  # any failure is a data point
-                    rows.append((None, 0, 0, "corrupt", f"{type(e).__name__}: {e}", None))
+                    rows.append((None, 0, 0, "unsupported" if isinstance(e, Unsupported) else "corrupt", f"{type(e).__name__}: {e}", None))
             out = pdf.drop(columns=["content"]).reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(rows, columns=["format", "width", "height", "status", "error", "ahash"])], axis=1)
 
@@ -57,8 +58,43 @@ def scan_images(spark: SparkSession, root: str, probe: Callable[[bytes], dict] |
     return x.withColumns({"label": label_inspect("inner"), "split": infer_split("inner"), "suffix": suffix("path")}).drop("inner")
 
 
+class Unsupported(ValueError):
+    """A picture of a format that the probe does not read."""
+
+
+#: The next marker of a JPEG: none of the stuffed bytes and restarts within a scan.
+_MARKER = re.compile(rb"\xff+([^\x00\x01\xff\xd0-\xd8])", re.DOTALL)
+_OTHERS = ((b"GIF8", "GIF"), (b"BM", "BMP"), (b"II*\0", "TIFF"), (b"MM\0*", "TIFF"), (b"\0\0\0\x0cjP  ", "JPEG 2000"), (b"\0\0\1\0", "ICO"))
+
+
+def _webp_size(data: bytes) -> dict:
+    """width, height of a WebP picture: of its canvas, or of its lossy or lossless frame."""
+    end = 8 + int.from_bytes(data[4:8], "little")
+    if len(data) < end:
+        raise ValueError("WebP is cut short")
+    at, size, frame = 12, None, False
+    while at + 8 <= end:
+        kind, n = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        body = data[at + 8 : at + 8 + n]
+        if at + 8 + n > end:
+            raise ValueError("damaged WebP chunk")
+        if kind == b"VP8X" and n >= 10:
+            size = size or (1 + int.from_bytes(body[4:7], "little"), 1 + int.from_bytes(body[7:10], "little"))
+        elif kind == b"VP8 " and n >= 10 and body[3:6] == b"\x9d\x01\x2a":
+            size, frame = size or tuple(x & 0x3FFF for x in struct.unpack("<HH", body[6:10])), True
+        elif kind == b"VP8L" and n >= 5 and body[0] == 0x2F:
+            x = int.from_bytes(body[1:5], "little")
+            size, frame = size or ((x & 0x3FFF) + 1, (x >> 14 & 0x3FFF) + 1), True
+        elif kind == b"ANMF":
+            frame = True
+        at += 8 + n + n % 2
+    if not frame or size is None:
+        raise ValueError("WebP without a frame")
+    return {"width": size[0], "height": size[1]}
+
+
 def probe_image(data: bytes) -> dict:
-    """format, width, height of a PNG or JPEG; raises ValueError if it is neither, cut short or damaged (PNG: also if its pixels do not inflate)."""
+    """format, width, height of a PNG, JPEG or WebP; raises Unsupported for another known format, ValueError if it is none, cut short or damaged (PNG: also if its pixels do not inflate)."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         at, size, pixels, ended = 8, None, b"", False
         while at + 12 <= len(data):
@@ -80,18 +116,24 @@ def probe_image(data: bytes) -> dict:
         zlib.decompress(pixels)
         return {"format": "PNG", "width": size[0], "height": size[1]}
     if data[:2] == b"\xff\xd8":
-        if data.rstrip(b"\0")[-2:] != b"\xff\xd9":
-            raise ValueError("JPEG is cut short")
-        at = 2
-        while at + 9 < len(data):
-            if data[at] != 0xFF:
+        at, size = 2, None
+        while (m := _MARKER.search(data, at)) is not None:
+            kind, body = m[1][0], m.end()
+            if size is None and m.start() != at:
                 raise ValueError("damaged JPEG segment")
-            kind, n = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                return {"format": "JPEG", "width": w, "height": h}
-            at += 2 + n
-        raise ValueError("JPEG without a frame")
+            if kind == 0xD9:
+                if size is None:
+                    raise ValueError("JPEG without a frame")
+                return {"format": "JPEG", "width": size[1], "height": size[0]}  # what follows the end marker does not matter
+            n = int.from_bytes(data[body : body + 2])
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC) and body + 7 <= len(data):
+                size = size or struct.unpack(">HH", data[body + 3 : body + 7])
+            at = body + n
+        raise ValueError("JPEG is cut short")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return {"format": "WEBP"} | _webp_size(data)
+    if name := next((name for start, name in _OTHERS if data.startswith(start)), None):
+        raise Unsupported(f"{name} is not read here")
     raise ValueError("cannot identify image file")
 
 

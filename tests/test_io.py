@@ -77,6 +77,35 @@ def test_pipeline(spark, tmp_path, rows):
     assert (doc.files.n, doc.files.corrupt, doc.classes.Fig, doc.duplicates.files) == (12, 1, 8, 2)
 
 
+def webp(kind, body, extra=b""):
+    chunk = kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    return b"RIFF" + struct.pack("<I", 4 + len(extra + chunk)) + b"WEBP" + extra + chunk
+
+
+def test_webp_trailing_bytes_and_other_formats(spark, tmp_path, rows):
+    lossy, lossless = b"\x30\1\0\x9d\x01\x2a" + struct.pack("<HH", 320 | 1 << 14, 201) + b"x", b"\x2f" + struct.pack("<I", 99 | 44 << 14) + b"x"
+    canvas = b"VP8X" + struct.pack("<I", 10) + bytes(4) + (699).to_bytes(3, "little") + (499).to_bytes(3, "little")
+    thumb = b"\xff\xd8\xff\xe1\x00\x06\xff\xd8\xff\xd9" + JPEG[2:-2] + b"\xff\xda\x00\x02ab\xff\x00c\xff\xd0d"
+    given = {
+        "a.webp": webp(b"VP8 ", lossy), "b.webp": webp(b"VP8L", lossless), "c.webp": webp(b"VP8L", lossless, canvas), "d.webp": webp(b"VP8 ", lossy)[:-4], "e.webp": webp(b"EXIF", b"ab", canvas),
+        "f.jpg": JPEG + b"trailing", "g.jpg": thumb + b"\xff\xd9more", "h.jpg": thumb, "i.png": b"GIF89a", "j.webp": webp(b"VP8 ", lossy) + b"tail",
+    }
+    (tmp_path / "in/Fig").mkdir(parents=True)
+    for name, data in given.items():
+        (tmp_path / "in/Fig" / name).write_bytes(data)
+    got = {r.rel[4:]: (r.status, r.format, r.width, r.height) for r in files.scan_images(spark, str(tmp_path / "in")).collect()}
+    bad = ("corrupt", None, 0, 0)
+    assert got == {
+        "a.webp": ("ok", "WEBP", 320, 201), "b.webp": ("ok", "WEBP", 100, 45), "c.webp": ("ok", "WEBP", 700, 500), "d.webp": bad, "e.webp": bad, "f.jpg": ("ok", "JPEG", 7, 5),
+        "g.jpg": ("ok", "JPEG", 7, 5), "h.jpg": bad, "i.png": ("unsupported", None, 0, 0), "j.webp": ("ok", "WEBP", 320, 201),
+    }
+    split, moved = pipeline.preprocess(spark, str(tmp_path / "in"), "d", cluster=False)
+    assert rows(moved) == [("Fig/d.webp", "corrupt"), ("Fig/e.webp", "corrupt"), ("Fig/h.jpg", "corrupt"), ("Fig/i.png", "unsupported")] and split.count() == 6
+    assert main(["scan", str(tmp_path / "in"), str(tmp_path / "rep")]) == 0
+    n = spark.read.json(str(tmp_path / "rep/latest")).first().files
+    assert (n.n, n.valid, n.corrupt, n.unsupported) == (10, 6, 3, 1)
+
+
 def drawn(spark, path, grid, kind="png", scale=8):
     """A grey picture of grid, each value a square, written by the JVM."""
     jvm = spark._jvm
