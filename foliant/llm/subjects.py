@@ -35,8 +35,8 @@ class Settings:
 
     background: int = 2  #: topics for each language besides those of the subjects
     language_share: float = 0.01  #: a language has topics of its own if at least this share of the documents is marked with it
-    passes: int = 5
-    inner: int = 4
+    passes: int = 10
+    inner: int = 8
     alpha: float = 0.15
     beta: float = 0.02
     label_prior: float = 2.0

@@ -73,3 +73,11 @@ def test_pieces_are_bounded():
     import numpy as np
 
     assert S._cuts(np.array([5, 5, 5, 100, 1]), 10) == [(0, 2), (2, 4), (4, 5)] and S._cuts(np.array([], int)) == []
+
+
+def test_the_fit_makes_all_its_passes_and_rounds(spark, monkeypatch):
+    docs, truth = corpus(n=60)
+    sums, by_word = [], S._sum_by_word
+    monkeypatch.setattr(S, "_sum_by_word", lambda *x: sums.append(1) or by_word(*x))
+    run(spark, docs, [(d, s) for d, about in truth.items() for s in about])
+    assert len(sums) == 1 + 10 and Settings().inner == 8
