@@ -101,18 +101,24 @@ def p5_units(spark: SparkSession, folder: str) -> DataFrame:
     return u.select("dataset", "cluster", F.col("single_id").alias("record_id"), F.col("stratum").alias("label"), F.col("weight").alias("n_rows"), "new_split", (F.bit_count("mask") > 1).alias("torn"))
 
 
-def p5_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """record_id, split of every record."""
+def _p5_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """record_id, label, split, n_rows of the records with their own labels."""
     u = _p5_units(spark, folder)
-    rows = table(spark, folder, "split_csv").select("record_id", name_key("dataset").alias("dataset"), F.col("cluster").cast("bigint").alias("cluster"))
+    rows = table(spark, folder, "split_csv").select("record_id", name_key("label").alias("label"), name_key("dataset").alias("dataset"), F.col("cluster").cast("bigint").alias("cluster"))
     whole = u.filter("cluster IS NOT NULL").select(F.col("dataset").alias("d"), F.col("cluster").alias("c"), F.col("new_split").alias("split"))
-    single = u.filter("cluster IS NULL").select(F.col("single_id").alias("record_id"), F.col("new_split").alias("split"))
-    return rows.filter("cluster IS NOT NULL").join(whole, F.col("dataset").eqNullSafe(F.col("d")) & (F.col("cluster") == F.col("c"))).select("record_id", "split").unionByName(single)
+    single = u.filter("cluster IS NULL").select(F.col("single_id").alias("record_id"), F.col("stratum").alias("label"), F.col("new_split").alias("split"), F.col("weight").alias("n_rows"))
+    rows = rows.filter("cluster IS NOT NULL").join(whole, F.col("dataset").eqNullSafe(F.col("d")) & (F.col("cluster") == F.col("c")))
+    return rows.select("record_id", "label", "split", F.lit(1).cast("bigint").alias("n_rows")).unionByName(single)
+
+
+def p5_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """record_id, split of every record."""
+    return _p5_rows(spark, folder).select("record_id", "split")
 
 
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows and share of each split within each label."""
-    per = p5_units(spark, folder).groupBy("label").agg(F.sum("n_rows").alias("n_rows"), *(F.sum(F.when(F.col("new_split") == s, F.col("n_rows")).otherwise(0)).alias(f"n_{s}") for s in SHARES))
+    """Rows and share of each split within each label, by the records' own labels and not by those of their clusters."""
+    per = _p5_rows(spark, folder).groupBy("label").agg(F.sum("n_rows").alias("n_rows"), *(F.sum(F.when(F.col("split") == s, F.col("n_rows")).otherwise(0)).alias(f"n_{s}") for s in SHARES))
     return per.select("*", *(F.round(F.col(f"n_{s}") / F.col("n_rows"), 4).alias(f"share_{s}") for s in SHARES))
 
 

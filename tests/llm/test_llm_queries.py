@@ -38,3 +38,16 @@ def test_assignments_are_whole(spark):
     n = table(spark, FOLDER, "split_csv").count()
     a = queries.p5_assignment(spark, FOLDER)
     assert a.count() == n == a.select("record_id").distinct().count() and a.filter("split IS NULL").count() == 0
+
+
+def test_shares_count_records_by_their_own_labels(spark, tmp_path):
+    rows = [(1, "d", 1, "Fig", "train"), (2, "d", 1, "Fig", "train"), (3, "d", 1, "Hop", "val"), (4, "d", 1, None, "val"), (5, "d", None, "Fig", "test"), (6, "d", None, None, "test")]
+    spark.createDataFrame(rows, "record_id bigint, dataset string, cluster int, label string, split string").write.parquet(str(tmp_path / "split_csv.parquet"))
+    split = {r.record_id: r.split for r in queries.p5_assignment(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, _, _, label, _ in rows:
+        x = want.setdefault(label and label.lower(), [0, 0, 0, 0])
+        x[0] += 1
+        x[1 + list(queries.SHARES).index(split[i])] += 1
+    got = {r.label: [r.n_rows, r.n_train, r.n_val, r.n_test] for r in queries.p5_shares(spark, str(tmp_path)).collect()}
+    assert got == want and got["hop"][0] == 1
