@@ -23,7 +23,7 @@ from foliant.plans.workspace import small, store
 
 #: Tokens are counted in ten-thousandths, so that quotas are whole numbers.
 UNIT = 10_000
-#: Most distinct sets of sources; more would mean that the sources are not a mixture but an index.
+#: Most distinct sets of target sources; more would mean that the sources are not a mixture but an index.
 MOST_PATTERNS = 50_000
 
 
@@ -91,14 +91,17 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataF
     a target without documents is short unless its share is 0. Targets must be unique by source.
     """
     spark = documents.sparkSession
-    key = F.concat_ws("\x1f", F.array_sort(F.array_distinct(F.array_compact(F.coalesce("sources", F.array())))))
+    asked = targets.select("source", "target_bp", "max_repeats").collect()
+    aimed = F.array(*(F.lit(r.source) for r in asked if r.source is not None)).cast("array<string>")
+    # other sources take no part in the flow, so they make no patterns; their tokens count in the total
+    key = F.concat_ws("\x1f", F.array_sort(F.array_intersect(F.coalesce(F.col("sources").cast("array<string>"), F.array().cast("array<string>")), aimed)))
     docs = store(documents.select("doc_id", key.alias("pattern"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")), "counted")  # texts are counted once
     sums = store(docs.groupBy("pattern").agg(F.sum("tokens").alias("tokens")), "patterns")
     if sums.count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
+        raise ValueError(f"more than {MOST_PATTERNS} sets of target sources")
     patterns = {r.pattern: (r.pattern.split("\x1f"), r.tokens) for r in sums.collect()}
     all_tokens = sum(t for _, t in patterns.values())
-    wanted = {r.source: (r.target_bp * all_tokens, r.max_repeats) for r in targets.select("source", "target_bp", "max_repeats").collect()}
+    wanted = {r.source: (r.target_bp * all_tokens, r.max_repeats) for r in asked}
     flow = route({k: v for k, v in patterns.items() if k and v[1]}, wanted)
 
     spans, routed, at = [], dict.fromkeys(wanted, 0), defaultdict(int)

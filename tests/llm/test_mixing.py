@@ -91,3 +91,11 @@ def test_repeats_and_long_texts(spark):
     assert {r.source: (r.chosen, r.is_short) for r in report.collect()} == {"a": (60, False), "b": (40, False)} and chosen.count() == 10
     long = spark.createDataFrame([("ab, " * 300_000,)], "t string")
     assert with_token_count(long, "t", "n").first().n == 600_000
+
+
+def test_other_sources_make_no_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 4)
+    data = [(d, [f"host{d}", "ab"[d % 2]], 10) for d in range(20)] + [(d, [f"host{d}", None], 10) for d in range(20, 40)]
+    chosen, report = mixing.mix(spark.createDataFrame(data, "doc_id bigint, sources array<string>, tokens bigint"), spark.createDataFrame([("a", 2500, 1), ("b", 5000, 1)], TARGETS))
+    got = {r.source: (r.tokens, r.quota, r.chosen, r.is_short) for r in report.collect()}
+    assert got == {"a": (100, 100.0, 100, False), "b": (100, 200.0, 100, True)} and chosen.count() == 20
