@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.manifest import keep_first
 from foliant.operators.ranking import ranked
 
 
+def padded(number: Column, digits: int) -> Column:
+    """Digits of a whole number with zeros before it; a longer number is never cut."""
+    return F.format_string(f"%0{digits}d", number)
+
+
 def next_ids(new: DataFrame, history: DataFrame, code: str, order: list[str], prefix: str = "PG-", digits: int = 6) -> DataFrame:
     """new with `number` and `code` after the largest number among all codes ever given in history, so none is used again.
 
-    Codes that do not have the form prefix + digits are left aside; without any, numbers start at 1.
+    Codes that do not have the form prefix + digits, or whose number is no bigint, are left aside; without any, numbers start at 1.
     """
     n = F.regexp_extract(F.col(code), f"^{prefix}([0-9]+)$", 1)
-    top = history.agg(F.coalesce(F.max(F.when(n != "", n.cast("bigint"))), F.lit(0)).alias("_top"))
+    top = history.agg(F.coalesce(F.max(F.when(n != "", n.try_cast("bigint"))), F.lit(0)).alias("_top"))
     out = ranked(new, [], order).withColumn("number", top.scalar() + F.col("rank"))
-    return out.withColumn(code, F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), digits, "0"))).drop("rank", "group_rows")
+    return out.withColumn(code, F.concat(F.lit(prefix), padded(F.col("number"), digits))).drop("rank", "group_rows")
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old and those rows of new whose key old does not have; of several new rows with one key any one, the same on every run. Null keys are not inserted."""
     keys = old.select(F.col(key).alias("_k")).filter("_k IS NOT NULL").distinct()
     absent = new.filter(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("_k"), "left_anti")
-    once = absent.groupBy(F.col(key).alias("_g")).agg(F.min(F.struct(*new.columns)).alias("r")).select("r.*")
+    plain = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in absent.dtypes]
+    once = keep_first(absent.withColumn("_o", F.struct(*plain)), key, ["_o"]).drop("_o")
     return old.unionByName(once, allowMissingColumns=True)
 
 
@@ -58,8 +65,8 @@ def append_observations(observations: DataFrame, images: DataFrame, new: DataFra
     had = observations.groupBy(F.col("plant_id").alias("_e")).agg(F.count(F.lit(1)).alias("_had"))
     x = rank.join(had, F.col("plant_id") == F.col("_e"), "left")
     x = x.withColumns({"id": top(observations) + F.col("_n"), "image_id": top(images) + F.col("_n"), "_at": F.col("_p") + F.coalesce("_had", F.lit(0))})
-    code = F.concat(F.lit("PG-"), F.lpad(F.col("plant_id").cast("string"), 6, "0"))
-    name = F.concat(F.lit("observation_"), F.lpad(F.col("_at").cast("string"), 3, "0"), F.lit(".jpg"))
+    code = F.concat(F.lit("PG-"), padded(F.col("plant_id"), 6))
+    name = F.concat(F.lit("observation_"), padded(F.col("_at"), 3), F.lit(".jpg"))
     pictures = x.select(F.col("image_id").alias("id"), "plant_id", F.concat_ws("/", F.lit("data/plants"), code, name).alias("file_path"), name.alias("file_name"), F.col("created_at").alias("upload_date"))
     return (
         observations.unionByName(x.select("id", "image_id", *[c for c in new.columns if c in observations.columns]), allowMissingColumns=True),

@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators.ranking import null_safe, ranked
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row for each key, the first by `order`; rows with a null key are all kept. Columns stay as they are.
+    """One row for each key, the first by `order`, nulls last; rows with a null key are all kept. Columns stay as they are.
 
-    The first row is an algebraic minimum, so a key that holds most rows is combined in each task.
+    The filter on the row number becomes a group limit in each task, so a key that holds most rows sends one row
+    from each task. Rows that are equal in `order` are interchangeable: end it with a unique column.
     """
-    first = F.min(F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in order), F.struct(*df.columns).alias("row"))).alias("first")
-    plain = [c for c in df.columns if dict(df.dtypes)[c].startswith("map")]
-    if plain:
-        raise ValueError(f"map columns cannot be ordered: {plain}")
-    once = df.filter(F.col(key).isNotNull()).groupBy(key).agg(first).select("first.row.*")
+    w = W.partitionBy(key).orderBy(*(F.asc_nulls_last(c) for c in order))
+    once = df.filter(F.col(key).isNotNull()).withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
     return once.unionByName(df.filter(F.col(key).isNull()))
 
 
@@ -69,8 +68,6 @@ def fraction_per_label(df: DataFrame, label: str, order: list[str], fraction: fl
 
 def hash_sample_per(df: DataFrame, group: str, row_id: str, n: int, seed: int) -> DataFrame:
     """Exactly min(n, rows) rows of each group by the hash of seed and row_id; cut to n in each task before the shuffle."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"))), row_id)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 

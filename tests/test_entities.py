@@ -80,6 +80,10 @@ def test_changes(spark, rows):
     new = spark.createDataFrame([("b", 2), ("a", 1)], "name string, o int").withColumn("code", F.lit(None).cast("string"))
     assert rows(changes.next_ids(new, hist, "code", ["o"]), "name", "code") == [("a", "PG-000013"), ("b", "PG-000014")]
     assert rows(changes.next_ids(new, hist.limit(0), "code", ["o"]), "code") == [("PG-000001",), ("PG-000002",)]
+    full = spark.createDataFrame([("PG-999999",), ("PG-99999999999999999999999",)], "code string")  # the latter is no number that ids could follow
+    assert rows(changes.next_ids(new, full, "code", ["o"]), "code") == [("PG-1000000",), ("PG-1000001",)]
+    maps = spark.createDataFrame([("v2", {"x": 2}, 1), ("v2", {"x": 1}, 1), ("v1", {}, 1)], "version string, classes map<string,int>, n int")
+    assert rows(changes.insert_if_absent(maps.filter("version = 'v1'"), maps, "version"), "version", F.col("classes")["x"]) == [("v1", None), ("v2", 1)]
     old = spark.createDataFrame([(1, "x", "y"), (2, "x", "y"), (None, "q", "q")], "id int, a string, b string")
     patch = spark.createDataFrame([(1, None, True, "z", False), (9, "n", True, "n", True)], "id int, a string, has_a boolean, b string, has_b boolean")
     assert rows(changes.patch(old, patch, "id", ["a", "b"])) == [(1, None, "y"), (2, "x", "y"), (None, "q", "q")]
@@ -90,6 +94,9 @@ def test_changes(spark, rows):
 
 def test_append(obs, images, spark, rows):
     new = spark.createDataFrame([(30, T[6], "healthy", 0.9), (30, T[5], "sick", 0.8), (10, T[7], "sick", 0.1)], "plant_id bigint, created_at timestamp_ntz, health_status string, confidence double").withColumn("file_name", F.lit("up.png"))
+    many = spark.range(999).select(F.col("id"), F.lit(5_000_000).cast("bigint").alias("plant_id"))
+    up = new.filter("plant_id = 10").withColumn("plant_id", F.lit(5_000_000).cast("bigint"))
+    assert rows(changes.append_observations(many, images, up)[1].filter("plant_id = 5000000"), "file_path") == [("data/plants/PG-5000000/observation_1000.jpg",)]
     o, i = changes.append_observations(obs, images, new)
     assert rows(o.filter("id > 5"), "id", "plant_id", "image_id", "confidence") == [(6, 30, 7, 0.8), (7, 30, 8, 0.9), (8, 10, 9, 0.1)]
     assert rows(i.filter("id > 6"), "id", "file_path") == [(7, "data/plants/PG-000030/observation_004.jpg"), (8, "data/plants/PG-000030/observation_005.jpg"), (9, "data/plants/PG-000010/observation_001.jpg")]
