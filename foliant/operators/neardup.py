@@ -8,14 +8,13 @@ cell; cells, not items, are paired, and a picture copied a million times adds on
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.ranking import null_safe
-from foliant.plans.workspace import discard, store
+from foliant.plans.workspace import discard, small, store
 
 
 def vector_hash(v: Column | str) -> Column:
@@ -75,30 +74,28 @@ def cell_links(c: DataFrame, max_bits: int = 4, max_size: int = 5_120) -> DataFr
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
 
 
-def smallest_reachable(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def smallest_reachable(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that each linked node can reach, by alternating star contraction.
 
     Large stars hang a node's larger neighbours on its smallest neighbour, small stars its smaller ones and
-    itself; the links settle into stars around the roots after about log(n) rounds. Stored each round.
+    itself; the links settle into stars around the roots after about log(n) rounds. Stored each round. Every step
+    hangs a link lower or leaves it, and repeats are dropped, so if a round changes neither the number of links nor the exact
+    sum of their ends, it changed none.
     """
     e = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    state = None
-    for _ in range(most_rounds):
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    before = None
+    while before != (now := e.agg(F.count(F.lit(1)), F.sum(wide("u") + wide("v"))).first()):
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = store(large, "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = store(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        near = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = store(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         discard(large, e)
         e = new
-        now = e.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("links did not settle")
     up = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return up.unionByName(up.select(F.col("root").alias("node"), "root").distinct())
 
@@ -113,20 +110,54 @@ def clusters(df: DataFrame, row_id: str, label: str, ahash: str, size: str, max_
     return out.select(row_id, F.coalesce("root", row_id).alias("root"))
 
 
-def vector_pairs(df: DataFrame, row_id: str, label: str, vector: str, max_bits: int, blocks: int) -> DataFrame:
-    """a, b, bits: classes of equal hash with the same label within max_bits of each other's 64-bit vector hash.
+def vector_code(v: Column | str) -> Column:
+    """Average hash of a vector of any length as a string of 0 and 1; null for a null or empty vector or one with a null in it."""
+    x = F.transform(F.col(v) if isinstance(v, str) else v, lambda a: a.cast("double"))
+    mean = F.aggregate(x, F.lit(0.0), lambda s, a: s + a) / F.greatest(F.size(x), F.lit(1))
+    return F.when((F.size(x) > 0) & ~F.exists(x, lambda a: a.isNull()), F.array_join(F.transform(x, lambda a: F.when(a >= mean, "1").otherwise("0")), ""))
+
 
-    a and b are the smallest row_ids of two classes. Hashes are cut into `blocks` > max_bits pieces, of which two near
-    ones share at least one, so candidates come from an equi-join on (label, piece) and none is lost. Null labels are not paired.
-    """
-    if blocks <= max_bits:
-        raise ValueError("blocks must exceed max_bits")
-    c = df.select(row_id, label, vector_hash(vector).alias("h")).filter(F.col("h").isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), "h").agg(F.min(row_id).alias("id"))
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    piece = lambda i: F.shiftrightunsigned("h", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    p = c.select("label", "id", "h", F.posexplode(F.array(*(piece(i) for i in range(blocks)))).alias("i", "piece"))
-    q = p.select("label", "i", "piece", F.col("id").alias("b"), F.col("h").alias("hb"))
-    near = p.withColumnsRenamed({"id": "a", "h": "ha"}).join(q, ["label", "i", "piece"]).filter("a < b")
-    return near.withColumn("bits", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).filter(F.col("bits") <= max_bits).select("a", "b", "bits").distinct()
+def code_bits(a: Column, b: Column) -> Column:
+    """Differing places of two strings of 0 and 1 of one length."""
+    words = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / 64)), lambda j: F.conv(F.substring(c, (j * 64 + 1).cast("int"), F.lit(64)), 2, -10).cast("bigint"))
+    return F.aggregate(F.zip_with(words(a), words(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
+def _cut(rows: DataFrame, parts: int) -> DataFrame:
+    """id, key, rest of rows (id, key, rest): each rest is cut into parts, and each part joins the key in turn and leaves the others as the rest."""
+    n = F.length("rest")
+    base, long_from = F.floor(n / parts), parts - n % parts
+    out = []
+    for i in range(parts):
+        start = (base * i + F.greatest(F.lit(0), F.lit(i) - long_from) + 1).cast("int")
+        size = (base + F.when(F.lit(i) >= long_from, 1).otherwise(0)).cast("int")
+        key = F.xxhash64("key", F.lit(i), F.substring("rest", start, size))
+        out.append(F.struct(key.alias("key"), F.concat(F.substring("rest", F.lit(1), start - 1), F.substring("rest", start + size, n)).alias("rest")))
+    return rows.select("id", F.explode(F.array(*out)).alias("x")).select("id", "x.*")
+
+
+def vector_pairs(df: DataFrame, row_id: str, label: str, vector: str, max_bits: int, hot: int = 64) -> DataFrame:
+    """a, b, bits: classes of equal hash with the same label within max_bits of each other's hash; vectors of different length are never near.
+
+    a and b are the smallest row_ids of two classes. Codes are cut into max_bits + 1 parts, of which two near ones share
+    at least one, so candidates come from an equi-join on (label, part) and none is lost. Where more than `hot` classes share a
+    part, what they have besides it still differs in at most max_bits places, so it is cut again, and again; nothing is
+    dropped. Each cut multiplies the rows, so from level to level a part must be as many times more crowded to be cut, which
+    keeps the work below that of pairing the group. Null labels and vectors without a hash are not paired.
+    """
+    c = df.select(row_id, F.col(label).alias("label"), vector_code(vector).alias("code")).filter("code IS NOT NULL AND label IS NOT NULL")
+    c = store(c.groupBy("label", "code").agg(F.min(row_id).alias("id")), "codes")
+    rows, met, many = c.select("id", F.xxhash64("label", F.length("code")).alias("key"), F.col("code").alias("rest")), None, None
+    while many is None or not many.isEmpty():
+        if many is not None:
+            rows = cut.join(many, "key", "left_semi")
+        cut = store(_cut(rows, max_bits + 1), "cut")
+        crowded = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("rest")).alias("room")).filter((F.col("n") > hot) & (F.col("room") >= 2 * (max_bits + 1)))
+        hot *= max_bits + 1
+        many = small(crowded.select("key"), "crowded")
+        cold = cut.join(many, "key", "left_anti").select("id", "key")
+        pairs = cold.withColumnRenamed("id", "a").join(cold.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
+        met = pairs if met is None else met.unionByName(pairs)
+    code = lambda x: c.select(F.col("id").alias(x), F.col("code").alias(f"_{x}"))
+    near = met.distinct().join(code("a"), "a").join(code("b"), "b").withColumn("bits", code_bits(F.col("_a"), F.col("_b")))
+    return near.filter(F.col("bits") <= max_bits).select("a", "b", "bits")

@@ -5,7 +5,7 @@ The tables are broadcast if they are small, which is checked by counting them on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import common_name, is_healthy
@@ -44,11 +44,11 @@ def care_plans(df: DataFrame, cls: str, class_base: DataFrame, plans: DataFrame,
     x = x.withColumn("_own", own).withColumn("_plan", F.when(F.col(cls).isNull(), None).when(is_healthy(cls), F.lit(healthy)).otherwise(F.coalesce("_base", F.lit(generic))))
     p = dimension(plans.select(F.col("base").alias("_b"), *(F.col(c).alias(f"_{c}") for c in PLAN)))
     x = x.join(p, F.col("_plan") == F.col("_b"), "left")
-    # a handful of prefixes: one expression instead of a join on inequality
-    rules = sorted(((r.prefix, r.nutrition) for r in nuances.select("prefix", "nutrition").limit(10_001).collect()), key=lambda r: (-len(r[0]), r[0]))
-    if len(rules) > 10_000:
-        raise ValueError("too many prefixes")
-    nutrition: Column = F.col("_nutrition")
-    for prefix, texts in reversed(rules):
-        nutrition = F.when(F.col("_own") & F.startswith(F.col(cls), F.lit(prefix)), F.array(*(F.lit(t) for t in texts))).otherwise(nutrition)
-    return x.withColumns({c: (nutrition if c == "nutrition" else F.col(f"_{c}")) for c in PLAN}).drop("_c", "_base", "_own", "_plan", "_b", *(f"_{c}" for c in PLAN))
+    # every beginning of a class that has a base meets the prefixes in an equi-join; the longest stays
+    starts = class_base.select(F.col("class").alias("_s")).distinct().select("_s", F.explode(F.sequence(F.lit(0), F.length("_s"))).alias("_len"))
+    starts = starts.select("_s", "_len", F.expr("left(_s, _len)").alias("_start"))
+    own_nutrition = starts.join(dimension(nuances.select("prefix", F.col("nutrition").alias("_texts"))), F.col("_start") == F.col("prefix"))
+    own_nutrition = own_nutrition.groupBy("_s").agg(F.max_by("_texts", "_len").alias("_texts"), F.lit(True).alias("_has"))
+    x = x.join(dimension(own_nutrition), F.col(cls) == F.col("_s"), "left")
+    nutrition = F.when(F.col("_own") & F.col("_has"), F.col("_texts")).otherwise(F.col("_nutrition"))
+    return x.withColumns({c: (nutrition if c == "nutrition" else F.col(f"_{c}")) for c in PLAN}).drop("_c", "_base", "_own", "_plan", "_b", "_s", "_texts", "_has", *(f"_{c}" for c in PLAN))

@@ -41,7 +41,7 @@ def top_k(probs: Column | str, k: int = TOP_K) -> Column:
 def others(ranked: Column | str) -> Column:
     """The candidates after the first."""
     x = _c(ranked)
-    return F.when(F.size(x) > 1, F.slice(x, 2, 1_000)).otherwise(F.slice(x, 1, 0))
+    return F.slice(x, 2, F.size(x))
 
 
 def gate(confidence: Column | str, threshold: float = THRESHOLD) -> Column:

@@ -76,6 +76,32 @@ def test_grid_hash(spark):
     assert [bytes(r.h) if r.h is not None else None for r in df.select(neardup.grid_hash("g").alias("h")).collect()] == [bytes(31) + b"\x01", b"\xff" * 32, None, None]
 
 
+def test_crowded_parts_and_long_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2, 150)
+    data = []
+    for i in range(120):  # all share most of their parts
+        v = base.copy()
+        v[rng.choice(40, 4, replace=False)] ^= 1
+        data.append((i, 1 if i % 2 else None if i % 10 == 0 else 2, [float(x) for x in v]))
+    data += [(200, 1, [1.0, 0.0]), (201, 1, [0.0, 1.0]), (202, 1, []), (203, 1, None), (204, 2, [1.0])]
+    code = {i: "".join("1" if x >= sum(v) / len(v) else "0" for x in v) for i, _, v in data if v}
+    rep = {}
+    for i, l, v in data:
+        if v and l is not None:
+            rep.setdefault((l, code[i]), i)
+    want = {(a, b, n) for (la, ca), a in rep.items() for (lb, cb), b in rep.items() if a < b and la == lb and len(ca) == len(cb) and (n := sum(x != y for x, y in zip(ca, cb))) <= 5}
+    df = spark.createDataFrame(data, "id int, label int, v array<double>")
+    assert {tuple(r) for r in neardup.vector_pairs(df, "id", "label", "v", 5, hot=8).collect()} == want and len(want) > 10
+    assert neardup.vector_pairs(df.limit(0), "id", "label", "v", 5).count() == 0
+
+
+def test_large_ids_settle(spark):
+    top = 2**63 - 1
+    links = spark.createDataFrame([(top - i - 1, top - i) for i in range(20)], "a bigint, b bigint")
+    assert {r.root for r in neardup.smallest_reachable(links).collect()} == {top - 20}
+
+
 def test_vector_pairs_lose_none(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(6, 64))
@@ -87,4 +113,5 @@ def test_vector_pairs_lose_none(spark):
     for i, l, _ in data:
         rep.setdefault((l, bits[i]), i)
     want = {(a, b) for (la, ha), a in rep.items() for (lb, hb), b in rep.items() if a < b and la == lb and (ha ^ hb).bit_count() <= 9}
-    assert {(r.a, r.b) for r in neardup.vector_pairs(df, "id", "label", "v", 9, 10).collect()} == want
+    assert {(r.a, r.b) for r in neardup.vector_pairs(df, "id", "label", "v", 9).collect()} == want
+    assert {(r.a, r.b) for r in neardup.vector_pairs(df, "id", "label", "v", 9, hot=1).collect()} == want
