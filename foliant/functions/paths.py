@@ -77,10 +77,12 @@ def tail(path: Column | str, n: int = 2) -> Column:
 
 
 def archive_target(entry: Column | str, prefix: str) -> Column:
-    """What remains of an archive entry under a prefix; null for other entries and for files directly under it."""
+    """What remains of an archive entry after a prefix, without slashes at its ends, so that it is a relative path; null for other entries,
+    folders, files directly under the prefix, and paths that lead out of the target."""
     e = F.translate(_c(entry), "\\", "/")
-    rest = F.substr(e, F.lit(len(prefix) + 1))
-    return F.when(F.startswith(e, F.lit(prefix)) & F.contains(rest, F.lit("/")) & ~F.endswith(rest, F.lit("/")), rest)
+    rest = F.regexp_replace(F.substr(e, F.lit(len(prefix) + 1)), "^/+|/+$", "")
+    inside = F.contains(rest, F.lit("/")) & ~F.array_contains(F.split(rest, "/"), "..")
+    return F.when(F.startswith(e, F.lit(prefix)) & ~F.endswith(e, F.lit("/")) & inside, rest)
 
 
 def comma_list(x: Column | str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.workspace import store
+
 
 def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -24,6 +26,8 @@ def write_csv(df: DataFrame, path: str, blank: list[str] | None = None) -> None:
 def write_report(df: DataFrame, path: str, stamp: str | None = None) -> None:
     """Each row as one JSON document, nulls kept, under path/latest and, with a stamp, under path/stamp too."""
     doc = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    if stamp:
+        doc = store(doc, "document")  # written twice, computed once
     for name in ["latest", *([stamp] if stamp else [])]:
         doc.write.mode("overwrite").text(f"{path.rstrip('/')}/{name}")
 

@@ -23,7 +23,7 @@ def png(w=3, h=2):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x05\x00\x07\x01\x01\x11\x00\xff\xd9"
+JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x05\x00\x07\x01\x01\x11\x00\xff\xda\x00\x02xy\xff\x00z\xff\xd9"
 
 
 @pytest.fixture
@@ -176,15 +176,27 @@ def test_pngs_of_all_kinds_and_filters(colour, depth):
 def test_archives(spark, tmp_path, rows):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
-        for n in ("p/color/A/x.jpg", "p/color/y.jpg", "q/A/z.jpg", "p/color/A/n.txt"):
+        for n in ("p/color/A/x.jpg", "p/color/y.jpg", "q/A/z.jpg", "p/color/A/n.txt", "p/color/../../out.jpg", "p\\color\\B\\w.png", "p/color/C/"):
             z.writestr(n, n)
     (tmp_path / "a.zip").write_bytes(buf.getvalue())
     (tmp_path / "b.zip").write_bytes(b"no archive")
-    got = files.archive_entries(spark, str(tmp_path / "*.zip"), "p/color/")
-    assert rows(got.filter("error IS NULL"), "entry", "target", F.col("content").cast("string")) == [("p/color/A/x.jpg", "A/x.jpg", "p/color/A/x.jpg")]
+    for prefix in ("p/color", "p/color/"):  # with and without a slash
+        got = files.archive_entries(spark, str(tmp_path / "*.zip"), prefix)
+        assert rows(got.filter("error IS NULL"), "target") == [("A/n.txt",), ("A/x.jpg",), ("B/w.png",)]
+    got = files.archive_entries(spark, str(tmp_path / "*.zip"), "p/color", images_only=True)
+    assert rows(got.filter("error IS NULL AND target LIKE 'A%'"), "entry", "target", F.col("content").cast("string")) == [("p/color/A/x.jpg", "A/x.jpg", "p/color/A/x.jpg")]
     assert got.filter("error IS NOT NULL").first().error.startswith("BadZipFile")
     sinks.write_entries(got, str(tmp_path / "e"))
-    assert rows(spark.read.parquet(str(tmp_path / "e")), "target") == [("A/x.jpg",)]
+    assert rows(spark.read.parquet(str(tmp_path / "e")), "target") == [("A/x.jpg",), ("B/w.png",)]
+    main(["extract", str(tmp_path / "a.zip"), "p", str(tmp_path / "f")])
+    assert rows(spark.read.parquet(str(tmp_path / "f")), "target") == [("color/A/n.txt",), ("color/A/x.jpg",), ("color/B/w.png",), ("color/y.jpg",)]
+
+
+def test_files_that_cannot_be_read_keep_their_row(spark, tree, rows):
+    got = files.scan_images(spark, str(tree), most_bytes=50)
+    assert rows(got.filter("error LIKE 'read:%'"), "rel", "status", "md5", "width") == [("plants/Validation/Hop/c.png", "corrupt", None, 0), ("plants/train/Fig/a.png", "corrupt", None, 0)]
+    assert rows(files.error_counts(got)) == [("other", "decode:ValueError: cannot identify image file", 1), ("plants", "read:Unreadable", 2), ("plants", "tiny_image", 1)]
+    assert rows(files.scan_images(spark, str(tree)).filter("status = 'ok'"), "format", "mode") == [("JPEG", "L"), ("PNG", "RGB")]
 
 
 def test_csv_and_reports(spark, tmp_path, rows):
