@@ -1,7 +1,8 @@
 """Profiles of labelled file collections: counts, balance, integrity, sizes, duplicates.
 
-All are algebraic aggregates over one scan; per-dataset figures and grand totals come from
-the same grouping instead of a loop over datasets.
+Each is an algebraic aggregate over one scan; per-dataset figures and grand totals come from
+the same grouping instead of a loop over datasets. Medians come from the distributed ranking. The nested report
+stores the columns it needs once and takes all its parts from there.
 """
 
 from __future__ import annotations
@@ -9,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.ranking import null_safe
+from foliant.operators.skew import exact_medians
+from foliant.plans.workspace import store
+
 
 def class_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows of every combination of `by`, whatever their status: by, n."""
@@ -60,12 +65,13 @@ def near_estimate(df: DataFrame, key: str, group: str) -> DataFrame:
 
 def size_profile(df: DataFrame, group: str, size: str, width: str, height: str) -> DataFrame:
     """Sizes and dimensions of each group; nulls are left out of each figure. Minima of width and height are independent."""
-    return df.groupBy(group).agg(
+    medians = exact_medians(df, [group], [size, width, height]).groupBy(F.col(group).alias("_g")).agg(*(F.max(F.when(F.col("field") == f, F.col("median"))).alias(n) for f, n in ((size, "median_size"), (width, "median_width"), (height, "median_height"))))
+    out = df.groupBy(group).agg(
         F.count(size).alias("n_sized"), F.round(F.sum(size) / 1024**2, 1).alias("total_mb"), F.round(F.sum(size) / 1e9, 3).alias("total_gb"), F.round(F.avg(size) / 1024, 1).alias("mean_kb"),
-        F.min(size).alias("min_size"), F.median(size).alias("median_size"), F.max(size).alias("max_size"),
-        F.min(width).alias("min_width"), F.min(height).alias("min_height"), F.max(width).alias("max_width"), F.max(height).alias("max_height"),
-        F.median(width).alias("median_width"), F.median(height).alias("median_height"), F.count_if((F.col(width) < 64) | (F.col(height) < 64)).alias("n_tiny"),
+        F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.min(width).alias("min_width"), F.min(height).alias("min_height"),
+        F.max(width).alias("max_width"), F.max(height).alias("max_height"), F.count_if((F.col(width) < 64) | (F.col(height) < 64)).alias("n_tiny"),
     )
+    return out.join(medians, null_safe(out, medians, {group: "_g"}), "left").drop("_g")
 
 
 def totals(df: DataFrame, group: str, ok: str, md5: str, size: str) -> DataFrame:
@@ -106,8 +112,10 @@ def report(df: DataFrame, group: str, label: str, suffix: str, ok: str, md5: str
     """One nested document for each group: files{n, valid, corrupt, unsupported}, classes (label -> n, of valid files), formats (suffix -> n),
     sizes{total_mb, mean_kb, min, median, max}, dimensions{min, median, max as [width, height]}, duplicates{groups, files, wasted_bytes}.
 
-    Null labels and suffixes are named `unknown` in the maps. Every part is an aggregate of its own, joined on the group.
+    Null labels and suffixes are named `unknown` in the maps. The columns needed are stored once, so df is read once;
+    every part is an aggregate of them, joined on the group.
     """
+    df = store(df.select(*dict.fromkeys(c for c in (group, label, suffix, ok, md5, size, width, height, unsupported) if c)), "report")
     good = df.filter(F.coalesce(F.col(ok), F.lit(False)))
     counted = lambda d, c, name: d.groupBy(F.col(group).alias("g"), F.coalesce(F.col(c), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(name))
     s, i, t = size_profile(df, group, size, width, height), integrity(df, group, ok, unsupported), totals(df, group, ok, md5, size).filter("NOT is_total")

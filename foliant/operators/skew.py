@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.operators.ranking import ranked
 
 
 def key_profile(df: DataFrame, key: str, size: str, hot_share: tuple[int, int] = (1, 20)) -> DataFrame:
@@ -46,27 +47,19 @@ def largest_per_key(df: DataFrame, key: str, size: str, row_id: str, k: int, ext
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def salted_median(df: DataFrame, key: str, value: str, salts: int = 64) -> DataFrame:
-    """Exact median of each key from the counts of its distinct values: key, median.
+def exact_medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """key columns, field, median: the exact median of each of several numeric columns for each key.
 
-    Equal values are combined before the shuffle; counts of each (key, value) are then added up by
-    salted value ranges, so that the distinct values of one hot key are spread over tasks. Null
-    values are left aside; a key without values has no row. The median of an even number of values
-    is the mean of the middle two.
+    Equal values are combined in each task before the shuffle. The counts of the distinct values are then range-partitioned
+    by (key, field, value) and summed up across partitions, so neither a hot key nor one with very many distinct or far-flung values
+    comes into one task. Null values are left aside; a key and field without values has no row; a null key is a key. The median of an even
+    number of values is the mean of the middle two. Values are compared as doubles.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    bounds = counts.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    width = F.greatest((F.col("hi") - F.col("lo")) / salts, F.lit(1e-9))
-    binned = counts.join(bounds.withColumnRenamed("key", "bkey"), F.col("key").eqNullSafe(F.col("bkey"))).withColumn("b", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(salts - 1)))
-    per_bin = binned.groupBy("key", "b").agg(F.sum("c").alias("bc"))
-    ahead = W.partitionBy("key").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    per_bin = per_bin.withColumn("bin_before", F.coalesce(F.sum("bc").over(ahead), F.lit(0))).select(F.col("key").alias("pkey"), F.col("b").alias("pb"), "bc", "bin_before")
-    mid_lo, mid_hi = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    both = binned.join(per_bin, F.col("key").eqNullSafe(F.col("pkey")) & (F.col("b") == F.col("pb")))
-    both = both.filter((F.col("bin_before") < mid_hi) & (F.col("bin_before") + F.col("bc") >= mid_lo))
-    run = W.partitionBy("key", "b").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("upto", F.col("bin_before") + F.sum("c").over(run))
-    hit = lambda m: F.min(F.when(F.col("upto") >= m, F.col("v")))
-    return both.groupBy("key", "n").agg(((hit(mid_lo) + hit(mid_hi)) / 2).alias("median")).drop("n")
-
-
+    fields = F.explode(F.array(*(F.struct(F.lit(v).alias("field"), F.col(v).cast("double").alias("value")) for v in values))).alias("x")
+    counts = df.select(*keys, fields).select(*keys, "x.*").filter("value IS NOT NULL").groupBy(*keys, "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    line = ranked(counts, [*keys, "field"], ["value"], "n")
+    low, high = F.floor((F.col("group_weight") + 1) / 2), F.floor((F.col("group_weight") + 2) / 2)
+    upto = F.col("before") + F.col("n")
+    line = line.filter((F.col("before") < high) & (upto >= low)).select(*keys, "field", "value", (upto >= low).alias("reaches_low"), (upto >= high).alias("reaches_high"))
+    middle = lambda c: F.min(F.when(F.col(c), F.col("value")))
+    return line.groupBy(*keys, "field").agg(((middle("reaches_low") + middle("reaches_high")) / 2).alias("median"))

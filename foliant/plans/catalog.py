@@ -35,7 +35,7 @@ def p4_largest(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_median(spark: SparkSession, folder: str) -> DataFrame:
     """Exact median file size of every label."""
-    return skew.salted_median(_by_label(spark, folder), "label", "size_bytes").select(F.col("key").alias("label"), F.round("median", 1).alias("median_bytes"))
+    return skew.exact_medians(_by_label(spark, folder), ["label"], ["size_bytes"]).select("label", F.round("median", 1).alias("median_bytes"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -53,7 +53,7 @@ SELECT record_id, rel, suffix, suffix IN ('.jpg', '.jpeg', '.png', '.webp') AS i
 def path_labels(spark, folder):
     """The three label extractors, the split and the parts of every path (STR-01..05, STR-16, STR-21)."""
     f = files(spark, folder).withColumn("rel", paths.relative("path", F.lit("raw")))
-    inner = F.array_join(F.slice(paths.parts("rel"), 2, 1_000), "/")
+    inner = F.array_join(F.slice(paths.parts("rel"), 2, F.size(paths.parts("rel"))), "/")
     return f.select("record_id", "rel", "suffix", paths.is_image("path").alias("is_image"), paths.label_profile("rel").alias("label_profile"), paths.label_inspect("rel").alias("label_inspect"),
                     paths.label_manifest(inner).alias("label_manifest"), paths.infer_split("rel").alias("path_split"), paths.tail("rel").alias("tail"))
 
@@ -222,15 +222,23 @@ def neardup_sizes(spark, folder):
     return neardup_clusters(spark, folder).groupBy("root").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n_clusters"))
 
 
-_VECTOR = """h AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-b AS (SELECT vec_id, label, list_transform(v, lambda x: CASE WHEN x >= list_sum(v) / 64 THEN '1' ELSE '0' END) AS bs FROM h),
-k AS (SELECT label, array_to_string(bs, '')::BIT AS bits, min(vec_id) AS id FROM b GROUP BY ALL)"""
+_VECTOR = """b AS (SELECT id, label, list_transform(v, lambda x: CASE WHEN x >= list_sum(v) / 64 THEN '1' ELSE '0' END) AS bs FROM h),
+k AS (SELECT label, array_to_string(bs, '')::BIT AS bits, min(id) AS id FROM b GROUP BY ALL)
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::INT AS bits FROM k x JOIN k y ON x.label = y.label AND x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= {}"""
 
 
-@query(f"""WITH {_VECTOR} SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::INT AS bits FROM k x JOIN k y ON x.label = y.label AND x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 20""")
+@query(f"""WITH h AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), {_VECTOR.format(7)}""")
 def vector_neardups(spark, folder):
-    """Pairs of embeddings of one label whose 64-bit average hashes differ in at most 20 bits."""
-    return neardup.vector_pairs(table(spark, folder, "embeddings"), "vec_id", "label", "embedding", 20, 21)
+    """Pairs of embeddings of one label whose 64-bit average hashes differ in at most 7 bits, a radius that eight parts of eight bits can index."""
+    return neardup.vector_pairs(table(spark, folder, "embeddings"), "vec_id", "label", "embedding", 7)
+
+
+@query(f"""WITH {FILES}, h AS (SELECT record_id AS id, label, list_transform(string_split(hex(ahash), ''), lambda x: bit_count(('0x' || x)::INT)::DOUBLE) AS v FROM f WHERE octet_length(ahash) = 32 AND label IS NOT NULL), {_VECTOR.format(3)}""")
+def cell_neardups(spark, folder):
+    """Pairs of pictures of one label, reduced to 64 cells of four pixels, whose average hashes differ in at most 3 bits."""
+    digits = F.filter(F.split(F.hex("ahash"), ""), lambda x: x != "")
+    f = files(spark, folder).filter(F.octet_length("ahash") == 32).select("record_id", "label", F.transform(digits, lambda x: F.bit_count(F.conv(x, 16, 10).cast("int"))).alias("v"))
+    return neardup.vector_pairs(f, "record_id", "label", "v", 3)
 
 
 @query(f"""WITH {FILES}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('2026|' || record_id), record_id) AS rn FROM f) WHERE rn <= 200),
@@ -241,10 +249,21 @@ def near_dup_sampled(spark, folder):
     return profile.near_estimate(manifest.hash_sample_per(f, "dataset", "record_id", 200, 2026), "ahash", "dataset")
 
 
-@query(f"""WITH {FILES}, c AS (SELECT dataset, label, count(*) AS n FROM f WHERE ok GROUP BY ALL), r AS (SELECT dataset, coalesce(label, 'unknown') AS label, sum(n) AS n FROM c GROUP BY ALL)
-SELECT dataset, string_agg(label || '=' || n, ';' ORDER BY label) AS classes, (SELECT count(*) FROM f g WHERE g.dataset = r.dataset) AS n_files FROM r GROUP BY dataset""")
+@query(f"""WITH {FILES}, cs AS (SELECT dataset, string_agg(k || '=' || n, ';' ORDER BY k) AS classes FROM (SELECT dataset, coalesce(label, 'unknown') AS k, count(*) AS n FROM f WHERE ok GROUP BY ALL) GROUP BY 1),
+fs AS (SELECT dataset, string_agg(k || '=' || n, ';' ORDER BY k) AS formats FROM (SELECT dataset, coalesce(suffix, 'unknown') AS k, count(*) AS n FROM f GROUP BY ALL) GROUP BY 1),
+s AS (SELECT dataset, count(*) AS n_files, count(*) FILTER (ok) AS n_valid, count(*) FILTER (NOT ok) AS n_corrupt, round(sum(size_bytes) / 1048576.0::DOUBLE, 1) AS total_mb, round(avg(size_bytes) / 1024, 1) AS mean_kb, min(size_bytes) AS min_size,
+  median(size_bytes) AS median_size, max(size_bytes) AS max_size, min(width) || 'x' || min(height) AS smallest, (median(width)::DOUBLE)::VARCHAR || 'x' || (median(height)::DOUBLE)::VARCHAR AS middle, max(width) || 'x' || max(height) AS largest FROM f GROUP BY 1),
+g AS (SELECT dataset, CASE WHEN ok THEN md5 END AS k, count(*) AS c, sum(size_bytes) AS z, min(size_bytes) AS m FROM f GROUP BY ALL),
+d AS (SELECT dataset, count(*) AS dup_groups, sum(c - 1)::BIGINT AS dup_files, sum(z - m)::BIGINT AS wasted_bytes FROM g WHERE k IS NOT NULL AND c > 1 GROUP BY 1)
+SELECT s.*, classes, formats, coalesce(dup_groups, 0) AS dup_groups, coalesce(dup_files, 0) AS dup_files, coalesce(wasted_bytes, 0) AS wasted_bytes FROM s
+LEFT JOIN cs ON cs.dataset IS NOT DISTINCT FROM s.dataset LEFT JOIN fs ON fs.dataset IS NOT DISTINCT FROM s.dataset LEFT JOIN d ON d.dataset IS NOT DISTINCT FROM s.dataset""")
 def dataset_report(spark, folder):
-    """Two parts of the nested report of every dataset, as text; the whole document is written by the report sink."""
+    """Every part of the nested report of every dataset, the maps and pairs as text."""
     r = profile.report(files(spark, folder), "dataset", "label", "suffix", "ok", "md5", "size_bytes", "width", "height")
-    entries = F.transform(F.array_sort(F.map_entries("classes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return r.select("dataset", F.array_join(entries, ";").alias("classes"), F.col("files.n").alias("n_files"))
+    entries = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    pair = lambda c: F.concat(F.get(c, F.lit(0)).cast("string"), F.lit("x"), F.get(c, F.lit(1)).cast("string"))
+    return r.select(
+        "dataset", F.col("files.n").alias("n_files"), F.col("files.valid").alias("n_valid"), F.col("files.corrupt").alias("n_corrupt"), "sizes.total_mb", "sizes.mean_kb", F.col("sizes.min").alias("min_size"),
+        F.col("sizes.median").alias("median_size"), F.col("sizes.max").alias("max_size"), pair("dimensions.min").alias("smallest"), pair("dimensions.median").alias("middle"), pair("dimensions.max").alias("largest"),
+        entries("classes").alias("classes"), entries("formats").alias("formats"), F.col("duplicates.groups").alias("dup_groups"), F.col("duplicates.files").alias("dup_files"), "duplicates.wasted_bytes",
+    )

@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
 A stored table cuts the lineage and survives the loss of executors. The folder is
-the session's `spark.checkpoint.dir`; only where that is unset (tests, laptops) a
-temporary folder is made.
+the session's `spark.checkpoint.dir` or the context's checkpoint folder; only where both are unset
+and all tasks run in this process (tests, laptops) a temporary folder is made. On a cluster
+that would put the tables on the machines' own disks, so it is an error there.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,14 +25,18 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    app = context.applicationId
     if at:
         folder = f"{at.rstrip('/')}/foliant-{app}"
         if app not in _own:
             _own[app] = folder
             atexit.register(_remove, spark, folder)
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="foliant-")
         atexit.register(shutil.rmtree, _own[app], True)

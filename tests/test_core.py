@@ -48,11 +48,11 @@ def test_largest_per_key_limits_before_the_shuffle(spark, rows):
     assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
 
 
-@pytest.mark.parametrize("salts", [1, 3, 64])
-def test_median(spark, salts):
-    rnd = random.Random(salts)
+@pytest.mark.parametrize("seed", [1, 3])
+def test_median(spark, seed):
+    rnd = random.Random(seed)
     data = [("hot" if i % 3 else rnd.choice("abc"), rnd.choice([rnd.randrange(50), rnd.randrange(10**6), None])) for i in range(800)] + [("one", 4), ("none", None), (None, 2), (None, 3)]
-    got = {r.key: r.median for r in skew.salted_median(spark.createDataFrame(data, "k string, v bigint"), "k", "v", salts).collect()}
+    got = {r.k: r.median for r in skew.exact_medians(spark.createDataFrame(data, "k string, v bigint"), ["k"], ["v"]).collect()}
     p = pd.DataFrame(data, columns=["k", "v"]).dropna(subset=["v"]).fillna({"k": "~"}).groupby("k")["v"].median()
     assert {k or "~": v for k, v in got.items()} == p.to_dict()
 

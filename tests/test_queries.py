@@ -60,9 +60,40 @@ def test_core_does_not_import_the_training_part():
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["p4_found"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"ReadSchema: struct<([^>]*)>", plan)[0].count(",") <= 1
-    plan = catalog.QUERIES["train_subset"]  # noqa: F841  the ranking stores its rows, so its scan is not in the final plan
-    pushed = catalog.QUERIES["next_plant_ids"]  # noqa: F841
+    # the rankings store their rows, so the scans that feed them are looked at by themselves
+    from foliant.plans.etl import files
+
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    p = text(files(spark, FOLDER).filter("split = 'train'").select("record_id", "label", "path"))
+    assert "ReadSchema: struct<record_id:bigint,label:string,path:string,split:string>" in p
     from foliant.plans.tables import table as read
 
-    p = read(spark, FOLDER, "images").filter("plant_id IS NULL").select("id")._jdf.queryExecution().executedPlan().toString()
+    p = text(read(spark, FOLDER, "images").filter("plant_id IS NULL").select("id"))
     assert "PushedFilters: [IsNull(plant_id)]" in p and "ReadSchema: struct<id:bigint,plant_id:bigint>" in p
+    p = text(catalog.QUERIES["dedup_manifest"](spark, FOLDER))  # one row for each checksum and task is shuffled
+    assert p.count("WindowGroupLimit") >= 1 and "SortAggregate" not in p
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from foliant.plans import workspace
+
+    class Option:
+        def isDefined(self):
+            return False
+
+    class Fake:
+        def __init__(self, master):
+            self.master, self.applicationId, self._jsc, self.sparkContext, self.conf = master, "app", self, self, self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return Option()
+
+        def get(self, key, default):
+            return default
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            workspace.shared_folder(Fake(master))
