@@ -1,9 +1,8 @@
 """Evaluation texts inside a corpus: SimHash of item-sized windows with multi-index search.
 
-Every item is cut into passages of `passage` words (a shorter item is one passage). Each
-document gives a window of the same number of words at each of its words. Window and passage
-get a 64-bit SimHash of their word shingles, weighted by letters; shingle sums along a document are
-running sums, so a window costs one subtraction. Fingerprints are cut into radius+1 blocks, and two
+The passages of an item are all its words and, so that it is found in part too, every run of `passage` words.
+Each document gives windows of the same numbers of words at each of its words. Window and passage
+get a 64-bit SimHash of their word shingles, weighted by letters. Fingerprints are cut into radius+1 blocks, and two
 within `radius` bits agree in one block at least; so looking up every block of a window finds
 all passages within the radius. Similar windows of few shingles can differ in many more bits, so a
 second path looks for them exactly: of each passage the rarest shingles are kept, until the rest weighs
@@ -12,10 +11,13 @@ similar enough, so the windows around each of them in a text are all that come i
 candidates of both are verified by the exact weighted Jaccard similarity of their shingles, and marked
 exact if their words are the same in the same order.
 
-The passages are the query set. They are counted first and searched in blocks of bounded size,
-one pass over the corpus for each block, so what is broadcast is bounded by `block` however
-many items there are. Documents are never collected, joined or cut: windows run over the whole
-text, and a long text is worked through in overlapping pieces.
+A window can only be `least` similar to some passage if shingles that weigh `least` of it occur in passages of its length
+at all; all other windows, nearly all of a corpus, are passed over before a fingerprint is made of them. That loses nothing.
+
+Equal passages are one class, whoever has them. The classes are the query set: they are counted first and searched in blocks
+of bounded size, one after another, and each block's broadcast is removed before the next is made. With more blocks
+than one, the texts are read and cut into hashed words once and stored. Documents are never collected, joined or cut: windows run
+over the whole text, and a long text is worked through in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.words import words
-from foliant.plans.workspace import store
+from foliant.plans.workspace import discard, store
 
 _BITS = 64
-#: Words worked on at once in a task; 64 running sums for each make up most of the memory.
-PIECE = 16_000
+#: Words worked on at once in a task.
+PIECE = 64_000
 #: Candidates compared at once.
 CANDIDATES = 1_000_000
 #: Pairs of shingles compared at once when candidates are verified.
@@ -62,16 +64,25 @@ def shingles(hashes: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarra
         return _mix(h), w
 
 
-def fingerprints(h: np.ndarray, w: np.ndarray, per: int) -> np.ndarray:
-    """SimHash of each run of `per` shingles."""
-    m = len(h) - per + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    signs = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    signs = (2 * signs - 1) * w[:, None]
+def fingerprints(h: np.ndarray, w: np.ndarray, per: int, at: np.ndarray | None = None) -> np.ndarray:
+    """SimHash of the runs of `per` shingles that begin at the places `at`, or of all runs."""
+    if at is None:
+        at = np.arange(max(0, len(h) - per + 1))
+    return _prints(_signs(h, w), per, at)
+
+
+def _signs(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Running sums of the signed weights of each bit, one row more than shingles."""
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
     total = np.zeros((len(h) + 1, _BITS), np.int32)
-    np.cumsum(signs, axis=0, out=total[1:])
-    return np.packbits(total[per:] - total[:-per] > 0, axis=1).copy().view(np.uint64).ravel()
+    np.cumsum((2 * bits - 1) * w[:, None], axis=0, out=total[1:])
+    return total
+
+
+def _prints(total: np.ndarray, per: int, at: np.ndarray) -> np.ndarray:
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    return np.packbits(total[at + per] - total[at] > 0, axis=1).copy().view(np.uint64).ravel()
 
 
 def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> np.ndarray:
@@ -107,7 +118,7 @@ def prefixes(sh: np.ndarray, sw: np.ndarray, least: float) -> tuple[np.ndarray,
     return key, np.append(start, len(pairs)), pairs["passage"].astype(np.int64)
 
 
-def passage_index(length: int, items: np.ndarray, hashes: np.ndarray, weights: np.ndarray, shingle: int, radius: int, least: float = 0.8) -> dict:
+def passage_index(length: int, classes: np.ndarray, hashes: np.ndarray, weights: np.ndarray, shingle: int, radius: int, least: float = 0.8) -> dict:
     """Passages of one length with their fingerprints, sorted by each block, and their rarest shingles; plain data, to be broadcast."""
     n = min(shingle, length)
     each = [shingles(h, w, n) for h, w in zip(hashes, weights)]
@@ -122,7 +133,7 @@ def passage_index(length: int, items: np.ndarray, hashes: np.ndarray, weights: n
         blocks.append((lo, hi, key[order], order, table))
     sh, sw = np.array([h for h, _ in each]), np.array([w for _, w in each], dtype=np.int64)
     return {
-        "length": length, "items": items, "hashes": hashes, "n": n, "per": length - n + 1, "radius": radius, "least": least,
+        "length": length, "classes": classes, "keys": np.unique(sh), "hashes": hashes, "n": n, "per": length - n + 1, "radius": radius, "least": least,
         "sh": sh, "sw": sw, "prints": prints, "blocks": blocks, "prefixes": prefixes(sh, sw, least),
     }
 
@@ -189,106 +200,160 @@ def verified(index: dict, sh: np.ndarray, sw: np.ndarray, win: np.ndarray, pas:
 
 
 def passages(items: DataFrame, item_id: str, text: str, passage: int) -> DataFrame:
-    """item_id, part, ws: every run of `passage` words of an item, or all words of a shorter one; none for an item without words."""
+    """item_id, ws: all words of an item and every run of `passage` words of a longer one; none for an item without words."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, t in zip(pdf[item_id], pdf[text]):
-                ws = words(t)
-                rows += [(i, j, ws[j : j + passage]) for j in range(max(1, len(ws) - passage + 1)) if ws]
-            yield pd.DataFrame(rows, columns=["item_id", "part", "ws"])
+                if ws := words(t):
+                    rows += [(i, ws), *((i, ws[j : j + passage]) for j in range(len(ws) - passage + 1) if len(ws) > passage)]
+            yield pd.DataFrame(rows, columns=["item_id", "ws"])
 
-    return items.select(F.col(item_id).cast("bigint").alias(item_id), text).filter(F.col(item_id).isNotNull()).mapInPandas(cut, "item_id bigint, part bigint, ws array<string>")
+    return items.select(F.col(item_id).cast("bigint").alias(item_id), text).filter(F.col(item_id).isNotNull()).mapInPandas(cut, "item_id bigint, ws array<string>")
 
 
 def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def _index(rows: pd.DataFrame, shingle: int, radius: int, least: float) -> list[tuple[int, np.ndarray, list[dict]]]:
+    """(words in a shingle, all shingles, passages of each length) of classes (cls, ws)."""
+    by_size: dict[int, list[dict]] = {}
+    for length, g in rows.groupby(rows["ws"].map(len)):
+        hs = np.array([[_hash(w) for w in ws] for ws in g["ws"]], dtype=np.uint64)
+        wt = np.array([[len(w) for w in ws] for ws in g["ws"]], dtype=np.int32)
+        x = passage_index(int(length), g["cls"].to_numpy(), hs, wt, shingle, radius, least)
+        by_size.setdefault(x["n"], []).append(x)
+    return [(n, np.unique(np.concatenate([x["keys"] for x in xs])), xs) for n, xs in sorted(by_size.items())]
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = 12, shingle: int = 5, radius: int = 3, least: float = 0.8, block: int = 50_000) -> DataFrame:
-    """doc_id, item_id, n_windows, similarity, exact: documents that hold a passage of an item.
+    """doc_id, item_id, n_windows, similarity, exact: documents that hold an item or a passage of it.
 
     A pair is given if some window of the document is at least `least` (above 0) similar to a passage, however many bits
     their SimHashes differ in; similarity is the largest, exact tells whether some window has the same words in the same
-    order, n_windows counts the pairs of such a window and a passage. Null or empty texts hold nothing; null ids are left aside; a repeated doc_id gives
-    one row. Words of letters and digits count without case, accents, invisible and compatibility characters.
+    order, n_windows counts the pairs of such a window and a passage, each once. Null or empty texts hold nothing; null ids are left
+    aside; rows that repeat a doc_id count as further texts of one document. Words of letters and digits count without case, accents,
+    invisible and compatibility characters. `block` is the number of different passages searched at once.
     """
-    cut = store(passages(items, item_id, text, passage), "passages")
-    total = cut.count()
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    schema = "doc_id bigint, item_id bigint, n_windows bigint, similarity double, exact boolean"
-    passes = -(-total // block)
-    if not passes:
-        return spark.createDataFrame([], schema)
-    outs = []
+    cut = store(passages(items, item_id, text, passage), "passages")
+    classes = store(cut.select("ws").distinct().withColumn("cls", F.monotonically_increasing_id()), "classes")
+    members = cut.join(classes, "ws").groupBy("cls", "item_id").agg(F.count(F.lit(1)).alias("n_parts"))
+    passes = -(-classes.count() // block)
+    texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    source = texts if passes <= 1 else store(texts.mapInArrow(_hashed, "doc_id bigint, hs array<bigint>, ws array<int>"), "hashed")
+    hits = spark.createDataFrame([], HITS)
     for p in range(passes):
-        rows = cut.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(passes)) == p).toPandas()
-        if rows.empty:
+        index = _index(classes.filter(F.pmod(F.xxhash64("cls"), F.lit(passes)) == p).toPandas(), shingle, radius, least)
+        if not index:
             continue
-        by_length = []
-        for length, g in rows.groupby(rows["ws"].map(len)):
-            hs = np.array([[_hash(w) for w in ws] for ws in g["ws"]], dtype=np.uint64)
-            wt = np.array([[len(w) for w in ws] for ws in g["ws"]], dtype=np.int32)
-            by_length.append(passage_index(int(length), g["item_id"].to_numpy(), hs, wt, shingle, radius, least))
-        outs.append(docs.mapInArrow(_searcher(spark.sparkContext.broadcast(by_length)), schema))
-    out = outs[0]
-    for x in outs[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), F.max("similarity").alias("similarity"), F.bool_or("exact").alias("exact"))
+        known = spark.sparkContext.broadcast(index)
+        found = store(source.mapInArrow(_searcher(known), HITS), "hits")
+        known.destroy()
+        hits = hits.unionByName(found)
+    if source is not texts:
+        discard(source)
+    pairs = hits.join(members, "cls").groupBy("doc_id", "item_id")
+    return pairs.agg(F.sum(F.col("n_windows") * F.col("n_parts")).alias("n_windows"), F.max("similarity").alias("similarity"), F.bool_or("exact").alias("exact"))
+
+
+HITS = "doc_id bigint, cls bigint, n_windows bigint, similarity double, exact boolean"
+
+
+def _word_hashes(texts: pa.Array, seen: dict[str, tuple[int, int]]) -> Iterator[tuple[list[int], list[int]]]:
+    """Hashes and numbers of letters of the words of each text."""
+    for t in texts:
+        hs, ws = [], []
+        for word in words(t.as_py()):
+            if (x := seen.get(word)) is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                x = seen[word] = (_hash(word), len(word))
+            hs.append(x[0])
+            ws.append(x[1])
+        yield hs, ws
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[str, tuple[int, int]] = {}
+    for b in batches:
+        hs, ws = zip(*_word_hashes(b.column(1), seen)) if b.num_rows else ((), ())
+        signed = pa.array([np.array(h, np.uint64).view(np.int64) for h in hs], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), signed, pa.array(ws, pa.list_(pa.int32()))], names=["doc_id", "hs", "ws"])
+
+
+def _members(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
+def _live(x: dict, n: int, cols: np.ndarray, sh: np.ndarray, sw: np.ndarray, doc: np.ndarray, until: int) -> np.ndarray:
+    """Which windows begin at each of some shingles (places cols in the text) that lie in one document, begin before `until`, and may be similar enough to a passage by what their shingles weigh."""
+    per = x["per"]
+    m = len(cols) - per + 1
+    if m <= 0:
+        return np.zeros(0, bool)
+    last = cols[:m] + per - 1
+    ok = (cols[per - 1 :] == last) & (doc[cols[:m]] == doc[last + n - 1]) & (cols[:m] < until)
+    total = np.concatenate([[0], np.cumsum(sw, dtype=np.int64)])
+    known = np.concatenate([[0], np.cumsum(np.where(_members(sh, x["keys"]), sw, 0), dtype=np.int64)])
+    return ok & (known[per:] - known[:-per] >= x["least"] * (total[per:] - total[:-per]) - 1e-6)
 
 
 def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[int, int]] = {}
-        longest = max(x["length"] for x in index.value)
-
-        def piece(h: np.ndarray, w: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> pd.DataFrame | None:
-            rows = []
-            for x in index.value:
-                length, per = x["length"], x["per"]
-                m = len(h) - length + 1
-                if m <= 0:
-                    continue
-                sh, sw = shingles(h, w, x["n"])
-                prints = fingerprints(sh, sw, per)
-                starts = doc[:m] == doc[length - 1 :]
-                inside = np.flatnonzero(starts)
-                win, pas = search(x, prints[inside])
-                found = [verified(x, sh, sw, *c) for c in chain([(inside[win], pas)], sharing(x, sh, sw, starts))]
-                at, pas, sim = (np.concatenate(c) for c in zip(*found))
-                _, one = np.unique(at * len(x["sh"]) + pas, return_index=True)
-                at, pas, sim = at[one], pas[one], sim[one]
-                if not len(at):
+        longest = max(x["length"] for _, _, xs in index.value for x in xs)
+        size = max(PIECE, 4 * longest)
+
+        def piece(h: np.ndarray, w: np.ndarray, doc: np.ndarray, ids: np.ndarray, until: int) -> Iterator[pd.DataFrame]:
+            for n, keys, xs in index.value:
+                sh, sw = shingles(h, w, n)
+                hit = np.flatnonzero(_members(sh, keys)) if len(sh) else []
+                if not len(hit):
                     continue
-                same = (h[at[:, None] + np.arange(length)] == x["hashes"][pas]).all(1)
-                rows.append(pd.DataFrame({"doc_id": ids[doc[at]], "item_id": x["items"][pas], "n_windows": 1, "similarity": sim, "exact": same}))
-            if not rows:
-                return None
-            return pd.concat(rows).groupby(["doc_id", "item_id"], as_index=False).agg({"n_windows": "sum", "similarity": "max", "exact": "max"})
+                # only what lies near a known shingle is looked at further
+                reach = max(x["per"] for x in xs) - 1
+                edge = np.zeros(len(sh) + 1, np.int64)
+                np.add.at(edge, np.maximum(hit - reach, 0), 1)
+                np.add.at(edge, np.minimum(hit + reach + 1, len(sh)), -1)
+                cols = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                sh, sw, total = sh[cols], sw[cols], None
+                for x in xs:
+                    live = _live(x, n, cols, sh, sw, doc, until)
+                    at = np.flatnonzero(live)
+                    if not len(at):
+                        continue
+                    total = _signs(sh, sw) if total is None else total
+                    win, pas = search(x, _prints(total, x["per"], at))
+                    found = [verified(x, sh, sw, *c) for c in chain([(at[win], pas)], sharing(x, sh, sw, live))]
+                    at, pas, sim = (np.concatenate(c) for c in zip(*found))
+                    _, one = np.unique(at * len(x["sh"]) + pas, return_index=True)
+                    at, pas, sim = cols[at[one]], pas[one], sim[one]
+                    same = (h[at[:, None] + np.arange(x["length"])] == x["hashes"][pas]).all(1)
+                    yield pd.DataFrame({"doc_id": ids[doc[at]], "cls": x["classes"][pas], "n_windows": 1, "similarity": sim, "exact": same})
 
         def flush(hs: list, ws: list, doc: list, ids: list) -> Iterator[pa.RecordBatch]:
             h, w, d, i = np.array(hs, np.uint64), np.array(ws, np.int32), np.array(doc, np.int64), np.array(ids, np.int64)
-            step = PIECE - longest + 1
+            step = size - longest + 1
             for a in range(0, max(1, len(h) - longest + 1), step):
-                out = piece(h[a : a + PIECE], w[a : a + PIECE], d[a : a + PIECE], i)
-                if out is not None:
-                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                # windows that begin in the overlap belong to the next piece, if there is one
+                until = step if a + step < len(h) - longest + 1 else size
+                for out in piece(h[a : a + size], w[a : a + size], d[a : a + size], i, until):
+                    if len(out):
+                        out = out.groupby(["doc_id", "cls"], as_index=False).agg({"n_windows": "sum", "similarity": "max", "exact": "max"})
+                        yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
         for b in batches:
             hs, ws, doc, ids = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                for word in words(t.as_py()):
-                    if (x := seen.get(word)) is None:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        x = seen[word] = (_hash(word), len(word))
-                    hs.append(x[0])
-                    ws.append(x[1])
-                doc += [len(ids)] * (len(hs) - len(doc))
+            made = _word_hashes(b.column(1), seen) if b.num_columns == 2 else ((np.array(x.as_py(), np.int64).view(np.uint64).tolist(), y.as_py()) for x, y in zip(b.column(1), b.column(2)))
+            for k, (x, y) in zip(b.column(0).to_pylist(), made):
+                hs += x
+                ws += y
+                doc += [len(ids)] * len(x)
                 ids.append(k)
-                if len(hs) >= PIECE:
+                if len(hs) >= size:
                     yield from flush(hs, ws, doc, ids)
                     hs, ws, doc, ids = [], [], [], []
             yield from flush(hs, ws, doc, ids)

@@ -56,6 +56,7 @@ def test_long_texts_are_searched_to_the_end(spark, monkeypatch):
     rnd = random.Random(5)
     item = [rnd.choice(VOCAB) for _ in range(14)]
     text = [rnd.choice(VOCAB[:30]) for _ in range(50_000)]
+    monkeypatch.setattr(leakage, "PIECE", 16_000)
     for at in (0, 15_990, 16_005, 49_980):
         x = list(text)
         x[at : at + 14] = item
@@ -73,6 +74,33 @@ def test_near_passages_are_found_with_their_similarity(spark):
     assert [(r.doc_id, r.exact) for r in got] == [(1, False)] and 0.8 <= got[0].similarity < 1
 
 
+def test_windows_are_as_long_as_the_item(spark):
+    """Words changed far apart: 12-word runs between them are alike, and so is the whole."""
+    w = [f"word{i}" for i in range(150)]
+    edited = [x if i % 60 != 30 else "other" for i, x in enumerate(w)]
+    d = spark.createDataFrame([(1, " ".join(["before", *edited, "after"])), (2, " ".join(w[:9] + ["x"] + w[10:18]))], "doc_id bigint, text string")
+    got = leakage.leaks(d, spark.createDataFrame([(9, " ".join(w))], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.exact) for r in got] == [(1, True)]
+    got = leakage.leaks(d, spark.createDataFrame([(9, " ".join(w[20:41]))], "item_id bigint, text string")).filter("NOT exact").collect()
+    assert got == []  # 5 of 17 shingles differ
+
+
+def test_each_window_counts_once(spark):
+    text = ["filler"] * 20_000
+    text[15_990:15_993] = ["one", "two", "three"]
+    d = spark.createDataFrame([(1, " ".join(text)), (2, "one two three and one two three")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(4, "One two, three"), (5, "one two three"), (6, " ".join(f"w{k}" for k in range(300)))], "item_id bigint, text string")
+    import foliant.llm.leakage as module
+
+    keep = module.PIECE
+    try:
+        for module.PIECE, block in ((16_000, 50_000), (16_000, 10), (64_000, 50_000)):
+            got = {(r.doc_id, r.item_id): r.n_windows for r in leakage.leaks(d, i, block=block).collect()}
+            assert got == {(1, 4): 1, (1, 5): 1, (2, 4): 2, (2, 5): 2}
+    finally:
+        module.PIECE = keep
+
+
 def test_near_passages_are_all_found_with_the_production_parameters(spark):
     rnd = random.Random(11)
     vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([1, 2, 5, 9, 12]))) for _ in range(300)]
@@ -95,8 +123,8 @@ def test_near_passages_are_all_found_with_the_production_parameters(spark):
 
     want = {}
     for i, w in items:
-        size = min(12, len(w))
-        for a in (bag(w[j : j + size]) for j in range(len(w) - size + 1)):
+        parts = [w, *(w[j : j + 12] for j in range(len(w) - 11) if len(w) > 12)]
+        for size, a in ((len(x), bag(x)) for x in parts):
             for d, v in docs:
                 for j in range(len(v) - size + 1):
                     b = bag(v[j : j + size])
