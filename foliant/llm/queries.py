@@ -30,13 +30,13 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Every target with its share wanted and drawn."""
-    return _p1(spark, folder)[1].withColumnsRenamed({"stratum": "split", "category": "label"})
+    """Every target with the rows and the share of its split's sample that it wants and that were drawn."""
+    return _p1(spark, folder)[1].withColumn("wanted", F.round("wanted", 4)).withColumnsRenamed({"stratum": "split", "category": "label"})
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The targets that the draw could not meet although it took all rows there are."""
-    return p1_report(spark, folder).filter("unmet AND missing > 0").select("split", "label")
+    """The targets of which the sample has too few rows although it took all there are."""
+    return p1_report(spark, folder).filter("unmet").select("split", "label")
 
 
 # 2. Consolidating pairwise matches into groups
@@ -131,14 +131,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold a passage of an item, exactly or at a similarity of 0.8 or more."""
-    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    """Documents that hold an item or a passage of it, exactly or at a similarity of 0.8 or more."""
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     """The items that leaked: in how many documents exactly, in how many at all."""
     per = p6_leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("exact").alias("n_exact"), F.max("similarity").alias("similarity"))
-    return table(spark, folder, "eval_items").select("item_id", "suite").join(per, "item_id").select("item_id", "suite", "n_documents", "n_exact", F.round("similarity", 6).alias("similarity"))
+    return table(spark, folder, "eval_items").select("item_id", "suite").join(per, "item_id").select("item_id", "suite", "n_documents", "n_exact", "similarity")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,3 +253,44 @@ iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') AS w FR
 dk AS (SELECT doc_id, ws, k FROM d, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k),
 dw AS (SELECT DISTINCT doc_id, array_to_string(ws[j:j + k - 1], ' ') AS w FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM dk))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)"""
+# all windows that share a shingle with a passage, and their exact weighted similarity
+SQL["p6_leaks"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL),
+parts AS (SELECT item_id, 0 AS part, ws FROM i WHERE len(ws) > 0 UNION ALL SELECT item_id, j, ws[j:j + 11] FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS j FROM i WHERE len(ws) > 12)),
+p AS (SELECT item_id, part, len(ws) AS size, least(5, len(ws)) AS n, ws FROM parts),
+ps AS (SELECT item_id, part, size, n, ws[j:j + n - 1] AS sh, count(*) AS c FROM (SELECT *, unnest(range(1, size - n + 2)) AS j FROM p) GROUP BY ALL),
+weighed AS (SELECT *, length(array_to_string(sh, '')) AS w FROM ps),
+own AS (SELECT item_id, part, sum(c * w) AS total FROM weighed GROUP BY ALL),
+ds AS (SELECT doc_id, n, j, ws[j:j + n - 1] AS sh FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM p))),
+known AS (SELECT doc_id, n, j, sh FROM ds SEMI JOIN weighed USING (n, sh)),
+starts AS (SELECT DISTINCT doc_id, size, n, s FROM (SELECT doc_id, size, n, unnest(range(greatest(1, j - (size - n)), least(j, len(ws) - size + 1) + 1)) AS s FROM known JOIN (SELECT DISTINCT size, n FROM p) USING (n) JOIN d USING (doc_id))),
+ww AS (SELECT doc_id, size, n, s, sum(length(array_to_string(sh, ''))) AS total FROM starts JOIN ds USING (doc_id, n) WHERE j BETWEEN s AND s + size - n GROUP BY ALL),
+wk AS (SELECT doc_id, size, n, s, sh, count(*) AS c FROM starts JOIN known USING (doc_id, n) WHERE j BETWEEN s AND s + size - n GROUP BY ALL),
+met AS (SELECT doc_id, item_id, part, size, n, s, sum(least(wk.c, weighed.c) * w) AS shared FROM wk JOIN weighed USING (size, n, sh) GROUP BY ALL),
+sim AS (SELECT met.doc_id, item_id, part, size, s, shared / (ww.total + own.total - shared)::DOUBLE AS similarity FROM met JOIN ww USING (doc_id, size, n, s) JOIN own USING (item_id, part))
+SELECT doc_id, item_id, count(*) AS n_windows, round(max(similarity), 6) AS similarity, bool_or(d.ws[s:s + size - 1] = p.ws) AS exact
+FROM sim JOIN p USING (item_id, part, size) JOIN d USING (doc_id) WHERE similarity >= 0.8 GROUP BY ALL"""
+SQL["p6_items"] = f"""
+SELECT item_id, suite, count(*) AS n_documents, count(*) FILTER (exact) AS n_exact, max(similarity) AS similarity FROM ({SQL["p6_leaks"]}) JOIN eval_items USING (item_id) GROUP BY ALL"""
+
+# the factor of each split by the sizes of its sample at all places where a category turns; then the same crossings
+_P1 = f"""
+WITH r AS (SELECT record_id, {_SPLIT} AS split, {_KEY.format("label")} AS label FROM split_csv),
+n AS (SELECT split, count(*) AS stratum_rows FROM r WHERE split IS NOT NULL GROUP BY 1),
+a AS (SELECT split, label, count(*) AS n FROM r WHERE split IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT split, label, target_bp::BIGINT AS target_bp, min_rows::BIGINT AS min_rows, coalesce(a.n, 0) AS available, coalesce(stratum_rows, 0) AS stratum_rows, target_bp * coalesce(stratum_rows, 0) / 50000::DOUBLE AS wanted,
+  least(min_rows, coalesce(a.n, 0)) AS floor FROM sample_targets LEFT JOIN a USING (split, label) LEFT JOIN n USING (split)),
+f AS (SELECT split, turn, sum(least(t.available, greatest(t.floor, turn * t.wanted))) AS size FROM t JOIN (SELECT DISTINCT split, unnest([floor / wanted, available / wanted]) AS turn FROM t WHERE wanted > 0 UNION SELECT split, 1 FROM t) USING (split) GROUP BY ALL),
+g AS (SELECT *, lead(turn) OVER w AS turn2, lead(size) OVER w AS size2 FROM f WINDOW w AS (PARTITION BY split ORDER BY turn)),
+k AS (SELECT split, min(turn + CASE WHEN size2 > size THEN (s - size) * (turn2 - turn) / (size2 - size) ELSE 0 END) AS factor FROM g JOIN (SELECT split, sum(wanted) AS s FROM t GROUP BY 1) USING (split) WHERE turn >= 1 AND size <= s AND size2 >= s GROUP BY 1),
+m AS (SELECT split, CASE WHEN max(size) FILTER (turn = 1) >= sum(DISTINCT s) THEN 1 ELSE 'Infinity'::DOUBLE END AS other FROM f JOIN (SELECT split, sum(wanted) AS s FROM t GROUP BY 1) USING (split) GROUP BY 1),
+e AS (SELECT t.*, CASE WHEN wanted > 0 THEN least(wanted * CASE WHEN coalesce(k.factor, other) < 1 + 1e-9 THEN 1 ELSE coalesce(k.factor, other) END, available::DOUBLE) ELSE 0 END AS expected FROM t LEFT JOIN k USING (split) LEFT JOIN m USING (split)),
+o AS (SELECT *, sum(expected) OVER (PARTITION BY split ORDER BY label) - expected AS ahead FROM e),
+p AS (SELECT record_id, split, label, row_number() OVER (PARTITION BY split, label ORDER BY ('0x' || md5('42|' || record_id)[1:15])::BIGINT, record_id) AS rank FROM r SEMI JOIN t USING (split, label)),
+q AS (SELECT p.*, o.* EXCLUDE (split, label), rank / available::DOUBLE AS upto, (rank - 1) / available::DOUBLE AS before, floor(ahead + expected + {{u}}) - floor(ahead + {{u}}) AS first FROM p JOIN o USING (split, label)),
+s AS (SELECT record_id, split, label FROM q WHERE CASE WHEN expected >= available THEN true WHEN first < floor THEN floor(floor * upto + {{u}}) > floor(floor * before + {{u}}) ELSE floor(ahead + expected * upto + {{u}}) > floor(ahead + expected * before + {{u}}) END),
+d AS (SELECT o.*, coalesce(c, 0) AS drawn FROM o LEFT JOIN (SELECT split, label, count(*) AS c FROM s GROUP BY 1, 2) USING (split, label))""".replace("{u}", repr(sampling._start(42)) + "::DOUBLE")
+SQL["p1_sample"] = f"{_P1} SELECT record_id, split, label FROM s"
+SQL["p1_report"] = f"""{_P1} SELECT split, label, target_bp, min_rows, available, stratum_rows, round(wanted, 4) AS wanted, drawn, round(wanted / nullif(sum(wanted) OVER (PARTITION BY split), 0), 6) AS share_wanted,
+  round(drawn / nullif(sum(drawn) OVER (PARTITION BY split), 0)::DOUBLE, 6) AS share_drawn, available < min_rows OR available * 50000 < target_bp * stratum_rows AS unmet,
+  CASE WHEN available < min_rows OR available * 50000 < target_bp * stratum_rows THEN greatest(ceil(wanted), min_rows)::BIGINT - drawn ELSE 0 END AS missing FROM d"""

@@ -31,7 +31,19 @@ def test_shares_floors_and_report(spark):
     assert sample.select("row_id").distinct().count() == sum(drawn.values())
 
 
-@pytest.mark.parametrize("seed", range(5))
+def test_what_a_target_lacks_goes_to_the_others(spark):
+    df = rows_of(spark, {("t", "a"): 500, ("t", "b"): 400, ("t", "few"): 20, ("t", None): 80, ("v", "a"): 3, ("v", None): 97})
+    targets = spark.createDataFrame([("t", "a", 3000, 0), ("t", "b", 2000, 0), ("t", "few", 4900, 0), ("t", "none", 100, 3), ("v", "a", 10000, 0)], TARGETS)
+    sample, report = draw(df, targets)
+    r = {(x.stratum, x.category): x for x in report.collect()}
+    # of the 200 rows 20 are few; the other 180 are shared 3 : 2
+    assert [r["t", c].drawn for c in ("a", "b", "few", "none")] == [108, 72, 20, 0]
+    assert [r["t", c].unmet for c in ("a", "b", "few", "none")] == [False, False, True, True]
+    assert r["t", "few"].missing == 78 and r["t", "a"].share_drawn == 0.54 and r["t", "a"].share_wanted == 0.3
+    assert (r["v", "a"].drawn, r["v", "a"].unmet) == (3, True) and sample.filter("stratum = 'v'").count() == 3  # all there are
+
+
+@pytest.mark.parametrize("seed", range(3))
 def test_every_category_gets_its_expected_number_rounded(spark, seed):
     counts = {("t", f"c{i}"): 20 + 37 * i for i in range(8)}
     df = rows_of(spark, counts)
