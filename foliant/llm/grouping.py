@@ -5,11 +5,11 @@ of equal weight, whole bins then go to the splits by target proportion. Largest
 (Karmarkar and Karp) starts with one partial partition for each unit and repeatedly combines
 the two with the widest spread, the heaviest bin of one with the lightest of the other.
 
-A stratum may have billions of units, so its units are first counted by weight. Of m units of
-one weight, as many as fill all bins equally change no spread and are dealt out directly, but for
-the last few rounds, which are kept so that light units can even out the heavy ones; less than
-(KEPT + 1) * bins units of each weight remain. There are at most sqrt(2 * rows) different weights,
-so differencing runs on a few items whatever the size of the stratum.
+A stratum may have billions of units, so its units are first counted by weight: units of one weight are alike. Of m units of
+one weight, as many as fill all bins equally change no spread, so differencing would deal them out evenly; that is done at
+once, but for the last KEPT rounds, which take part in differencing one by one so that light units can even out the heavy
+ones. Every unit is placed; less than (KEPT + 1) * bins units of each weight are differenced. There are at most
+sqrt(2 * rows) different weights, so this runs on a few items whatever the size of the stratum.
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import components
-from foliant.operators.ranking import ranked
+from foliant.operators.ranking import null_safe, ranked
 from foliant.plans.workspace import small, store
 
-
 #: Rounds of each weight that are left to differencing.
 KEPT = 4
 
@@ -115,34 +114,55 @@ def balance(units: DataFrame, shares: dict[str, float], bins: int = 20) -> DataF
     return placed.withColumn("new_split", split).drop("p_stratum", "p_weight", "upto", "rank", "group_rows")
 
 
-def units_of(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Units of rows (row_id, stratum, present, by columns): by columns, single_id, stratum, weight, mask.
+def linked_rows(rows: DataFrame, row_id: str, keys: list[list[str]]) -> DataFrame:
+    """rows with `unit`, the smallest row_id of those that share the values of any of several keys, directly or through further rows.
 
-    A row belongs to the unit of its `by` values; if the last of them is null it is a unit of its own
-    (single_id is its row_id). The stratum of a unit is that of most of its rows, ties by the
-    smaller, null last. mask has bit 1, 2 or 4 for rows that now stand in train, val or test.
+    Each key is a list of columns; a null in its last column links nothing, one in another column is a value. A key value's rows are linked to the
+    smallest row_id that has it, a star and not all pairs, and the stars are joined to components. With one key the stars
+    are the components already. Rows without a link are units of their own; row_id must be unique.
     """
-    flag = F.coalesce(F.when(F.col("present") == "train", 1).when(F.col("present") == "val", 2).when(F.col("present") == "test", 4), F.lit(0))
-    single = F.when(F.col(by[-1]).isNull(), F.col("row_id"))
-    per = rows.groupBy(*by, single.alias("single_id"), "stratum").agg(F.count(F.lit(1)).alias("n"), F.bit_or(flag).alias("mask"))
-    # the largest struct: most rows, then a label before none, then the smaller label
-    first = F.min(F.struct((-F.col("n")).alias("n"), F.col("stratum").isNull().alias("none"), F.col("stratum").alias("stratum")))
-    per = per.groupBy(*by, "single_id").agg(F.sum("n").alias("weight"), F.bit_or("mask").alias("mask"), first.alias("top"))
-    return per.select(*by, "single_id", F.col("top.stratum").alias("stratum"), "weight", "mask")
+    def hubs(i: int, cols: list[str]) -> tuple[DataFrame, Column]:
+        hub = rows.filter(F.col(cols[-1]).isNotNull()).groupBy(*(F.col(c).alias(f"_k{i}_{j}") for j, c in enumerate(cols))).agg(F.min(row_id).alias(f"_hub{i}"))
+        return hub, null_safe(rows, hub, {c: f"_k{i}_{j}" for j, c in enumerate(cols)}) & rows[cols[-1]].isNotNull()
+
+    if len(keys) == 1:
+        hub, on = hubs(0, keys[0])
+        return rows.join(hub, on, "left").select(*rows.columns, F.coalesce("_hub0", row_id).alias("unit"))
+    links = None
+    for i, cols in enumerate(keys):
+        hub, on = hubs(i, cols)
+        x = rows.join(hub, on).select(F.col(row_id).alias("a"), F.col(f"_hub{i}").alias("b"))
+        links = x if links is None else links.unionByName(x)
+    of = components(links).select(F.col("node").alias("_node"), F.col("group_id").alias("_group"))
+    return rows.join(of, F.col(row_id) == F.col("_node"), "left").select(*rows.columns, F.coalesce("_group", row_id).alias("unit"))
 
 
-def linked_units(rows: DataFrame, row_id: str, keys: list[list[str]]) -> DataFrame:
-    """row_id, unit of rows that share the values of any of several keys, directly or through further rows.
+#: Bits of the splits in masks.
+BITS = {"train": 1, "val": 2, "test": 4}
 
-    Each key is a list of columns; a null in its last column links nothing. A key value's rows are linked to the
-    smallest row_id that has it, a star and not all pairs, and the stars are joined to components. Rows without a
-    link are units of their own.
+
+def units_of(rows: DataFrame) -> DataFrame:
+    """Units of rows (unit, stratum, present): unit, stratum, weight, mask.
+
+    The stratum of a unit is that of most of its rows, ties by the smaller, null last. mask has bit 1, 2 or 4 for rows that
+    now stand in train, val or test. Strata are numbered in order first, so that all states are numbers and each task
+    combines its own rows in a hash table.
     """
-    links = None
-    for cols in keys:
-        have = rows.filter(F.col(cols[-1]).isNotNull()).select(F.col(row_id).alias("a"), F.struct(*cols).alias("k"))
-        hub = have.groupBy("k").agg(F.min("a").alias("b"))
-        x = have.join(hub, "k").select("a", "b")
-        links = x if links is None else links.unionByName(x)
-    of = components(links)
-    return rows.select(F.col(row_id).alias("row_id")).join(of, F.col("row_id") == F.col("node"), "left").select("row_id", F.coalesce("group_id", "row_id").alias("unit"))
+    names = rows.select("stratum").filter("stratum IS NOT NULL").distinct()
+    numbered = small(ranked(names, [], ["stratum"]).select(F.col("stratum").alias("name"), F.col("rank").alias("at")), "strata")
+    flag = F.coalesce(*(F.when(F.col("present") == s, b) for s, b in BITS.items()), F.lit(0))
+    coded = rows.select("unit", "stratum", flag.alias("flag")).join(numbered, F.col("stratum") == F.col("name"), "left").select("unit", F.coalesce("at", F.lit(0)).alias("at"), "flag")
+    per = coded.groupBy("unit", "at").agg(F.count(F.lit(1)).alias("n"), F.bit_or("flag").alias("mask"))
+    # the largest number: most rows first, then a stratum before none, then the smaller stratum
+    rank = F.shiftleft("n", 31) + F.when(F.col("at") > 0, F.lit((1 << 31) - 1) - F.col("at")).otherwise(F.lit(0))
+    per = per.groupBy("unit").agg(F.sum("n").alias("weight"), F.bit_or("mask").alias("mask"), F.max(rank).alias("top"))
+    low = F.col("top").bitwiseAND(F.lit((1 << 31) - 1))
+    per = per.withColumn("_at", F.when(low > 0, F.lit((1 << 31) - 1) - low))
+    return per.join(numbered, F.col("_at") == F.col("at"), "left").select("unit", F.col("name").alias("stratum"), "weight", "mask")
+
+
+def torn(mask: Column, new_split: Column) -> Column:
+    """Whether the rows of a unit stand in more than one split: those in the new split of the unit stay, and some others would have to move, or others come from two splits."""
+    own = F.coalesce(*(F.when(new_split == s, b) for s, b in BITS.items()), F.lit(0))
+    stay, move = mask.bitwiseAND(own) != 0, mask.bitwiseAND(F.bitwise_not(own))
+    return (stay & (move != 0)) | (F.bit_count(move) > 1)

@@ -12,6 +12,7 @@ from foliant.functions.keys import hamming, md5_key, name_key, split_key
 from foliant.llm import components, grouping, leakage, mixing, overlap, sampling, subjects
 from foliant.llm.words import token_count
 from foliant.plans.tables import table
+from foliant.plans.workspace import store
 
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 
@@ -64,51 +65,56 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 # 3. Same or near-same records across splits
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def _p3_rows(spark: SparkSession, folder: str, *more) -> DataFrame:
     s = split_key("split")
-    rows = table(spark, folder, "split_csv").select(
-        F.col("record_id").alias("row_id"), F.when(s == "train", "train").when(s.isNotNull(), "eval").alias("side"), md5_key("md5").alias("md5"), "ahash", F.col("size_bytes").alias("size")
+    return table(spark, folder, "split_csv").select(
+        F.col("record_id").alias("row_id"), F.when(s == "train", "train").when(s.isNotNull(), "eval").alias("side"), md5_key("md5").alias("md5"), "ahash", F.col("size_bytes").alias("size"), *more
     )
-    return overlap.cross_split_pairs(rows)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.cross_split_pairs(_p3_rows(spark, folder))
+
+
+def p3_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every picture of val and test that train holds too, exactly or almost, with the class of its hash."""
+    x = overlap.overlapping_rows(_p3_rows(spark, folder, split_key("split").alias("split"), name_key("dataset").alias("dataset")))
+    return x.filter("same_md5 OR near").select(F.col("row_id").alias("record_id"), "split", "dataset", "class_id", "same_md5", "near")
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    """For each split and dataset of the evaluation pictures: n_rows, n_overlapping, share."""
-    pairs = p3_found(spark, folder)
-    hit = pairs.select(F.explode(F.array("id_lo", "id_hi")).alias("hit")).distinct()
-    rows = table(spark, folder, "split_csv").select("record_id", split_key("split").alias("split"), name_key("dataset").alias("dataset")).filter("split IN ('val', 'test')")
-    return (
-        rows.join(hit, F.col("record_id") == F.col("hit"), "left").groupBy("split", "dataset")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.count("hit").alias("n_overlapping"))
-        .withColumn("share", F.round(F.col("n_overlapping") / F.col("n_rows"), 6))
-    )
+    """For each split and dataset of the evaluation pictures: n_rows, n_overlapping, n_same_md5, share."""
+    x = overlap.overlapping_rows(_p3_rows(spark, folder, split_key("split").alias("split"), name_key("dataset").alias("dataset")))
+    per = x.groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("same_md5") | F.col("near")).alias("n_overlapping"), F.count_if("same_md5").alias("n_same_md5"))
+    return per.withColumn("share", F.round(F.col("n_overlapping") / F.col("n_rows"), 6))
 
 
 # 5. Splits that keep related records together
 
 
-def _p5_units(spark: SparkSession, folder: str) -> DataFrame:
+def _p5(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(records with their units, units with their new splits), both stored."""
     rows = table(spark, folder, "split_csv").select(
         F.col("record_id").alias("row_id"), name_key("dataset").alias("dataset"), F.col("cluster").cast("bigint").alias("cluster"), name_key("label").alias("stratum"), split_key("split").alias("present")
     )
-    units = grouping.units_of(rows, ["dataset", "cluster"])
-    return grouping.balance(units.withColumn("order_key", F.xxhash64(F.lit(42), "dataset", "cluster", "single_id")), SHARES)
+    linked = store(grouping.linked_rows(rows, "row_id", [["dataset", "cluster"]]), "linked")
+    units = grouping.balance(grouping.units_of(linked).withColumn("order_key", F.xxhash64(F.lit(42), "unit")), SHARES)
+    return linked, units.withColumn("torn", grouping.torn(F.col("mask"), F.col("new_split")))
 
 
 def p5_units(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each cluster (or record without one): its rows, its label, the split it is given, whether it is torn today."""
-    u = _p5_units(spark, folder)
-    return u.select("dataset", "cluster", F.col("single_id").alias("record_id"), F.col("stratum").alias("label"), F.col("weight").alias("n_rows"), "new_split", (F.bit_count("mask") > 1).alias("torn"))
+    """One row for each cluster (or record without one): its rows, its label, the split it is given, whether the present split tears it."""
+    linked, units = _p5(spark, folder)
+    names = linked.filter("row_id = unit").select("row_id", "dataset", "cluster")  # a unit is named after its smallest record
+    x = units.join(names, F.col("unit") == F.col("row_id"))
+    return x.select("dataset", "cluster", F.when(F.col("cluster").isNull(), F.col("unit")).alias("record_id"), F.col("stratum").alias("label"), F.col("weight").alias("n_rows"), "new_split", "torn")
 
 
 def _p5_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """record_id, label, split, n_rows of the records with their own labels."""
-    u = _p5_units(spark, folder)
-    rows = table(spark, folder, "split_csv").select("record_id", name_key("label").alias("label"), name_key("dataset").alias("dataset"), F.col("cluster").cast("bigint").alias("cluster"))
-    whole = u.filter("cluster IS NOT NULL").select(F.col("dataset").alias("d"), F.col("cluster").alias("c"), F.col("new_split").alias("split"))
-    single = u.filter("cluster IS NULL").select(F.col("single_id").alias("record_id"), F.col("stratum").alias("label"), F.col("new_split").alias("split"), F.col("weight").alias("n_rows"))
-    rows = rows.filter("cluster IS NOT NULL").join(whole, F.col("dataset").eqNullSafe(F.col("d")) & (F.col("cluster") == F.col("c")))
-    return rows.select("record_id", "label", "split", F.lit(1).cast("bigint").alias("n_rows")).unionByName(single)
+    """record_id, label, split of the records with their own labels."""
+    linked, units = _p5(spark, folder)
+    given = units.select(F.col("unit").alias("u"), F.col("new_split").alias("split"))
+    return linked.join(given, F.col("unit") == F.col("u")).select(F.col("row_id").alias("record_id"), F.col("stratum").alias("label"), "split")
 
 
 def p5_assignment(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,13 +124,31 @@ def p5_assignment(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and share of each split within each label, by the records' own labels and not by those of their clusters."""
-    per = _p5_rows(spark, folder).groupBy("label").agg(F.sum("n_rows").alias("n_rows"), *(F.sum(F.when(F.col("split") == s, F.col("n_rows")).otherwise(0)).alias(f"n_{s}") for s in SHARES))
+    per = _p5_rows(spark, folder).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SHARES))
     return per.select("*", *(F.round(F.col(f"n_{s}") / F.col("n_rows"), 4).alias(f"share_{s}") for s in SHARES))
 
 
+def p5_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the assignment, counted: records, those without a split, clusters, clusters in more than one new split,
+    torn clusters, and labels of clusters whose splits miss 70/15/15 by more than a hundredth and the rows of their largest cluster."""
+    linked, units = _p5(spark, folder)
+    names = linked.filter("row_id = unit AND cluster IS NOT NULL").select("row_id")
+    whole = units.join(names, F.col("unit") == F.col("row_id"))
+    per = units.groupBy("stratum").agg(F.sum("weight").alias("n"), F.max("weight").alias("most"), *(F.sum(F.when(F.col("new_split") == s, F.col("weight")).otherwise(0)).alias(s) for s in SHARES))
+    off = sum(((F.abs(F.col(s) - share * F.col("n")) > 0.01 * F.col("n") + F.col("most")).cast("int") for s, share in SHARES.items()), F.lit(0)) > 0
+    given = linked.join(units.select(F.col("unit").alias("u"), "new_split"), F.col("unit") == F.col("u"), "left")
+    split = given.filter("cluster IS NOT NULL").groupBy("dataset", "cluster").agg(F.max("new_split").alias("hi"), F.min("new_split").alias("lo"))
+    one = lambda df, *aggs: df.agg(F.struct(*aggs)).scalar()
+    a, b, c, d = (
+        one(given, F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("new_split").isNull()).alias("n_without")), one(whole, F.count(F.lit(1)).alias("n_clusters"), F.count_if("torn").alias("n_torn")),
+        one(split, F.count_if(F.col("hi") != F.col("lo")).alias("n_parted")), one(per, F.count_if(off).alias("n_labels_off")),
+    )
+    return spark.range(1).select(a["n_records"].alias("n_records"), a["n_without"].alias("n_without"), b["n_clusters"].alias("n_clusters"), b["n_torn"].alias("n_torn"), c["n_parted"].alias("n_parted"), d["n_labels_off"].alias("n_labels_off"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The clusters that the present split tears apart, each with a new split."""
-    return p5_units(spark, folder).filter("torn AND cluster IS NOT NULL AND new_split IS NOT NULL").select("dataset", "cluster")
+    """The clusters whose rows cannot all stay where they are when every cluster gets its one split."""
+    return p5_units(spark, folder).filter("torn AND cluster IS NOT NULL").select("dataset", "cluster")
 
 
 # 6. Evaluation texts leaking into training text
@@ -198,7 +222,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_report, p5_units, p5_assignment, p5_shares, p5_found, p6_leaks, p6_items, p6_found, p7_mix, p7_report, p7_found, p8_subjects, p8_topics, p8_composition, p8_found)
+    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_records, p3_report, p5_units, p5_assignment, p5_shares, p5_checks, p5_found, p6_leaks, p6_items, p6_found, p7_mix, p7_report, p7_found, p8_subjects, p8_topics, p8_composition, p8_found)
 }
 
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -230,15 +254,22 @@ SELECT DISTINCT least(a, b) AS id_lo, greatest(a, b) AS id_hi FROM p""",
     "p5_found": f"""
 SELECT {_KEY.format("dataset")} AS dataset, cluster::BIGINT AS cluster FROM split_csv
 WHERE cluster IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT {_SPLIT}) > 1""",
+    "p5_checks": f"""
+WITH r AS (SELECT {_KEY.format("dataset")} AS dataset, cluster, count(DISTINCT {_SPLIT}) AS n FROM split_csv WHERE cluster IS NOT NULL GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM split_csv) AS n_records, 0 AS n_without, count(*) AS n_clusters, count(*) FILTER (n > 1) AS n_torn, 0 AS n_parted, 0 AS n_labels_off FROM r""",
     "p7_found": f"""
 WITH d AS (SELECT {_KEY.format("source")} AS source, coalesce(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+')), 0) AS n FROM documents)
 SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(n) AS n FROM d GROUP BY 1) s USING (source)
 WHERE m.max_repeats * coalesce(s.n, 0) * 10000 < m.target_bp * (SELECT sum(n) FROM d)""",
 }
-SQL["p3_report"] = f"""
-WITH f AS ({SQL["p3_found"]}), h AS (SELECT id_lo AS id FROM f UNION SELECT id_hi FROM f)
-SELECT split, dataset, count(*) AS n_rows, count(h.id) AS n_overlapping, round(count(h.id) / count(*)::DOUBLE, 6) AS share
-FROM (SELECT record_id, {_SPLIT} AS split, {_KEY.format("dataset")} AS dataset FROM split_csv) r LEFT JOIN h ON h.id = r.record_id WHERE split IN ('val', 'test') GROUP BY 1, 2"""
+_P3 = f"""
+WITH r AS (SELECT record_id, nullif(lower(md5), '') AS md5, ahash, size_bytes, {_SPLIT} AS split, {_KEY.format("dataset")} AS dataset FROM split_csv),
+g AS (SELECT * FROM r WHERE octet_length(ahash) = 32 AND size_bytes IS NOT NULL AND hex(ahash) NOT IN (repeat('0', 64), repeat('F', 64)) AND split IS NOT NULL),
+near AS (SELECT DISTINCT e.record_id FROM g t JOIN g e ON t.size_bytes BETWEEN e.size_bytes - 5120 AND e.size_bytes + 5120 WHERE t.split = 'train' AND e.split IN ('val', 'test') AND {_HAMMING.format("t", "e")} <= 4),
+x AS (SELECT r.record_id, r.split, r.dataset, c.class_id, coalesce(r.md5 IN (SELECT md5 FROM r WHERE split = 'train' AND md5 IS NOT NULL), false) AS same_md5, n.record_id IS NOT NULL AS near
+  FROM r LEFT JOIN near n USING (record_id) LEFT JOIN g ON g.record_id = r.record_id LEFT JOIN (SELECT ahash, min(record_id) AS class_id FROM g GROUP BY 1) c ON c.ahash = g.ahash WHERE r.split IN ('val', 'test'))"""
+SQL["p3_records"] = f"{_P3} SELECT * FROM x WHERE same_md5 OR near"
+SQL["p3_report"] = f"{_P3} SELECT split, dataset, count(*) AS n_rows, count(*) FILTER (same_md5 OR near) AS n_overlapping, count(*) FILTER (same_md5) AS n_same_md5, round(count(*) FILTER (same_md5 OR near) / count(*)::DOUBLE, 6) AS share FROM x GROUP BY 1, 2"
 
 #: Full-width letters and digits and what they stand for, by rule.
 _WIDE = "".join(chr(ord(c) + 0xFEE0) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")

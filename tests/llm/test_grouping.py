@@ -11,8 +11,10 @@ ROWS = "row_id bigint, source string, cluster bigint, stratum string, present st
 
 
 def split(spark, data):
-    units = grouping.units_of(spark.createDataFrame(data, ROWS), ["source", "cluster"])
-    return grouping.balance(units.withColumn("order_key", F.xxhash64("source", "cluster", "single_id")), SHARES)
+    rows = grouping.linked_rows(spark.createDataFrame(data, ROWS), "row_id", [["source", "cluster"]])
+    units = grouping.balance(grouping.units_of(rows).withColumn("order_key", F.xxhash64("unit")), SHARES)
+    names = rows.filter("row_id = unit").select("row_id", "source", F.col("cluster").alias("cluster"), F.when(F.col("cluster").isNull(), F.col("row_id")).alias("single_id"))
+    return units.join(names, F.col("unit") == F.col("row_id"))
 
 
 def test_differencing_is_balanced():
@@ -70,13 +72,24 @@ def test_empty(spark):
 
 def test_several_keys_join_through_components(spark):
     rows = spark.createDataFrame([(1, "x", None), (2, "x", "s"), (3, "y", "s"), (4, None, None), (5, "z", "t"), (6, None, "t")], "id bigint, author string, source string")
-    got = {r.row_id: r.unit for r in grouping.linked_units(rows, "id", [["author"], ["source"]]).collect()}
+    got = {r.id: r.unit for r in grouping.linked_rows(rows, "id", [["author"], ["source"]]).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    one = {r.id: r.unit for r in grouping.linked_rows(rows, "id", [["author"]]).collect()}
+    assert one == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert grouping.linked_rows(rows.limit(0), "id", [["author"], ["source"]]).count() == 0
 
 
-def test_repeats_and_clashing_columns(spark):
-    data = [(1, "p", 1, "a", "train", 9, 9, 9)] * 3 + [(2, "p", None, "a", "val", 9, 9, 9)] * 2
-    rows = spark.createDataFrame(data, ROWS + ", n int, mask int, rank int")
-    units = grouping.units_of(rows, ["source", "cluster"]).withColumn("order_key", F.lit(0).cast("bigint")).withColumn("upto", F.lit("x")).drop("upto")
-    got = {(r.cluster, r.single_id): r.weight for r in grouping.balance(units, SHARES).collect()}
-    assert got == {(1, None): 3, (None, 2): 2}
+def test_torn_units_are_those_that_the_assignment_would_move(spark):
+    for mask in range(8):
+        for new in SHARES:
+            df = spark.range(1).select(grouping.torn(F.lit(mask), F.lit(new)).alias("t"))
+            if new == "train" or mask in (3, 5, 6, 7):
+                assert df.first().t == (mask.bit_count() > 1), (mask, new)
+
+
+def test_clashing_columns(spark):
+    data = [(1, "p", 1, "a", "train", 9, 9, 9), (3, "p", 1, "a", "train", 9, 9, 9), (5, "p", 1, None, "train", 9, 9, 9), (2, "p", None, "a", "val", 9, 9, 9)]
+    rows = grouping.linked_rows(spark.createDataFrame(data, ROWS + ", n int, mask int, rank int"), "row_id", [["source", "cluster"]])
+    units = grouping.units_of(rows).withColumn("order_key", F.lit(0).cast("bigint")).withColumn("upto", F.lit("x")).drop("upto")
+    got = {r.unit: (r.weight, r.stratum) for r in grouping.balance(units, SHARES).collect()}
+    assert got == {1: (3, "a"), 2: (1, "a")}

@@ -27,13 +27,13 @@ def mutate(rnd, s, k, indels=True):
     return "".join(s)
 
 
-@pytest.mark.parametrize("k", [0, 1, 2, 3])
-def test_edit_join_loses_nothing(spark, k):
+@pytest.mark.parametrize("k,hot", [(0, 4096), (1, 4096), (2, 4096), (3, 4096), (1, 1), (2, 2)])
+def test_edit_join_loses_nothing(spark, k, hot):
     rnd = random.Random(k)
-    base = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 14))) for _ in range(25)] + [""]
+    base = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 24 if hot < 9 else 14))) for _ in range(25)] + [""]
     left = [(i, mutate(rnd, rnd.choice(base), rnd.randrange(k + 2))) for i in range(60)] + [(60, None)]
     right = [(100 + i, mutate(rnd, rnd.choice(base), rnd.randrange(k + 2))) for i in range(60)]
-    got = {(r.a, r.b): r.edits for r in overlap.edit_join(spark.createDataFrame(left, "cid bigint, value string"), spark.createDataFrame(right, "cid bigint, value string"), k).collect()}
+    got = {(r.a, r.b): r.edits for r in overlap.edit_join(spark.createDataFrame(left, "cid bigint, value string"), spark.createDataFrame(right, "cid bigint, value string"), k, hot=hot).collect()}
     want = {(a, b): levenshtein(x, y) for a, x in left for b, y in right if x is not None and levenshtein(x, y) <= k}
     assert got == want
 
@@ -62,7 +62,7 @@ def brute(data, bits=4, size=5120):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_cross_split_pairs(spark, seed):
     rnd = random.Random(seed)
 
@@ -81,8 +81,20 @@ def test_cross_split_pairs(spark, seed):
     df = spark.createDataFrame(data, "row_id bigint, side string, md5 string, ahash binary, size bigint").repartition(3)
     got = [(r.id_lo, r.id_hi) for r in overlap.cross_split_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(data)
+    # the same without pairs
+    side = {r[0]: r[1] for r in data}
+    of = {}
+    for i, s, _, h, z in data:
+        if s in ("train", "eval") and h is not None and len(h) == 32 and h not in (bytes(32), b"\xff" * 32) and z is not None:
+            of[h] = min(of.get(h, i), i)
+    rows = overlap.overlapping_rows(df).collect()
+    assert sorted(r.row_id for r in rows) == [i for i, s, *_ in data if s == "eval"]
+    assert {r.row_id for r in rows if r.same_md5 or r.near} == {i for p in got for i in p if side[i] == "eval"}
+    without = brute([(i, s, None, h, z) for i, s, _, h, z in data])
+    assert {r.row_id for r in rows if r.near} == {i for p in without for i in p if side[i] == "eval"}
+    assert all(r.class_id == (of.get(bytes(r.ahash)) if r.ahash is not None and r.size is not None else None) for r in rows)
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "row_id bigint, side string, md5 string, ahash binary, size bigint, value string")
-    assert overlap.cross_split_pairs(df).count() == 0
+    assert overlap.cross_split_pairs(df).count() == 0 and overlap.overlapping_rows(df).count() == 0
