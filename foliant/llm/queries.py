@@ -183,8 +183,8 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Quota, tokens chosen and share reached of every source."""
-    return _p7(spark, folder)[1].withColumn("share", F.round("share", 6))
+    """Quota, tokens chosen and shares reached of every source: of the tokens chosen and of all, to which the targets refer."""
+    return _p7(spark, folder)[1].withColumns({"share": F.round("share", 6), "share_of_all": F.round("share_of_all", 6)})
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,12 +217,23 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(source, "doc_id").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the subjects, counted: documents, and rows of unknown documents or subjects, repeats, too few sentences or no share."""
+    found = store(p8_subjects(spark, folder), "found")
+    docs, names = table(spark, folder, "documents").select("doc_id"), table(spark, folder, "subjects").select("subject")
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return spark.range(1).select(
+        count(docs).alias("n_documents"), count(found.join(docs, "doc_id", "left_anti")).alias("n_unknown_documents"), count(found.join(names, "subject", "left_anti")).alias("n_unknown_subjects"),
+        (count(found) - count(found.select("doc_id", "subject").distinct())).alias("n_repeats"), count(found.filter("n_sentences < 2 OR share <= 0 OR share > 1")).alias("n_too_few"),
+    )
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return _p8(spark, folder)[0].select("doc_id", "subject")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_records, p3_report, p5_units, p5_assignment, p5_shares, p5_checks, p5_found, p6_leaks, p6_items, p6_found, p7_mix, p7_report, p7_found, p8_subjects, p8_topics, p8_composition, p8_found)
+    f.__name__: f for f in (p1_sample, p1_report, p1_found, p2_found, p3_found, p3_records, p3_report, p5_units, p5_assignment, p5_shares, p5_checks, p5_found, p6_leaks, p6_items, p6_found, p7_mix, p7_report, p7_found, p8_subjects, p8_topics, p8_composition, p8_checks, p8_found)
 }
 
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -257,6 +268,7 @@ WHERE cluster IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT {_SPLIT}) > 1""",
     "p5_checks": f"""
 WITH r AS (SELECT {_KEY.format("dataset")} AS dataset, cluster, count(DISTINCT {_SPLIT}) AS n FROM split_csv WHERE cluster IS NOT NULL GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM split_csv) AS n_records, 0 AS n_without, count(*) AS n_clusters, count(*) FILTER (n > 1) AS n_torn, 0 AS n_parted, 0 AS n_labels_off FROM r""",
+    "p8_checks": "SELECT count(*) AS n_documents, 0 AS n_unknown_documents, 0 AS n_unknown_subjects, 0 AS n_repeats, 0 AS n_too_few FROM documents",
     "p7_found": f"""
 WITH d AS (SELECT {_KEY.format("source")} AS source, coalesce(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+')), 0) AS n FROM documents)
 SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(n) AS n FROM d GROUP BY 1) s USING (source)
@@ -325,3 +337,16 @@ SQL["p1_sample"] = f"{_P1} SELECT record_id, split, label FROM s"
 SQL["p1_report"] = f"""{_P1} SELECT split, label, target_bp, min_rows, available, stratum_rows, round(wanted, 4) AS wanted, drawn, round(wanted / nullif(sum(wanted) OVER (PARTITION BY split), 0), 6) AS share_wanted,
   round(drawn / nullif(sum(drawn) OVER (PARTITION BY split), 0)::DOUBLE, 6) AS share_drawn, available < min_rows OR available * 50000 < target_bp * stratum_rows AS unmet,
   CASE WHEN available < min_rows OR available * 50000 < target_bp * stratum_rows THEN greatest(ceil(wanted), min_rows)::BIGINT - drawn ELSE 0 END AS missing FROM d"""
+
+# every document has one source here, so the cheapest largest flow of a source is the smaller of its quota and of all its tokens as often as it may be used
+_P7 = f"""
+WITH d AS (SELECT doc_id, {_KEY.format("source")} AS source, coalesce(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]+')), 0) AS n FROM documents),
+a AS (SELECT sum(n)::BIGINT AS n FROM d),
+m AS (SELECT source, target_bp::BIGINT AS target_bp, max_repeats::BIGINT AS max_repeats, coalesce(s.n, 0)::BIGINT AS tokens, target_bp * a.n AS quota, least(target_bp * a.n, max_repeats * coalesce(s.n, 0)::BIGINT * 10000) AS routed
+  FROM mix_targets LEFT JOIN (SELECT source, sum(n) AS n FROM d GROUP BY 1) s USING (source), a),
+l AS (SELECT doc_id, d.source, d.n, tokens * 10000 AS w, routed, (sum(d.n) OVER (PARTITION BY d.source ORDER BY ('0x' || md5('42|' || doc_id)[1:15])::BIGINT, doc_id) - d.n)::BIGINT * 10000 AS b FROM d JOIN m USING (source) WHERE d.n > 0),
+c AS (SELECT doc_id, source, ((routed - b + w - 1) // w)::BIGINT AS n_uses, ((routed - b + w - 1) // w * n)::BIGINT AS tokens FROM l WHERE routed > b)"""
+SQL["p7_mix"] = f"{_P7} SELECT * FROM c"
+SQL["p7_report"] = f"""{_P7} SELECT m.source, target_bp, max_repeats, m.tokens, quota / 10000::DOUBLE AS quota, routed / 10000::DOUBLE AS routed, routed < quota AS is_short, coalesce(chosen, 0) AS chosen, coalesce(n_documents, 0) AS n_documents, coalesce(most_uses, 0) AS most_uses,
+  round(coalesce(chosen, 0) / (SELECT sum(tokens) FROM c)::DOUBLE, 6) AS share, round(coalesce(chosen, 0) / (SELECT n FROM a)::DOUBLE, 6) AS share_of_all
+FROM m LEFT JOIN (SELECT source, sum(tokens)::BIGINT AS chosen, count(*) AS n_documents, max(n_uses) AS most_uses FROM c GROUP BY 1) USING (source)"""

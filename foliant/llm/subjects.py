@@ -7,9 +7,10 @@ language only, unless it mixes languages) and adds up the topic-word counts; onl
 prior of their subjects in their documents and no more, so wrong ones are outvoted. The fitted topics are mapped to
 subjects by their top terms: a topic stands for the subject that its terms prefer, or for none.
 
-A document deals with a subject if at least `least` of its sentences are about it. The proportions of the
-document are the prior for each of its sentences, and a sentence is about a subject if enough of its words
-fall to topics of that subject.
+A document deals with a subject if its topic proportions give the subject as many words as `least` sentences need and at
+least `least` of its sentences are about it. The proportions of the document are the prior for each of its sentences,
+and a sentence is about a subject if enough of its words fall to topics of that subject; words that the subject's topics have no more
+often than the others count for nothing, which the fitted topics tell and not the labels.
 """
 
 from __future__ import annotations
@@ -35,15 +36,17 @@ class Settings:
 
     background: int = 2  #: topics for each language besides those of the subjects
     language_share: float = 0.01  #: a language has topics of its own if at least this share of the documents is marked with it
-    passes: int = 10
+    tolerance: float = 0.02  #: passes end when less than this share of all words has changed its topic
+    most_passes: int = 100  #: the end of a fit that does not settle; the test data settle in 10 to 20
     inner: int = 8
     alpha: float = 0.15
     beta: float = 0.02
     label_prior: float = 2.0
-    rarest: float = 5e-4  #: a word in fewer documents than this share is left out; so the vocabulary is bounded by words per document / rarest
-    commonest: float = 0.4
+    rarest: float = 5e-4  #: a word in fewer documents than this share has no entry of its own; so the vocabulary is bounded by words per document / rarest
+    buckets: int = 1_024  #: entries that the rarer words share by their hashes, so that every word takes part
+    pure: float = 0.9  #: a text of whose words this share is of one language is explained by the topics of that language, another by all
     top_terms: int = 40
-    preference: float = 0.7  #: a word speaks fully for a subject if it is exp(0.7) times as frequent in its documents as in others
+    preference: float = 2.0  #: a word speaks fully for a subject if it is exp(2) times as frequent in the subject's topics as in the others
     mass: float = 2.5  #: words of a sentence that must fall to a subject
     seed: int = 42
 
@@ -114,16 +117,16 @@ def _frequencies(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", "hs").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _encode(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """doc_id, ids, lens, labels, lang: the words by their place in the vocabulary, -1 for others. hashes are those of the vocabulary in its order."""
+def _encode(docs: DataFrame, hashes: np.ndarray, buckets: int) -> DataFrame:
+    """doc_id, ids, lens, labels, lang: the words by their place in the vocabulary, others by that of their bucket after it. hashes are those of the vocabulary in its order."""
     order = np.argsort(hashes, kind="stable")
     known = docs.sparkSession.sparkContext.broadcast((hashes[order], order.astype(np.int32)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, place = known.value
         for b in batches:
-            x = b.column(1).flatten().to_numpy()
-            ids = np.full(len(x), -1, np.int32)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = (len(key) + x.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             if len(key):
                 at = np.minimum(np.searchsorted(key, x), len(key) - 1)
                 ids = np.where(key[at] == x, place[at], ids)
@@ -193,7 +196,7 @@ def _tongues(beta: np.ndarray, spoken: np.ndarray, n_subjects: int, background:
     return spoken.astype(np.float32), [*parts, (np.arange(beta.shape[1]), beta.astype(np.float32))]
 
 
-def infer_by_language(word: np.ndarray, group: np.ndarray, count: np.ndarray, n_groups: int, tongues: tuple, prior: np.ndarray, inner: int, pure: float = 0.9) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def infer_by_language(word: np.ndarray, group: np.ndarray, count: np.ndarray, n_groups: int, tongues: tuple, prior: np.ndarray, inner: int, pure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(entries, topics, words of each entry by topic, words of each group by topic) of the groups of each language.
 
     A group of whose words `pure` or more are of one language is explained by the topics of that language, a mixed group by all. Prior
@@ -256,7 +259,7 @@ def _sum_by_word(df: DataFrame, fn, columns: int, size: int) -> np.ndarray:
 class Model:
     vocabulary: list[str]
     subjects: list[str]
-    beta: np.ndarray  #: words x topics
+    beta: np.ndarray  #: words, then buckets, x topics
     subject_of: list[int]  #: of each topic; -1 for background
     clear: np.ndarray  #: words x subjects, 0 to 1, how far the word may speak for the subject
     spoken: np.ndarray  #: words x languages, how much the word is of the language; rows sum to 1
@@ -271,7 +274,7 @@ def preferences(with_word: np.ndarray, labelled: np.ndarray, per_subject: np.nda
 
 def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages: int, s: Settings) -> Model:
     """The model of encoded docs (doc_id, ids, lens, labels, lang)."""
-    size, n_s, n_l = len(vocabulary), len(subjects), max(1, languages)
+    size, n_s, n_l = len(vocabulary) + s.buckets, len(subjects), max(1, languages)
     topics = (n_s + s.background) * n_l
     spark = docs.sparkSession
 
@@ -290,6 +293,7 @@ def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages:
 
     first = _sum_by_word(docs, start, n_s + 2 + n_l, size + 1)
     prefer = preferences(first[:size, :n_s], first[:size, n_s], first[size, :n_s], first[size, n_s])
+    prefer[len(vocabulary) :] = 0  # a bucket holds words of all kinds
     rng = np.random.default_rng(s.seed)
     everywhere = first[:size, n_s + 1]
     # how much a word is of a language: its share of the language's documents against its share of all
@@ -302,21 +306,34 @@ def fit(docs: DataFrame, vocabulary: list[str], subjects: list[str], languages:
         at = n_l * n_s + l * s.background
         tongue[:, l * n_s : (l + 1) * n_s] = tongue[:, at : at + s.background] = spoken[:, [l]]
         counts[:, at : at + s.background] = mine[:, None] * rng.gamma(5.0, 0.2, (size, s.background)) * np.exp(-prefer.max(1, initial=0))[:, None]
-    for _ in range(s.passes if size else 0):
+    for _ in range(s.most_passes):
         tongues = spark.sparkContext.broadcast(_tongues((counts + s.beta) / (counts + s.beta).sum(0), spoken, n_s, s.background))
 
         def step(b: pa.RecordBatch, total: np.ndarray) -> None:
             word, doc, count = _bag(*_flat(b.column(1)), size)
             if len(word):
-                for at, cols, r, _ in infer_by_language(word, doc, count, b.num_rows, tongues.value, _label_prior(b, topics, n_s, n_l, s), s.inner):
+                for at, cols, r, _ in infer_by_language(word, doc, count, b.num_rows, tongues.value, _label_prior(b, topics, n_s, n_l, s), s.inner, s.pure):
                     _add_by(word[at], r, total, cols)
 
         # a topic keeps to its language: else one with few documents is taken over by passages in another
-        counts = _sum_by_word(docs, step, topics, size) * tongue
+        before, counts = counts, _sum_by_word(docs, step, topics, size) * tongue
         tongues.unpersist()
-    # words that five labelled documents or more have speak for the subjects that those prefer; rarer ones for that of their topic
-    clear = np.where(first[:size, [n_s]] >= 5, np.clip(prefer / s.preference, 0, 1), 1.0)
-    return Model(vocabulary, subjects, (counts + s.beta) / (counts + s.beta).sum(0), map_topics(counts, prefer, s), clear, spoken)
+        share = lambda c: c / max(c.sum(), 1e-9)
+        if np.abs(share(counts) - share(before)).sum() < 2 * s.tolerance:
+            break
+    subject_of = map_topics(counts, prefer, s)
+    return Model(vocabulary, subjects, (counts + s.beta) / (counts + s.beta).sum(0), subject_of, clearness(counts, subject_of, n_s, s), spoken)
+
+
+def clearness(counts: np.ndarray, subject_of: list[int], n_subjects: int, s: Settings) -> np.ndarray:
+    """words x subjects, 0 to 1: how far a word may speak for a subject, by how much more frequent it is in the topics of that subject than in all others."""
+    own = np.zeros((counts.shape[1], n_subjects))
+    for k, i in enumerate(subject_of):
+        if i >= 0:
+            own[k, i] = 1
+    inside, everywhere = counts @ own, counts.sum(1, keepdims=True)
+    lift = np.log((inside + 0.5) / (inside.sum(0) + 1.0)) - np.log((everywhere - inside + 0.5) / (everywhere.sum() - inside.sum(0) + 1.0))
+    return np.clip(lift / s.preference, 0, 1)
 
 
 def map_topics(counts: np.ndarray, prefer: np.ndarray, s: Settings) -> list[int]:
@@ -345,16 +362,16 @@ def prepare(documents: DataFrame, subjects: DataFrame, labels: DataFrame, s: Set
     # at most 1 / language_share languages are frequent enough
     tongues = cut.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= s.language_share * n).orderBy("lang").select("lang").collect()
     spoken = spark.createDataFrame([(r.lang, i) for i, r in enumerate(tongues)], "lang string, l int")
-    kept = small(_frequencies(cut).filter((F.col("n") >= max(3, s.rarest * n)) & (F.col("n") <= max(3, s.commonest * n))).select("h"), "vocabulary")
+    kept = small(_frequencies(cut).filter(F.col("n") >= max(3, s.rarest * n)).select("h"), "vocabulary")
     named = cut.filter(F.size("new_h") > 0).select(F.explode(F.arrays_zip("new_h", "new_w")).alias("x")).select(F.col("x.new_h").alias("h"), F.col("x.new_w").alias("w"))
     rows = named.join(kept, "h", "left_semi").groupBy("h").agg(F.min("w").alias("w")).orderBy("w").collect()
     full = cut.join(F.broadcast(spoken), "lang", "left").join(given, "doc_id", "left").select("doc_id", "hs", "lens", "labels", F.coalesce("l", F.lit(-1)).alias("lang"))
-    return store(_encode(full, np.array([r.h for r in rows], np.int64)), "encoded"), [r.w for r in rows], names, len(tongues)
+    return store(_encode(full, np.array([r.h for r in rows], np.int64), s.buckets), "encoded"), [r.w for r in rows], names, len(tongues)
 
 
 def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFrame:
     """doc_id, subject, n_sentences, share: the subjects of the encoded docs; share is that of the document's words that fall to it."""
-    size, topics, n_s = len(model.vocabulary), model.beta.shape[1], len(model.subjects)
+    size, topics, n_s = *model.beta.shape, len(model.subjects)
     own = np.zeros((topics, n_s))
     for k, i in enumerate(model.subject_of):
         if i >= 0:
@@ -372,7 +389,7 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
             if not len(w):
                 continue
             total = np.zeros((b.num_rows, topics), np.float32)
-            for _, cols, _, part in infer_by_language(w, d, c, b.num_rows, tongues, np.full((b.num_rows, topics), s.alpha), s.inner):
+            for _, cols, _, part in infer_by_language(w, d, c, b.num_rows, tongues, np.full((b.num_rows, topics), s.alpha), s.inner, s.pure):
                 total[:, cols] += part
             prior = (total + s.alpha) / (total + s.alpha).sum(1, keepdims=True)
             about = np.zeros((len(lens), len(names)), bool)
@@ -381,13 +398,14 @@ def assign(docs: DataFrame, model: Model, s: Settings, least: int = 2) -> DataFr
                 w, e, c = _bag(word[at:to], sent[at:to] - lo, size)
                 if len(w):
                     words = np.zeros((hi - lo, len(names)))
-                    for x, cols, r, _ in infer_by_language(w, e, c, hi - lo, tongues, prior[of[lo:hi]] + np.float32(0.05), 4):
+                    for x, cols, r, _ in infer_by_language(w, e, c, hi - lo, tongues, prior[of[lo:hi]] + np.float32(0.05), s.inner, s.pure):
                         _add_by(e[x], (r @ own[cols]) * clear[w[x]], words)
                     about[lo:hi] = words >= s.mass
             n = np.zeros((b.num_rows, len(names)), np.int64)
             np.add.at(n, of, about)
             share = (total @ own) / np.maximum(total.sum(1, keepdims=True), 1e-9)
-            r, i = np.nonzero(n >= least)
+            # a subject must have as many of the document's words as so many sentences need
+            r, i = np.nonzero((n >= least) & (total @ own >= least * s.mass))
             ids = b.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array([names[x] for x in i], pa.string()), pa.array(n[r, i]), pa.array(share[r, i])], names=["doc_id", "subject", "n_sentences", "share"])
 
@@ -409,6 +427,6 @@ def topic_terms(model: Model, spark: SparkSession, n: int = 15) -> DataFrame:
     """topic, subject (null for background), rank, term, weight: the top terms by which topics are mapped and can be inspected."""
     rows = []
     for k, i in enumerate(model.subject_of):
-        for r, w in enumerate(np.argsort(-model.beta[:, k], kind="stable")[:n]):
+        for r, w in enumerate(np.argsort(-model.beta[: len(model.vocabulary), k], kind="stable")[:n]):
             rows.append((k, model.subjects[i] if i >= 0 else None, r + 1, model.vocabulary[w], float(model.beta[w, k])))
     return spark.createDataFrame(rows, "topic int, subject string, rank int, term string, weight double")

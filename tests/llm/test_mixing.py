@@ -93,9 +93,28 @@ def test_repeats_and_long_texts(spark):
     assert with_token_count(long, "t", "n").first().n == 600_000
 
 
-def test_other_sources_make_no_patterns(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_PATTERNS", 4)
+def test_other_sources_make_no_patterns(spark):
     data = [(d, [f"host{d}", "ab"[d % 2]], 10) for d in range(20)] + [(d, [f"host{d}", None], 10) for d in range(20, 40)]
     chosen, report = mixing.mix(spark.createDataFrame(data, "doc_id bigint, sources array<string>, tokens bigint"), spark.createDataFrame([("a", 2500, 1), ("b", 5000, 1)], TARGETS))
     got = {r.source: (r.tokens, r.quota, r.chosen, r.is_short) for r in report.collect()}
     assert got == {"a": (100, 100.0, 100, False), "b": (100, 200.0, 100, True)} and chosen.count() == 20
+
+
+def test_many_patterns_flow_quickly():
+    import random
+    import time
+
+    rnd = random.Random(3)
+    names = [f"s{i}" for i in range(14)]
+    patterns = {f"p{i}": (rnd.sample(names, rnd.randrange(1, 6)), rnd.randrange(1, 10**9)) for i in range(4_000)}
+    total = sum(t for _, t in patterns.values())
+    quotas = {s: (rnd.randrange(300, 1500) * total, rnd.randrange(1, 4)) for s in names}
+    t = time.time()
+    flow = mixing.route(patterns, quotas)
+    assert time.time() - t < 60
+    for s in names:
+        got = sum(f for (_, x), f in flow.items() if x == s)
+        assert got <= quotas[s][0]
+    for p, (sources, tokens) in patterns.items():
+        used = sum(f for (x, _), f in flow.items() if x == p) if p in ("p0", "p1", "p2") else 0
+        assert used <= tokens * mixing.UNIT * sum(quotas[s][1] for s in sources)
