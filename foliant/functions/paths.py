@@ -6,6 +6,8 @@ case and in what they give when nothing is left.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def relative(path: Column | str, root: Column | str) -> Column:
     return F.when(F.startswith(p, r), F.substr(p, F.length(r) + 1))
 
 
+def under(path: Column | str, root: str) -> Column:
+    """`relative` of a path as Spark gives it, to a root that may be written with or without its scheme."""
+    return relative(F.regexp_replace(_c(path), r"^[a-z0-9+.-]+:/*", "/"), F.lit(re.sub(r"^[a-z0-9+.-]+:/*", "/", root)))
+
+
 def parts(path: Column | str) -> Column:
     """Components of a path, without empty ones."""
     return F.filter(F.split(_c(path), "/"), lambda x: x != "")

@@ -72,3 +72,28 @@ def append_observations(observations: DataFrame, images: DataFrame, new: DataFra
         observations.unionByName(x.select("id", "image_id", *[c for c in new.columns if c in observations.columns]), allowMissingColumns=True),
         images.unionByName(pictures, allowMissingColumns=True),
     )
+
+
+def fill_diagnosis(plants: DataFrame, first: DataFrame, key: str, fk: str) -> DataFrame:
+    """plants with initial_diagnosis filled from `first` (fk, disease, health_status, confidence, model_version, date) where it is empty: null or without any value.
+
+    A diagnosis that is there stays as it is. first must be unique by fk; plants without an entry stay empty.
+    """
+    names = ["disease", "health_status", "confidence", "model_version"]
+    given = F.struct(*names, F.col("date").alias("timestamp"))
+    f = first.select(F.col(fk).alias("_f"), given.alias("_given"))
+    old = F.col("initial_diagnosis")
+    empty = old.isNull() | F.coalesce(*(old[n].cast("string") for n in [*names, "timestamp"])).isNull()
+    out = plants.join(f, F.col(key) == F.col("_f"), "left")
+    return out.withColumn("initial_diagnosis", F.when(empty, F.col("_given")).otherwise(old)).drop("_f", "_given")
+
+
+def stored_path(code: Column | str, number: Column | str, name: Column) -> Column:
+    """Where an upload is stored: code/observation_001.jpg for a plant's numbered observation, else the eight digits of `name`, always as .jpg."""
+    c, n = (F.col(x) if isinstance(x, str) else x for x in (code, number))
+    return F.when(c.isNotNull() & n.isNotNull() & (n != 0), F.concat(c, F.lit("/observation_"), padded(n, 3), F.lit(".jpg"))).otherwise(F.concat(F.left(name, F.lit(8)), F.lit(".jpg")))
+
+
+def random_digits() -> Column:
+    """Hexadecimal digits of a random UUID; another on every run."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))

@@ -109,3 +109,8 @@ def evaluation(df: DataFrame, y: str, pred: str, confidence: str, threshold: flo
     for part in (figures, ece(df, y, pred, confidence, bins)):  # one row each
         one = one.join(part.withColumn("on", F.lit(1)), F.col("at") == F.col("on")).drop("on")
     return one.withColumn("threshold", F.lit(threshold)).drop("at")
+
+
+def text_report(per: DataFrame) -> DataFrame:
+    """label, line: precision, recall, F1 to two digits and support of each class of `per_class`, aligned for reading."""
+    return per.select("label", F.format_string("%-12s %9.2f %9.2f %9.2f %9d", F.col("label").cast("string"), "precision", "recall", "f1", "support").alias("line"))

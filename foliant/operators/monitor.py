@@ -97,3 +97,16 @@ def sorted_map(m: Column | str) -> Column:
     """Entries of map<string,double> by value, largest first, ties by key."""
     e = F.map_entries(F.col(m) if isinstance(m, str) else m)
     return F.transform(F.array_sort(F.transform(e, lambda x: F.struct((-x["value"]).alias("n"), x["key"].alias("key")))), lambda s: F.struct(s["key"].alias("key"), (-s["n"]).alias("value")))
+
+
+def as_of(observations: DataFrame, time: str, moment: str | None = None) -> DataFrame:
+    """The observations made up to a moment (text of a timestamp, included), or up to now by the clock of the run. Null times are left aside."""
+    now = F.lit(moment).cast("timestamp_ntz") if moment is not None else F.localtimestamp()
+    return observations.filter(F.col(time) <= now)
+
+
+def find(requests: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """requests (key) with `found` and the columns of df; a key that df does not have keeps its row with found false and nulls. df must be unique by key, null finds nothing."""
+    other = df.withColumnRenamed(key, "_key")
+    out = requests.join(other, F.col(key) == F.col("_key"), "left")
+    return out.withColumn("found", F.col("_key").isNotNull()).drop("_key")

@@ -129,3 +129,9 @@ def report(df: DataFrame, group: str, label: str, suffix: str, ok: str, md5: str
     for p in parts:
         out = out.join(p, F.col(group).eqNullSafe(F.col("g")), "left").drop("g")
     return out
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """One row: datasets, total_valid, total_corrupt of the documents of `report`; zeros without any."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return report.agg(F.count(F.lit(1)).alias("datasets"), total("files.valid").alias("total_valid"), total("files.corrupt").alias("total_corrupt"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.keys import name_key
 from foliant.operators import skew
-from foliant.plans import etl, monitoring, scores
+from foliant.plans import etl, forms, monitoring, pictures, scores
 from foliant.plans.tables import table
 
 # 4. A few keys holding most records
@@ -44,7 +44,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**etl.QUERIES, **{f.__name__: f for f in (p4_profile, p4_largest, p4_median, p4_found)}}
-assert monitoring and scores  # they register their queries in etl.QUERIES
+assert forms and monitoring and pictures and scores  # they register their queries in etl.QUERIES
 
 _LABEL = "trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_')"
 

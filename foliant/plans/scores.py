@@ -117,10 +117,16 @@ def validate_upload(spark, folder):
     return table(spark, folder, "split_csv").select("record_id", scoring.upload_problem("path", "size_bytes", 300_000).alias("problem"))
 
 
-@query(f"""WITH {_REPORT}, a AS (SELECT count(*) AS n, avg((y = pred)::INT) AS accuracy FROM s), w AS (SELECT label FROM m WHERE support > 0 ORDER BY recall, label LIMIT 8)
-SELECT a.n, round(a.accuracy, 6) AS accuracy, (SELECT round(avg(f1), 6) FROM m) AS macro_f1, (SELECT string_agg(label, ',' ORDER BY label) FROM w) AS worst FROM a""")
+@query(f"""WITH {_REPORT}, a AS (SELECT count(*) AS n, avg((y = pred)::INT) AS accuracy, avg(conf) AS mean_confidence, avg((conf >= 0.55)::INT) AS coverage, avg((y = pred)::INT) FILTER (conf >= 0.55) AS accepted, avg((y = pred)::INT) FILTER (conf < 0.55) AS rejected FROM s),
+w AS (SELECT label FROM m WHERE support > 0 ORDER BY recall, label LIMIT 8), b AS (SELECT least(floor(conf * 10), 9)::INT AS bin, count(*) AS n, avg((y = pred)::INT) AS acc, avg(conf) AS conf FROM s GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY bin) - 1 AS i FROM b)
+SELECT a.n, round(a.accuracy, 6) AS accuracy, round(mean_confidence, 6) AS mean_confidence, round(coverage, 6) AS coverage, round(accepted, 6) AS accepted_accuracy, round(rejected, 6) AS rejected_accuracy, (SELECT round(avg(f1), 6) FROM m) AS macro_f1, (SELECT count(*) FROM m) AS classes,
+  (SELECT round(sum(abs(acc - conf) * n) / sum(n), 6) FROM b) AS ece, (SELECT round(sum(abs(i.acc - i.conf) * coalesce(o.n, 0)) / sum(i.n), 6) FROM i LEFT JOIN b o ON o.bin = i.i) AS ece_ref, 0.55::DOUBLE AS threshold,
+  (SELECT string_agg(printf('%d=%.4f/%.4f/%.4f/%d', label, precision, recall, f1, support), ';' ORDER BY label) FROM m) AS per_class, (SELECT string_agg(label, ',' ORDER BY label) FROM w) AS worst FROM a""")
 def evaluation(spark, folder):
-    """Some fields of the one-row evaluation document."""
+    """Every part of the one-row evaluation document, its lists as text."""
     e = metrics.evaluation(scores(spark, folder), "y", "pred", "conf")
     worst = F.array_join(F.array_sort(F.transform("worst_classes", lambda x: x["label"])), ",")
-    return e.select("n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), worst.alias("worst"))
+    entries = F.array_sort(F.transform(F.map_entries("per_class"), lambda x: F.struct(x["key"].cast("int").alias("k"), x["value"].alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    line = lambda x: F.format_string("%d=%.4f/%.4f/%.4f/%d", x["k"], x["v"]["precision"], x["v"]["recall"], x["v"]["f1"], x["v"]["support"])
+    rounded = ("accuracy", "mean_confidence", "coverage", "accepted_accuracy", "rejected_accuracy", "macro_f1", "ece", "ece_ref")
+    return e.select("n", *(F.round(c, 6).alias(c) for c in rounded), "classes", "threshold", F.array_join(F.transform(entries, line), ";").alias("per_class"), worst.alias("worst"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.paths import archive_target, infer_split, is_image, label_inspect, relative, suffix
+from foliant.functions.paths import archive_target, infer_split, is_image, label_inspect, suffix, under
 from foliant.functions.text import error_key
 from foliant.plans.workspace import store
 from foliant.sources.pixels import hash_of
@@ -26,8 +26,7 @@ SPLIT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """path, rel, length, modificationTime, is_image of every file under root, hidden ones excepted. Contents are not read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    rel = F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/*", "/")
-    return df.withColumn("rel", relative(rel, F.lit(root.rstrip("/")))).withColumn("is_image", is_image("path"))
+    return df.withColumn("rel", under("path", root)).withColumn("is_image", is_image("path"))
 
 
 #: Bytes of a file that Spark can hold in one value.
@@ -66,7 +65,7 @@ def scan_images(spark: SparkSession, root: str, probe: Callable[[bytes], dict] |
         "error": F.when(F.col("_path").isNull(), "read:Unreadable").otherwise(F.col("error")), "status": F.coalesce("status", F.lit("corrupt")), "width": F.coalesce("width", F.lit(0)), "height": F.coalesce("height", F.lit(0)),
     }).drop("_path")
     x = x if hashed else x.drop("ahash")
-    x = x.withColumn("rel", relative(F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/*", "/"), F.lit(root.rstrip("/"))))
+    x = x.withColumn("rel", under("path", root))
     x = x.withColumns({"dataset": F.split_part("rel", F.lit("/"), F.lit(1)), "inner": F.regexp_replace("rel", "^[^/]*/", "")})
     return x.withColumns({"label": label_inspect("inner"), "split": infer_split("inner"), "suffix": suffix("path")}).drop("inner")
 
@@ -281,7 +280,7 @@ def with_content(manifest: DataFrame, root: str, path: str = "path") -> DataFram
     """manifest with the bytes of its files, null for files that are gone; `path` is relative to root. Only the named files' rows are shuffled."""
     spark = manifest.sparkSession
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    f = f.select(relative(F.regexp_replace(F.col("path"), r"^[a-z0-9+.-]+:/*", "/"), F.lit(root.rstrip("/"))).alias("_rel"), "content")
+    f = f.select(under("path", root).alias("_rel"), "content")
     return manifest.join(f, F.col(path) == F.col("_rel"), "left").drop("_rel")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.paths import relative
+from foliant.functions.paths import under
 
 _SIDE = 16
 #: x and y of the first pixel and the steps of the seven passes of an interlaced PNG.
@@ -24,12 +24,12 @@ def grey(rgb: np.ndarray) -> np.ndarray:
     return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
 
 
-def _weights(n: int) -> np.ndarray:
-    """n x 16 weights of the triangle filter, widened when it shrinks, in 22-bit fixed point."""
-    scale = n / _SIDE
+def _weights(n: int, to: int = _SIDE) -> np.ndarray:
+    """n x `to` weights of the triangle filter, widened when it shrinks, in 22-bit fixed point."""
+    scale = n / to
     support = max(scale, 1.0)
-    out = np.zeros((n, _SIDE))
-    for i in range(_SIDE):
+    out = np.zeros((n, to))
+    for i in range(to):
         centre = (i + 0.5) * scale
         lo, hi = max(0, int(centre - support + 0.5)), min(n, int(centre + support + 0.5))
         k = np.maximum(0, 1 - np.abs((np.arange(lo, hi) - centre + 0.5) / support))
@@ -37,15 +37,34 @@ def _weights(n: int) -> np.ndarray:
     return out
 
 
-def average_hash(g: np.ndarray) -> bytes:
-    """256-bit average hash of grey bytes (height x width): shrunk to 16x16 by the triangle filter, across first, each step rounded to bytes."""
+def resized(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bytes (height x width) brought to another size by the triangle filter, across first, each step rounded to bytes; as doubles."""
     shrink = lambda x: np.clip((x + (1 << 21)) // (1 << 22), 0, 255)  # noqa: E731  (sums stay below 2**53, so they are exact)
-    across = _weights(g.shape[1])
+    across = _weights(g.shape[1], width)
     rows = np.concatenate([shrink(g[a : a + 512].astype(np.float64) @ across) for a in range(0, len(g), 512)])
-    small = shrink(_weights(g.shape[0]).T @ rows).ravel()
+    return shrink(_weights(g.shape[0], height).T @ rows)
+
+
+def average_hash(g: np.ndarray) -> bytes:
+    """256-bit average hash of grey bytes (height x width), shrunk to 16x16."""
+    small = resized(g, _SIDE, _SIDE).ravel()
     return np.packbits(small >= small.sum() / _SIDE**2).tobytes()
 
 
+#: Means and deviations of red, green and blue by which pixels are normalised, and how much larger than the crop the shorter side is made.
+MEANS, DEVIATIONS, MARGIN = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), 1.14
+
+
+def model_input(rgb: np.ndarray, size: int = 224) -> np.ndarray:
+    """Floats (3 x size x size) that a model takes of bytes (height x width x 3): the shorter side resized to size * MARGIN, the centre cut out, scaled to 0..1 and normalised."""
+    h, w = rgb.shape[:2]
+    short = int(size * MARGIN)
+    to = (short, int(short * w / h)) if h <= w else (int(short * h / w), short)
+    top, left = (round((n - size) / 2) for n in to)
+    planes = [resized(rgb[..., c], *to)[top : top + size, left : left + size] for c in range(3)]
+    return np.stack([(p / 255 - m) / d for p, m, d in zip(planes, MEANS, DEVIATIONS)]).astype(np.float32)
+
+
 def _unfilter(raw: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
     """Bytes of PNG lines without their filters. Diagonals are worked on at once, as a pixel needs those left of and above it."""
     h, w = raw.shape[0], raw.shape[1] // step
@@ -131,7 +150,7 @@ def with_hashes(df: DataFrame, root: str, path: str = "path", ahash: str = "ahas
             yield pd.DataFrame({"origin": pdf["origin"], "_hash": pd.Series(out, dtype=object)})
 
     origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
-    rel = relative(F.regexp_replace(origin, r"^[a-z0-9+.-]+:/*", "/"), F.lit(root.rstrip("/"))).alias("origin")
+    rel = under(origin, root).alias("origin")
     found = pictures.select(rel, "image.height", "image.width", F.col("image.nChannels").alias("n"), "image.data")
     found = found.join(df.filter(F.col(ahash).isNull()).select(F.col(path).alias("_open")), F.col("origin") == F.col("_open"), "left_semi")
     found = found.mapInPandas(run, "origin string, _hash binary")

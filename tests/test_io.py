@@ -43,6 +43,7 @@ def test_scans(spark, tree, rows):
         ("plants/test/Fig/b.JPG", "plants", "Fig", "test", "JPEG", 7, 5, "ok"), ("plants/train/Fig/a.png", "plants", "Fig", "train", "PNG", 3, 2, "ok"),
     ]
     assert rows(got.filter("status = 'corrupt'"), "error") == [("ValueError: PNG is cut short",), ("ValueError: cannot identify image file",)]
+    assert rows(files.scan_images(spark, f"file://{tree}/"), "rel") == rows(got, "rel")
     assert rows(files.missing_datasets(got, "dataset", ["plants", "gone"])) == [("gone", "not present")]
 
 
