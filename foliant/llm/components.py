@@ -9,8 +9,8 @@ collapse onto their roots by pointer doubling, the edges are renamed to the root
 are dropped and repeats removed, until no edge remains. The number of components that still
 have edges at least halves in a round, so all rounds together cost about as much as the first two.
 
-The maps (component -> root) of the rounds are kept as tables in the shared folder and
-composed from the last back to the first.
+The maps (component -> root) of the rounds are kept as tables in the shared folder, composed
+from the last back to the first, and removed.
 """
 
 from __future__ import annotations
@@ -65,4 +65,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for m in reversed(maps[:-1]):
         later = out.select(F.col("c").alias("r"), F.col("p").alias("rp"))
         out = m.join(later, F.col("p") == F.col("r"), "left").select("c", F.coalesce("rp", "p").alias("p"))
-    return out.select(F.col("c").alias("node"), F.col("p").alias("group_id"))
+    out = store(out.select(F.col("c").alias("node"), F.col("p").alias("group_id")), "groups")
+    discard(*maps)
+    return out

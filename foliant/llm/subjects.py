@@ -101,20 +101,8 @@ def _sentences(documents: DataFrame) -> DataFrame:
 
 
 def _frequencies(cut: DataFrame) -> DataFrame:
-    """h, n: the number of documents that hold a word; each task adds up its own first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in _pieces(batches):
-            word, doc = _flat(b.column(1))
-            has, at = np.unique(word, return_inverse=True)
-            in_docs = np.bincount(np.unique(doc * max(len(has), 1) + at) % max(len(has), 1), minlength=len(has))
-            both, at = np.unique(np.concatenate([some, has]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([total, in_docs]), len(both)).astype(np.int64)
-            some = both
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total, pa.int64())], names=["h", "n"])
-
-    return cut.select("doc_id", "hs").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    """h, n: the number of documents that hold a word."""
+    return cut.select(F.explode(F.array_distinct("hs")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _encode(docs: DataFrame, hashes: np.ndarray, buckets: int) -> DataFrame:
