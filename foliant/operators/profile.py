@@ -25,10 +25,10 @@ def imbalance(df: DataFrame, group: str, label: str) -> DataFrame:
 
     A null label is a class. A group without rows does not appear.
     """
-    per = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("c"))
+    per = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_c"))
     return per.groupBy(group).agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("c").alias("n"), F.min("c").alias("min_n"), F.max("c").alias("max_n"),
-        F.round(F.avg("c"), 1).alias("mean_n"), F.round(F.max("c") / F.greatest(F.min("c"), F.lit(1)), 2).alias("imbalance"),
+        F.count(F.lit(1)).alias("classes"), F.sum("_c").alias("n"), F.min("_c").alias("min_n"), F.max("_c").alias("max_n"),
+        F.round(F.avg("_c"), 1).alias("mean_n"), F.round(F.max("_c") / F.greatest(F.min("_c"), F.lit(1)), 2).alias("imbalance"),
     )
 
 
@@ -59,8 +59,8 @@ def duplicate_groups(df: DataFrame, key: str, size: str | None = None) -> DataFr
 
 def near_estimate(df: DataFrame, key: str, group: str) -> DataFrame:
     """group, near_duplicates: rows beyond the first with an equal perceptual hash. Null hashes count for nothing."""
-    per = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy(group).agg(F.sum(F.when(F.col(key).isNotNull(), F.col("c") - 1).otherwise(0)).alias("near_duplicates"))
+    per = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("_c"))
+    return per.groupBy(group).agg(F.sum(F.when(F.col(key).isNotNull(), F.col("_c") - 1).otherwise(0)).alias("near_duplicates"))
 
 
 def size_profile(df: DataFrame, group: str, size: str, width: str, height: str) -> DataFrame:
@@ -80,11 +80,11 @@ def totals(df: DataFrame, group: str, ok: str, md5: str, size: str) -> DataFrame
     Duplicates are counted among the rows that are ok, within a group.
     """
     good = F.coalesce(F.col(ok), F.lit(False))
-    per = df.groupBy(group, F.when(good, F.col(md5)).alias("k")).agg(F.count(F.lit(1)).alias("c"), F.count_if(good).alias("g"), F.sum(size).alias("s"), F.min(size).alias("m"))
-    dup = F.col("k").isNotNull() & (F.col("c") > 1)
+    per = df.groupBy(group, F.when(good, F.col(md5)).alias("_k")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(good).alias("_g"), F.sum(size).alias("_s"), F.min(size).alias("_m"))
+    dup = F.col("_k").isNotNull() & (F.col("_c") > 1)
     return per.rollup(group).agg(
-        F.grouping(group).cast("boolean").alias("is_total"), F.sum("c").alias("n_files"), F.sum("g").alias("n_ok"), F.sum(F.col("c") - F.col("g")).alias("n_corrupt"),
-        F.count_if(dup).alias("dup_groups"), F.sum(F.when(dup, F.col("c") - 1).otherwise(0)).alias("dup_files"), F.sum(F.when(dup, F.col("s") - F.col("m")).otherwise(0)).alias("wasted_bytes"),
+        F.grouping(group).cast("boolean").alias("is_total"), F.sum("_c").alias("n_files"), F.sum("_g").alias("n_ok"), F.sum(F.col("_c") - F.col("_g")).alias("n_corrupt"),
+        F.count_if(dup).alias("dup_groups"), F.sum(F.when(dup, F.col("_c") - 1).otherwise(0)).alias("dup_files"), F.sum(F.when(dup, F.col("_s") - F.col("_m")).otherwise(0)).alias("wasted_bytes"),
     )
 
 
@@ -117,17 +117,17 @@ def report(df: DataFrame, group: str, label: str, suffix: str, ok: str, md5: str
     """
     df = store(df.select(*dict.fromkeys(c for c in (group, label, suffix, ok, md5, size, width, height, unsupported) if c)), "report")
     good = df.filter(F.coalesce(F.col(ok), F.lit(False)))
-    counted = lambda d, c, name: d.groupBy(F.col(group).alias("g"), F.coalesce(F.col(c), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(name))
+    counted = lambda d, c, name: d.groupBy(F.col(group).alias("_g"), F.coalesce(F.col(c), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("_g").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias(name))
     s, i, t = size_profile(df, group, size, width, height), integrity(df, group, ok, unsupported), totals(df, group, ok, md5, size).filter("NOT is_total")
     parts = [
         counted(good, label, "classes"), counted(df, suffix, "formats"),
-        s.select(F.col(group).alias("g"), F.struct("total_mb", "mean_kb", F.col("min_size").alias("min"), F.col("median_size").alias("median"), F.col("max_size").alias("max")).alias("sizes"),
+        s.select(F.col(group).alias("_g"), F.struct("total_mb", "mean_kb", F.col("min_size").alias("min"), F.col("median_size").alias("median"), F.col("max_size").alias("max")).alias("sizes"),
                  F.struct(F.array("min_width", "min_height").alias("min"), F.array("median_width", "median_height").alias("median"), F.array("max_width", "max_height").alias("max")).alias("dimensions")),
-        t.select(F.col(group).alias("g"), F.struct(F.col("dup_groups").alias("groups"), F.col("dup_files").alias("files"), "wasted_bytes").alias("duplicates")),
+        t.select(F.col(group).alias("_g"), F.struct(F.col("dup_groups").alias("groups"), F.col("dup_files").alias("files"), "wasted_bytes").alias("duplicates")),
     ]
     out = i.select(F.col(group), F.struct(F.col("n_files").alias("n"), F.col("n_valid").alias("valid"), F.col("n_corrupt").alias("corrupt"), F.col("n_unsupported").alias("unsupported")).alias("files"))
     for p in parts:
-        out = out.join(p, F.col(group).eqNullSafe(F.col("g")), "left").drop("g")
+        out = out.join(p, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     return out
 
 
