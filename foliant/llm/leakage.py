@@ -225,7 +225,13 @@ def _index(rows: pd.DataFrame, shingle: int, radius: int, least: float) -> list[
         wt = np.array([[len(w) for w in ws] for ws in g["ws"]], dtype=np.int32)
         x = passage_index(int(length), g["cls"].to_numpy(), hs, wt, shingle, radius, least)
         by_size.setdefault(x["n"], []).append(x)
-    return [(n, np.unique(np.concatenate([x["keys"] for x in xs])), xs) for n, xs in sorted(by_size.items())]
+    out = []
+    for n, xs in sorted(by_size.items()):
+        keys = np.unique(np.concatenate([x["keys"] for x in xs]))
+        for x in xs:  # which of all shingles passages of this length hold; the last place stands for none
+            x["held"] = np.append(np.isin(keys, x["keys"]), False)
+        out.append((n, keys, xs))
+    return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = 12, shingle: int = 5, radius: int = 3, least: float = 0.8, block: int = 50_000) -> DataFrame:
@@ -284,21 +290,23 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), signed, pa.array(ws, pa.list_(pa.int32()))], names=["doc_id", "hs", "ws"])
 
 
-def _members(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+def _reach(cols: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """How many words from each of some places on lie in one document and in an unbroken run of the shingles of n words that begin at these places."""
+    breaks = np.flatnonzero(np.diff(cols) != 1)
+    ends = np.append(cols[breaks] + n, cols[-1] + n)  # the word after the last shingle of each run
+    run = ends[np.searchsorted(breaks, np.arange(len(cols)), "left")]
+    return np.minimum(run, np.searchsorted(doc, doc[cols], "right")) - cols
 
 
-def _live(x: dict, n: int, cols: np.ndarray, sh: np.ndarray, sw: np.ndarray, doc: np.ndarray, until: int) -> np.ndarray:
-    """Which windows begin at each of some shingles (places cols in the text) that lie in one document, begin before `until`, and may be similar enough to a passage by what their shingles weigh."""
+def _live(x: dict, known: np.ndarray, sw: np.ndarray, total: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which windows of a length begin at each of some shingles that reach far enough and may be similar enough to a passage by what their known shingles weigh."""
     per = x["per"]
-    m = len(cols) - per + 1
-    if m <= 0:
+    m = len(reach) - per + 1
+    if m <= 0 or not known.any():
         return np.zeros(0, bool)
-    last = cols[:m] + per - 1
-    ok = (cols[per - 1 :] == last) & (doc[cols[:m]] == doc[last + n - 1]) & (cols[:m] < until)
-    total = np.concatenate([[0], np.cumsum(sw, dtype=np.int64)])
-    known = np.concatenate([[0], np.cumsum(np.where(_members(sh, x["keys"]), sw, 0), dtype=np.int64)])
-    return ok & (known[per:] - known[:-per] >= x["least"] * (total[per:] - total[:-per]) - 1e-6)
+    some = np.zeros(len(total), np.int64)
+    np.cumsum(np.where(known, sw, 0), out=some[1:])
+    return (reach[:m] >= x["length"]) & (some[per:] - some[:-per] >= x["least"] * (total[per:] - total[:-per]) - 1e-6)
 
 
 def _searcher(index):
@@ -310,23 +318,27 @@ def _searcher(index):
         def piece(h: np.ndarray, w: np.ndarray, doc: np.ndarray, ids: np.ndarray, until: int) -> Iterator[pd.DataFrame]:
             for n, keys, xs in index.value:
                 sh, sw = shingles(h, w, n)
-                hit = np.flatnonzero(_members(sh, keys)) if len(sh) else []
+                if not len(sh):
+                    continue
+                place = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == sh)
                 if not len(hit):
                     continue
                 # only what lies near a known shingle is looked at further
-                reach = max(x["per"] for x in xs) - 1
-                edge = np.zeros(len(sh) + 1, np.int64)
-                np.add.at(edge, np.maximum(hit - reach, 0), 1)
-                np.add.at(edge, np.minimum(hit + reach + 1, len(sh)), -1)
+                far = max(x["per"] for x in xs) - 1
+                edge = np.bincount(np.maximum(hit - far, 0), minlength=len(sh) + 1) - np.bincount(np.minimum(hit + far + 1, len(sh)), minlength=len(sh) + 1)
                 cols = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                sh, sw, total = sh[cols], sw[cols], None
+                sh, sw, signs = sh[cols], sw[cols], None
+                place = np.where(keys[place[cols]] == sh, place[cols], len(keys))
+                total = np.concatenate([[0], np.cumsum(sw, dtype=np.int64)])
+                reach = np.where(cols < until, _reach(cols, doc, n), 0)
                 for x in xs:
-                    live = _live(x, n, cols, sh, sw, doc, until)
+                    live = _live(x, x["held"][place], sw, total, reach)
                     at = np.flatnonzero(live)
                     if not len(at):
                         continue
-                    total = _signs(sh, sw) if total is None else total
-                    win, pas = search(x, _prints(total, x["per"], at))
+                    signs = _signs(sh, sw) if signs is None else signs
+                    win, pas = search(x, _prints(signs, x["per"], at))
                     found = [verified(x, sh, sw, *c) for c in chain([(at[win], pas)], sharing(x, sh, sw, live))]
                     at, pas, sim = (np.concatenate(c) for c in zip(*found))
                     _, one = np.unique(at * len(x["sh"]) + pas, return_index=True)
