@@ -328,17 +328,19 @@ def _searcher(index):
                 far = max(x["per"] for x in xs) - 1
                 edge = np.bincount(np.maximum(hit - far, 0), minlength=len(sh) + 1) - np.bincount(np.minimum(hit + far + 1, len(sh)), minlength=len(sh) + 1)
                 cols = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                sh, sw, signs = sh[cols], sw[cols], None
+                sh, sw = sh[cols], sw[cols]
                 place = np.where(keys[place[cols]] == sh, place[cols], len(keys))
                 total = np.concatenate([[0], np.cumsum(sw, dtype=np.int64)])
                 reach = np.where(cols < until, _reach(cols, doc, n), 0)
-                for x in xs:
-                    live = _live(x, x["held"][place], sw, total, reach)
-                    at = np.flatnonzero(live)
-                    if not len(at):
-                        continue
-                    signs = _signs(sh, sw) if signs is None else signs
-                    win, pas = search(x, _prints(signs, x["per"], at))
+                lives = [(x, live, np.flatnonzero(live)) for x in xs if (live := _live(x, x["held"][place], sw, total, reach)).any()]
+                # running sums of bits are made for the shingles of these windows only
+                edge = np.zeros(len(cols) + 1, np.int64)
+                for x, _, at in lives:
+                    edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + x["per"], minlength=len(edge))
+                need = np.cumsum(edge[:-1]) > 0
+                signs, moved = _signs(sh[need], sw[need]), np.cumsum(need) - need
+                for x, live, at in lives:
+                    win, pas = search(x, _prints(signs, x["per"], moved[at]))
                     found = [verified(x, sh, sw, *c) for c in chain([(at[win], pas)], sharing(x, sh, sw, live))]
                     at, pas, sim = (np.concatenate(c) for c in zip(*found))
                     _, one = np.unique(at * len(x["sh"]) + pas, return_index=True)
