@@ -36,7 +36,7 @@ class Settings:
 
     background: int = 2  #: topics for each language besides those of the subjects
     language_share: float = 0.01  #: a language has topics of its own if at least this share of the documents is marked with it
-    tolerance: float = 0.02  #: passes end when less than this share of all words has changed its topic
+    tolerance: float = 0.01  #: passes end when less than this share of all words has changed its topic
     most_passes: int = 100  #: the end of a fit that does not settle; the test data settle in 10 to 20
     inner: int = 8
     alpha: float = 0.15
