@@ -69,3 +69,17 @@ def data_uri(png: Column | str) -> Column:
 def half_even(x: Column) -> Column:
     """The nearest whole number, halves to the even one, as bigint."""
     return F.rint(x).cast("bigint")
+
+
+def to_digits(x: Column | str, digits: int) -> Column:
+    """A number from 0 up as the nearest one of so many decimals, by the exact value of the double, halves to the even digit, as C and Python print it; null for null.
+
+    `format_string` and `round` start from the shortest decimal form, so to them 0.075 (a double a little below) is a half. Here the double is
+    split into two short ones, whose products with the scale are exact, and their sum tells on which side of the half it lies.
+    """
+    v, scale = _c(x).cast("double"), 10.0**digits
+    wide = v * 134217729.0
+    high = wide - (wide - v)
+    low = F.floor(v * scale).cast("double")
+    over = (high * (2 * scale) - (2 * low + 1)) + (v - high) * (2 * scale)
+    return (low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1.0).otherwise(0.0)) / scale

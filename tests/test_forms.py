@@ -61,6 +61,13 @@ def test_summary_and_text(spark, rows):
     assert metrics.text_report(per).first().line.split() == ["a", "0.50", "1.00", "0.67", "7"]
 
 
+def test_text_is_rounded_by_the_exact_value(spark):
+    figures = [0.0, 1.0, 0.075, 0.145, 0.155, 0.125, 0.375, 0.005, 0.015, 0.995, 0.29] + [(2 * k + 1) / 200 for k in range(100)] + [a / b for b in (3, 7, 46, 200, 800) for a in range(b + 1)]
+    per = spark.createDataFrame([(str(i), x, x, x, i) for i, x in enumerate(figures)], "label string, precision double, recall double, f1 double, support bigint")
+    got = {r.label: r.line for r in metrics.text_report(per).collect()}
+    assert got == {str(i): f"{i!s:<12} {x:9.2f} {x:9.2f} {x:9.2f} {i:9d}" for i, x in enumerate(figures)}
+
+
 def test_model_input_is_resized_cut_and_normalised():
     rng = np.random.default_rng(0)
     for h, w in ((40, 70), (70, 40), (50, 50)):
