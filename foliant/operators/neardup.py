@@ -111,10 +111,29 @@ def clusters(df: DataFrame, row_id: str, label: str, ahash: str, size: str, max_
 
 
 def vector_code(v: Column | str) -> Column:
-    """Average hash of a vector of any length as a string of 0 and 1; null for a null or empty vector or one with a null in it."""
+    """Average hash of a vector of any length as a string of 0 and 1; null for a null or empty vector or one with a null in it.
+
+    The vector and its mean are bound by arrays of one element: a lambda computes whatever it refers to again for each value.
+    """
     x = F.transform(F.col(v) if isinstance(v, str) else v, lambda a: a.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda s, a: s + a) / F.greatest(F.size(x), F.lit(1))
-    return F.when((F.size(x) > 0) & ~F.exists(x, lambda a: a.isNull()), F.array_join(F.transform(x, lambda a: F.when(a >= mean, "1").otherwise("0")), ""))
+    mean = lambda y: F.aggregate(y, F.lit(0.0), lambda s, a: s + a) / F.greatest(F.size(y), F.lit(1))
+    bound = F.transform(F.array(x), lambda y: F.struct(y.alias("y"), mean(y).alias("mean")))
+    bits = lambda b: F.array_join(F.transform(b["y"], lambda a: F.when(a >= b["mean"], "1").otherwise("0")), "")
+    return F.get(F.transform(bound, lambda b: F.when((F.size(b["y"]) > 0) & ~F.exists(b["y"], lambda a: a.isNull()), bits(b))), F.lit(0))
+
+
+def cell_code(ahash: Column | str) -> Column:
+    """`vector_code` of a binary hash reduced to cells of four pixels, whose values are the numbers of their set bits, without the vector; null for null or no bytes."""
+    cells = F.translate(F.hex(F.col(ahash) if isinstance(ahash, str) else ahash), "0123456789ABCDEF", "0112122312232334")  # set bits of each digit
+    total = lambda c: sum((d * (F.length(c) - F.length(F.replace(c, F.lit(str(d)), F.lit("")))) for d in range(1, 5)), F.lit(0))
+    # arrays of one element bind the cells and the smallest value that reaches the mean, else each branch would make them again
+    bound = F.transform(F.array(cells), lambda c: F.struct(c.alias("c"), F.ceil(F.try_divide(total(c), F.length(c))).cast("int").alias("least")))
+
+    def code(b: Column) -> Column:
+        of = lambda least: F.translate(b["c"], "01234", "0" * least + "1" * (5 - least))
+        return F.when(b["least"] == 2, of(2)).when(b["least"] == 3, of(3)).when(b["least"] == 1, of(1)).when(b["least"] == 4, of(4)).when(b["least"] == 0, of(0))
+
+    return F.get(F.transform(F.filter(bound, lambda b: F.length(b["c"]) > 0), code), F.lit(0))
 
 
 def code_bits(a: Column, b: Column) -> Column:
@@ -124,40 +143,55 @@ def code_bits(a: Column, b: Column) -> Column:
 
 
 def _cut(rows: DataFrame, parts: int) -> DataFrame:
-    """id, key, rest of rows (id, key, rest): each rest is cut into parts, and each part joins the key in turn and leaves the others as the rest."""
+    """rows (id, word, key, rest) with start and size: each rest is cut into parts, and each part (from start, of that size) joins the key in turn."""
     n = F.length("rest")
     base, long_from = F.floor(n / parts), parts - n % parts
     out = []
     for i in range(parts):
         start = (base * i + F.greatest(F.lit(0), F.lit(i) - long_from) + 1).cast("int")
         size = (base + F.when(F.lit(i) >= long_from, 1).otherwise(0)).cast("int")
-        key = F.xxhash64("key", F.lit(i), F.substring("rest", start, size))
-        out.append(F.struct(key.alias("key"), F.concat(F.substring("rest", F.lit(1), start - 1), F.substring("rest", start + size, n)).alias("rest")))
-    return rows.select("id", F.explode(F.array(*out)).alias("x")).select("id", "x.*")
+        out.append(F.struct(F.xxhash64("key", F.lit(i), F.substring("rest", start, size)).alias("key"), start.alias("start"), size.alias("size")))
+    return rows.select("id", "word", "rest", F.explode(F.array(*out)).alias("x")).select("id", "word", "rest", "x.*")
+
+
+def _others(cut: DataFrame) -> DataFrame:
+    """id, word, key, rest of `_cut` rows, without the part that joined the key."""
+    left, right = F.substring("rest", F.lit(1), F.col("start") - 1), F.substring("rest", F.col("start") + F.col("size"), F.length("rest"))
+    return cut.select("id", "word", "key", F.concat(left, right).alias("rest"))
 
 
 def vector_pairs(df: DataFrame, row_id: str, label: str, vector: str, max_bits: int, hot: int = 64) -> DataFrame:
-    """a, b, bits: classes of equal hash with the same label within max_bits of each other's hash; vectors of different length are never near.
+    """`code_pairs` of the average hashes of vectors; vectors without a hash are not paired."""
+    return code_pairs(df.select(row_id, F.col(label).alias("label"), vector_code(vector).alias("code")), row_id, "label", "code", max_bits, hot)
+
+
+def code_pairs(df: DataFrame, row_id: str, label: str, code: str, max_bits: int, hot: int = 64) -> DataFrame:
+    """a, b, bits: classes of equal code, a string of 0 and 1, with the same label within max_bits of each other's code; codes of different length are never near.
 
     a and b are the smallest row_ids of two classes. Codes are cut into max_bits + 1 parts, of which two near ones share
     at least one, so candidates come from an equi-join on (label, part) and none is lost. Where more than `hot` classes share a
     part, what they have besides it still differs in at most max_bits places, so it is cut again, and again; nothing is
     dropped. Each cut multiplies the rows, so from level to level a part must be as many times more crowded to be cut, which
-    keeps the work below that of pairing the group. Null labels and vectors without a hash are not paired.
+    keeps the work below that of pairing the group. The first 64 places travel with the parts as a number, so pairs that differ too much in
+    them never leave the join; the others are compared in full. Null labels and codes are not paired.
     """
-    c = df.select(row_id, F.col(label).alias("label"), vector_code(vector).alias("code")).filter("code IS NOT NULL AND label IS NOT NULL")
-    c = store(c.groupBy("label", "code").agg(F.min(row_id).alias("id")), "codes")
-    rows, met, many = c.select("id", F.xxhash64("label", F.length("code")).alias("key"), F.col("code").alias("rest")), None, None
+    c = df.groupBy(F.col(label).alias("label"), F.col(code).alias("code")).agg(F.min(row_id).alias("id"))
+    c = store(c.withColumn("word", F.conv(F.substring("code", 1, 64), 2, -10).cast("bigint")), "codes")
+    c = c.filter("code IS NOT NULL AND label IS NOT NULL")  # a filter before would compute the codes twice
+    rows, met, many = c.select("id", "word", F.xxhash64("label", F.length("code")).alias("key"), F.col("code").alias("rest")), None, None
     while many is None or not many.isEmpty():
         if many is not None:
-            rows = cut.join(many, "key", "left_semi")
-        cut = store(_cut(rows, max_bits + 1), "cut")
-        crowded = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("rest")).alias("room")).filter((F.col("n") > hot) & (F.col("room") >= 2 * (max_bits + 1)))
+            rows = store(_others(cut.join(many, "key", "left_semi")), "cut")
+        cut = _cut(rows, max_bits + 1)
+        crowded = cut.filter(F.length("rest") - F.col("size") >= 2 * (max_bits + 1)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
         hot *= max_bits + 1
         many = small(crowded.select("key"), "crowded")
-        cold = cut.join(many, "key", "left_anti").select("id", "key")
-        pairs = cold.withColumnRenamed("id", "a").join(cold.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
+        cold = cut.join(many, "key", "left_anti").select("id", "word", "key")
+        both = cold.select("key", F.col("id").alias("a"), F.col("word").alias("wa")).join(cold.select("key", F.col("id").alias("b"), F.col("word").alias("wb")), "key")
+        pairs = both.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= max_bits)).select("a", "b")
         met = pairs if met is None else met.unionByName(pairs)
-    code = lambda x: c.select(F.col("id").alias(x), F.col("code").alias(f"_{x}"))
-    near = met.distinct().join(code("a"), "a").join(code("b"), "b").withColumn("bits", code_bits(F.col("_a"), F.col("_b")))
+    # codes of up to 64 places are their length and their number
+    of = lambda x: c.select(F.col("id").alias(x), F.col("label").alias(f"_l{x}"), F.col("word").alias(f"_w{x}"), F.length("code").alias(f"_n{x}"), F.when(F.length("code") > 64, F.col("code")).alias(f"_{x}"))
+    near = met.distinct().join(of("a"), "a").join(of("b"), "b").filter("_la = _lb AND _na = _nb")
+    near = near.withColumn("bits", F.when(F.col("_na") > 64, code_bits(F.col("_a"), F.col("_b"))).otherwise(F.bit_count(F.col("_wa").bitwiseXOR(F.col("_wb")))))
     return near.filter(F.col("bits") <= max_bits).select("a", "b", "bits")

@@ -236,9 +236,8 @@ def vector_neardups(spark, folder):
 @query(f"""WITH {FILES}, h AS (SELECT record_id AS id, label, list_transform(string_split(hex(ahash), ''), lambda x: bit_count(('0x' || x)::INT)::DOUBLE) AS v FROM f WHERE octet_length(ahash) = 32 AND label IS NOT NULL), {_VECTOR.format(3)}""")
 def cell_neardups(spark, folder):
     """Pairs of pictures of one label, reduced to 64 cells of four pixels, whose average hashes differ in at most 3 bits."""
-    digits = F.filter(F.split(F.hex("ahash"), ""), lambda x: x != "")
-    f = files(spark, folder).filter(F.octet_length("ahash") == 32).select("record_id", "label", F.transform(digits, lambda x: F.bit_count(F.conv(x, 16, 10).cast("int"))).alias("v"))
-    return neardup.vector_pairs(f, "record_id", "label", "v", 3)
+    f = files(spark, folder).filter(F.octet_length("ahash") == 32).select("record_id", "label", neardup.cell_code("ahash").alias("code"))
+    return neardup.code_pairs(f, "record_id", "label", "code", 3)
 
 
 @query(f"""WITH {FILES}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('2026|' || record_id), record_id) AS rn FROM f) WHERE rn <= 200),

@@ -115,3 +115,18 @@ def test_vector_pairs_lose_none(spark):
     want = {(a, b) for (la, ha), a in rep.items() for (lb, hb), b in rep.items() if a < b and la == lb and (ha ^ hb).bit_count() <= 9}
     assert {(r.a, r.b) for r in neardup.vector_pairs(df, "id", "label", "v", 9).collect()} == want
     assert {(r.a, r.b) for r in neardup.vector_pairs(df, "id", "label", "v", 9, hot=1).collect()} == want
+
+
+def test_cell_code_is_that_of_the_vector(spark):
+    rng = np.random.default_rng(2)
+    hashes = [bytes(32), b"\xff" * 32, b"\x00" * 31 + b"\x01", b"\xff" * 31 + b"\xfe", b"\x11" * 32, b"\x0f" * 32, b"\x12", b"", None]
+    hashes += [np.packbits(rng.random(256) < p).tobytes() for p in (0.02, 0.24, 0.25, 0.26, 0.5, 0.5, 0.75, 0.9) for _ in range(20)]
+
+    def want(h):
+        v = [int(x, 16).bit_count() for x in h.hex()] if h else []
+        return "".join("1" if x >= sum(v) / len(v) else "0" for x in v) or None
+
+    vectors = [None if h is None else [float(int(x, 16).bit_count()) for x in h.hex()] for h in hashes]
+    df = spark.createDataFrame([(i, h, v) for i, (h, v) in enumerate(zip(hashes, vectors))], "id int, h binary, v array<double>")
+    got = {r.id: (r.c, r.v) for r in df.select("id", neardup.cell_code("h").alias("c"), neardup.vector_code("v").alias("v")).collect()}
+    assert got == {i: (want(h), want(h)) for i, h in enumerate(hashes)}
